@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -28,8 +29,8 @@ _WORD_BYTES = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80,
 #: Lower-cases A-Z and makes every byte outside words a space.
 _NORMAL = bytes(ord(chr(b).lower()) if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 
-#: Words of test items in one automaton: about 100 MB of driver and worker memory at most.
-BLOCK_WORDS = 400_000
+#: Words of test items in one automaton: about 50 MB of a worker's memory at most.
+BLOCK_WORDS = 60_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -178,33 +179,31 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, id_type: pa.DataType):
+def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, with_body: bool):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton(items, window)
         for batch in batches:
-            columns = batch.to_pydict()
             counts, spans, found = [], [], []
-            for text, old_spans, old_items in zip(columns["body"], columns["spans"], columns["items"]):
+            for text, old_spans, old_items in zip(*(batch.column(c).to_pylist() for c in ("body", "spans", "items"))):
                 words = words_of(text or b"")
                 new_spans, new_items = automaton.scan(words) if words else ([], set())
                 counts.append(len(words))
                 merged = _merged([(s["start"], s["end"]) for s in old_spans] + new_spans)
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 found.append(sorted({automaton.ids[i] for i in new_items if automaton.ids[i] is not None} | set(old_items)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))],
-                names=["doc", "body", "n_words", "spans", "items"],
-            )
+            out = {"doc": batch.column(0), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(found, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_pydict(out | ({"body": batch.column(1)} if with_body else {}))
 
     return match
 
 
 def find_spans(
     docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-    item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+    item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, with_body: bool = False,
 ) -> DataFrame:
-    """Per document: ``doc`` (a struct of ``keep``), its UTF-8 ``body``, ``n_words``, hit
-    ``spans`` of word positions (merged, in order) and the ids of the ``items`` found.
+    """Per document: ``doc`` (a struct of ``keep``), ``n_words``, hit ``spans`` of word
+    positions (merged, in order), the ids of the ``items`` found, and its UTF-8 ``body``
+    if asked for.
 
     Items are cut into blocks of at most ``block_words`` words (an item longer than
     that is a block of its own), so one automaton has a known size however many items
@@ -214,17 +213,16 @@ def find_spans(
     state = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("doc"),
         F.col(text_col).cast("binary").alias("body"),
-        F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
     )
-    schema = state.schema
+    results = state.select("doc", F.lit(0).cast("long").alias("n_words"), "spans", "items").schema
     blocks = _blocks(items, item_id_col, item_text_col, block_words)
-    for number, block in enumerate(blocks):
-        if number:
-            state = cut(state, "decontamination-pass")
-        state = state.mapInArrow(_matcher(block, window, None), schema)
-    return state
+    block = next(blocks)
+    for following in blocks:
+        state = cut(state.mapInArrow(_matcher(block, window, True), T.StructType(results.fields + state.select("body").schema.fields)), "decontamination-pass")
+        block = following
+    return state.mapInArrow(_matcher(block, window, with_body), T.StructType(results.fields + (state.select("body").schema.fields if with_body else [])))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
@@ -252,18 +250,17 @@ def decontaminate(
     others, spans of more than ``max_span`` words are taken out of the text (from the
     first byte of the first word to the last byte of the last one).
     """
-    schema = docs.schema
     columns = list(docs.columns)
     unnamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = f"c{columns.index(text_col)}"
-    found = find_spans(unnamed, items, window, text, tuple(unnamed.columns))
+    found = find_spans(unnamed, items, window, text, tuple(unnamed.columns), with_body=True)
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     kept = found.where(hit <= F.lit(max_coverage) * F.col("n_words")).select(
         "doc", "body", F.expr(f"filter(spans, s -> s.end - s.start > {int(max_span)})").alias("spans")
     )
     cleaned = kept.mapInArrow(_remove, kept.select("doc", "body").schema)
     out = [(F.col("body").cast("string") if c == text else F.col(f"doc.{c}")).alias(c) for c in unnamed.columns]
-    return docs.sparkSession.createDataFrame([], schema).unionByName(cleaned.select(*out).toDF(*columns)) if False else cleaned.select(*out).toDF(*columns)
+    return cleaned.select(*out).toDF(*columns)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
