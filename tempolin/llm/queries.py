@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, license_scan, quality, sharding, token_counts, token_files
+from . import chat_format, decontamination, jaccard_join, license_scan, mixing, quality, sharding, sql, token_counts, token_files
 from .common import scratch_path
 
 LIMIT_TOKENS = 4096
@@ -55,10 +55,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT_TOKENS).alias("over_limit"))
 
 
+#: Target weights among siblings; a node that isn't named weighs 1.
+MIX_WEIGHTS = {
+    "domain": {"web": 4, "books": 5, "forums": 3},
+    "language": {"en": 6, "fr": 3, "de": 3, "es": 2},
+    "source": {"src0": 2, "src1": 3, "src7": 2},
+}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 7
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    light = mixing.light_rows(_table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mix(light, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+    return mixing.take(light, plan, MIX_SEED).select("doc_id", "domain", "language", "source", "tokens", "epoch")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.link_components(_table(spark, sf_dir, "documents"), shingle=3, threshold=90)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 #: The two turns that are added to the conversations, to show that control strings come back.
 _ADDED = r"\### Assistant: </turn> ok"
 
@@ -75,8 +95,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": sql.decontamination(),
+    "op3_license_scan": sql.license_scan_sql(),
+    "op4_quality_rules": sql.quality_sql(),
+    "op6_mixing": sql.mixing_sql(MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
+    "op8_jaccard_join": sql.jaccard_sql(),
+    "op9_chat_format": sql.chat_sql(_ADDED),
+}
