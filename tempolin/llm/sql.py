@@ -60,7 +60,7 @@ def quality_sql(docs: str = "documents", columns: str | None = None) -> str:
         f"when {_text(language)} then list_transform([{', '.join(map(_text, listed))}], lambda c: len(list_filter(plain, lambda x: x = c)))" for language, listed in quality.COMMON_WORDS.items()
     )
     languages = ", ".join(map(_text, quality.COMMON_WORDS))
-    distance = lambda p, q: f"""case when list_sum({p}) > 0 and list_sum({q}) > 0 then round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), i ->
+    distance = lambda p, q: f"""case when list_sum({p}) > 0 and list_sum({q}) > 0 then round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i:
             (case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2(2 * {p}[i] / list_sum({p}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end)
             + (case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2(2 * {q}[i] / list_sum({q}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end))) / 2, 0)), 9) end"""
     return f"""
