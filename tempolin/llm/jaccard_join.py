@@ -297,7 +297,7 @@ def _join_block(threshold: int):
 
 
 def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (null for an empty set), n_shingles, and component_id of every row."""
+    """doc_id, text_hash, node and root (null for an empty set), n_shingles and component_id of every row."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("text_hash"), F.col(text_col).cast("binary").alias("body"))
     rows = cut(body.mapInArrow(_nodes(shingle), body.select("doc_id", "text_hash", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n_shingles")).schema), "join-rows")
     classes = cut(
@@ -335,7 +335,27 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
         across = components(joined.join(split, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = joined.join(split, "node", "left_anti").unionByName(across)
     named = roots.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("least"))
-    of_node = classes.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("least", "least_id").alias("least"))
+    of_node = classes.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "least_id").alias("least"))
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "text_hash", "node", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "text_hash", "node", "root", "n_shingles", component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the least id (then the least text hash); same columns.
+
+    Texts without words are in no component and stay.  Only ids and hashes decide; the
+    rows are then met by both.
+    """
+    linked = cut(link_components(docs, shingle, threshold, id_col, text_col).select("doc_id", "text_hash", "root"), "join-linked")
+    first = linked.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
+    kept = first.unionByName(linked.where("root is null").select("doc_id", "text_hash").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("i"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("h"))
+    kept = kept.select(F.col("doc_id").alias("k_i"), F.col("text_hash").alias("k_h")).hint("shuffle_hash")
+    met = rows.join(kept, (F.col("h") == F.col("k_h")) & F.col("i").eqNullSafe(F.col("k_i")), "left_semi")
+    again = linked.where("root is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("a_i"), F.col("text_hash").alias("a_h"))
+    again = cut(again, "join-again")
+    if not again.isEmpty():  # equal rows under one id: the first of each stays
+        same = (F.col("h") == F.col("a_h")) & F.col("i").eqNullSafe(F.col("a_i"))
+        met = met.join(again, same, "left_anti").unionByName(met.join(again, same, "left_semi").dropDuplicates(["i", "h"]))
+    return met.select("doc.*")
