@@ -22,10 +22,12 @@ files; other columns are not carried.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,6 @@ from .common import cut, open_fs, scratch_path
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 4096
-_CACHED_WORDS = 300_000
-_word_ids: dict[str, dict[str, list[int]]] = {}
 
 
 def width_for(vocabulary: int) -> int:
@@ -151,36 +151,76 @@ class Reader:
             number = end
 
 
-def word_encoder(path: str):
-    """A function from a text to the ids that the library gives it.
+class WordEncoder:
+    """Ids of whole texts as the library gives them, with words that recur encoded once a worker.
 
-    The tokenizers that this is used with drop white space and never join across it:
-    each word between spaces or line ends has its own ids, and frequent words are
-    encoded once a worker.  ``splits_at_space`` tells which ones do.
+    Tokenizers that drop white space give the words between spaces their own ids (see
+    :func:`splits_at_space`), and a stop, comma or the like after a plain letter or
+    digit begins a token of its own; so texts are cut there and the pieces' ids joined.
+    Pieces that were not met yet go through the library together, those of letters
+    only as one text, cut again after each token that ends a word.  Other tokenizers
+    get every text whole.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    if not splits_at_space(tokenizer):
-        return tokenizer, lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    known = _word_ids.setdefault(path, {})
-
-    def encode(text: str) -> list[int]:
-        words = text.replace("\n", " ").split(" ")
-        fresh = [w for w in set(words) if w not in known]
+    _MARK = re.compile("[.,;:!?](?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff].)")
+    _BEYOND_LATIN = re.compile("[^\x00-\xff]")
+    _PLAIN = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
+    CACHED = 400_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values(), default=0) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.by_word = splits_at_space(self.tokenizer)
+        self.ends = np.zeros(self.size, dtype=bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        pieces = [self._pieces(t) for t in texts]
+        every = set().union(*pieces)
+        fresh = every.difference(self.known)
+        known = self.known
         if fresh:
-            if len(known) + len(fresh) > _CACHED_WORDS:
-                known.clear()
-                fresh = list(set(words))
-            for word, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[word] = e.ids
-        out: list[int] = []
-        for ids in map(known.__getitem__, words):
-            out += ids
+            encoded = self._encode_pieces(sorted(fresh))
+            if len(known) < self.CACHED:
+                known.update(encoded)
+            else:  # full: what recurs was met early
+                known = {w: known[w] for w in every.difference(fresh)} | encoded
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype=self.kind) for p in pieces]
+
+    def _pieces(self, text: str) -> list[str]:
+        # lower-casing one character by one: the same for Latin-1 here and in the library
+        lower = text.encode().lower().decode() if self._BEYOND_LATIN.search(text) else text.lower()
+        return self._MARK.sub(r" \g<0>", lower.replace("\n", " ")).split(" ")
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if self._PLAIN.fullmatch(p)]
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype=self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(cuts) != len(plain):  # a tokenizer that marks no ends of words
+            plain, cuts = [], []
+        data, out, begin = ids.tobytes(), {}, 0
+        for piece, end in zip(plain, cuts):
+            out[piece] = data[begin:end]
+            begin = end
+        rest = [p for p in pieces if p not in out]
+        for piece, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            out[piece] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
-    return tokenizer, encode
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker, with the words that it met."""
+    return WordEncoder(path)
 
 
 def splits_at_space(tokenizer) -> bool:
@@ -202,13 +242,13 @@ def _write_part(path: str, tokenizer_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, folder = open_fs(path)
         name, writer, out, part = f"{uuid.uuid4().hex}.tpk", None, None, None
-        tokenizer, encode = word_encoder(tokenizer_path)
-        for batch in batches:
-            for number, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if writer is None:
-                    out, part = filesystem.open_output_stream(f"{folder}/{name}"), number
-                    writer = Writer(out, width_for(max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)))
-                writer.add(doc_id, np.array([*encode(text), end_id], dtype=np.uint32))
+        encoder = word_encoder(tokenizer_path)
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            if writer is None:
+                out, part = filesystem.open_output_stream(f"{folder}/{name}"), batch.column(0)[0].as_py()
+                writer = Writer(out, width_for(max(encoder.size, end_id + 1)))
+            for doc_id, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist())):
+                writer.add(doc_id, np.append(ids.astype(np.uint32), np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
