@@ -93,8 +93,8 @@ def _cross_validation() -> str:
       scores as (select r.session, r.unit_id, r.trial // 5 as g, {_TSS} as tss, sum(pow(y - f.b - f.b0 * x0 - f.b1 * x1, 2)) as e1, sum(pow(y - l.b - l.b0 * x0, 2)) as e0
         from rows_ r join full_ f on f.session = r.session and f.unit_id = r.unit_id and f.g = r.trial // 5 join less l on l.session = r.session and l.unit_id = r.unit_id and l.g = r.trial // 5 group by all),
       total as (select session, unit_id, {_TSS} as tss from rows_ group by all)
-      select session, unit_id, {_R('avg(1 - e1 / s.tss)')} as cv_r2, {_R('1 - sum(e1) / any_value(t.tss)')} as cv_r2_pooled,
-        {_R('avg((e0 - e1) / s.tss)')} as delta_r2, {_R('(sum(e0) - sum(e1)) / any_value(t.tss)')} as delta_r2_pooled
+      select session, unit_id, {_R('avg(case when s.tss > 1e-9 then 1 - e1 / s.tss end)')} as cv_r2, {_R('1 - sum(e1) / any_value(t.tss)')} as cv_r2_pooled,
+        {_R('avg(case when s.tss > 1e-9 then (e0 - e1) / s.tss end)')} as delta_r2, {_R('(sum(e0) - sum(e1)) / any_value(t.tss)')} as delta_r2_pooled
       from scores s join total t using (session, unit_id) group by all"""
 
 
@@ -182,7 +182,7 @@ _POSE = """with pose as (select distinct l_suppkey % 5 as session, l_orderkey *
 
 _PARTS = """units as (select cast(p_size % 5 as bigint) as session, p_partkey as unit_id, p_size > 25 as default_qc,
   case when p_partkey % 11 = 0 then 'noise' when p_partkey % 13 <> 0 then 'sua' end as decoder_label,
-  case when p_partkey % 17 <> 0 then p_size / 50 end as amplitude_cutoff, p_retailprice % 100 / 100 as presence_ratio from part)"""
+  case when p_partkey % 17 <> 0 then p_size / 50 end as amplitude_cutoff, p_partkey % 100 / 100 as presence_ratio from part)"""
 _QC = f"{_PARTS}, ok as (select session, unit_id from units where default_qc and decoder_label <> 'noise')"
 
 _MOMENT_COLUMNS = ", ".join(f"{_R(v, 7)} as {n}" for v, n in (("sum(x0)", "sx0"), ("sum(x1)", "sx1"), ("sum(x0 * x0)", "sx00"), ("sum(x0 * x1)", "sx01"), ("sum(x1 * x1)", "sx11")))

@@ -402,7 +402,7 @@ def _units(spark, sf_dir):
     return part.select(
         (F.col("p_size") % 5).cast("long").alias("session"), F.col("p_partkey").alias("unit_id"), (F.col("p_size") > 25).alias("default_qc"),
         F.when(F.col("p_partkey") % 11 == 0, "noise").when(F.col("p_partkey") % 13 != 0, "sua").alias("decoder_label"),
-        F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") / 50).alias("amplitude_cutoff"), (F.col("p_retailprice") % 100 / 100).alias("presence_ratio"),
+        F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") / 50).alias("amplitude_cutoff"), (F.col("p_partkey") % 100 / 100).alias("presence_ratio"),
     )
 
 
