@@ -3,11 +3,15 @@
 Documents become sets of 64-bit hashes of word shingles; equal sets are one class.  Two
 classes link when 100 * intersection >= threshold * union.
 
-Which classes can meet: hash space is cut into so many parts that two sets which link
-must agree on a whole part (they differ in at most D elements, and there are more than D
-parts; parts with few elements are left out where enough others remain).  Sizes are in
-classes of the ratio of the threshold, so that sets which link share one.  Agreement on
-a part joins classes to the least one there; the connected components of that are the
+Which classes can meet: both ways give sets which link a key in common, so neither
+loses a link.  Above ``PARTS_ABOVE`` percent hash space is cut into so many parts that
+the two must agree on a whole part (they differ in at most D elements, and there are
+more than D parts; parts with few elements are left out where enough others remain);
+sizes are in classes of the ratio of the threshold, so that sets which link share one.
+Below, parts would be too small to tell sets apart, and keys are the prefix of each set
+in one order of all shingles, rare ones first; the order comes from a sketch of counts
+over all documents, whose size follows the number of shingles up to a bound.  A key in
+common joins classes to the least one there; the connected components of that are the
 groups that can hold links at all.
 
 Within a group, signature trees: sets sorted by size and signature form leaves, nodes
@@ -29,6 +33,7 @@ are not carried.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
@@ -43,6 +48,11 @@ from .graph import components
 
 #: Shingles of the sets in one block: about 32 MB.
 BLOCK_SHINGLES = 4_000_000
+#: Thresholds (percent) from which keys are parts; a part then has about five shingles or more.
+PARTS_ABOVE = 88
+#: Bits of the sketch's index: from 64 KB up to 64 MB, one byte a counter.
+SKETCH_BITS = (16, 26)
+_CHUNK = 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FANOUT = 16
 
@@ -123,6 +133,55 @@ def part_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def prefix_keys(hashes: np.ndarray, threshold: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, by a sketch; two sets that link have one in common."""
+    length = len(hashes) - (-(-threshold * len(hashes) // 100)) + 1
+    place = (hashes >> np.uint64(64 - (len(counts).bit_length() - 1))).astype(np.int64)
+    return hashes[np.lexsort((hashes, counts[place]))[:length]]
+
+
+def _sketch(size: int, bits: int):
+    """Counts of a task's shingles, in chunks; counters stop at 255."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                place = (shingle_set(text or b"", size) >> np.uint64(64 - bits)).astype(np.int64)
+                # a set's shingles seldom share a counter; those that do count once
+                counts[place] = np.minimum(counts[place].astype(np.int16) + 1, 255)
+        step = min(_CHUNK, 1 << bits)
+        for chunk in range(0, 1 << bits, step):
+            part = counts[chunk : chunk + step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk // step], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+
+    return make
+
+
+def _merge_sketch(table: pa.Table) -> pa.Table:
+    total = None
+    for data in table.column("counts"):
+        part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).astype(np.int32)
+        total = part if total is None else np.minimum(total + part, 255)
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+
+
+def rarity_sketch(body: DataFrame, shingle: int, total: int) -> np.ndarray:
+    """How often shingles occur, about, over all rows of ``body``: a counter for every eight or so.
+
+    Tasks count on their own; chunks of their counters are added up where they meet.  What
+    reaches the driver is one array of at most 2 ** SKETCH_BITS[1] bytes.
+    """
+    bits = min(max((max(total, 1) // 8).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    chunks = body.mapInArrow(_sketch(shingle, bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch, "chunk int, counts binary")
+    counts = np.zeros(1 << bits, np.uint8)
+    step = min(_CHUNK, 1 << bits)
+    for row in chunks.toLocalIterator():
+        counts[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(row["counts"], np.uint8)
+    return counts
+
+
 def _nodes(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +197,9 @@ def _nodes(size: int):
     return make
 
 
-def _keys(size: int, threshold: int):
+def _keys(size: int, threshold: int, sketch=None):
+    """``sketch`` is the broadcast array of :func:`rarity_sketch`, or None for parts."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -148,7 +209,7 @@ def _keys(size: int, threshold: int):
                 if not len(hashes) or (node := node_of(hashes)) in seen:
                     continue
                 seen.add(node)
-                keys.append(part_keys(hashes, threshold))
+                keys.append(part_keys(hashes, threshold) if sketch is None else prefix_keys(hashes, threshold, sketch.value))
                 nodes.append((node, len(keys[-1])))
                 held += len(keys[-1])
                 if held > 500_000:
@@ -303,8 +364,12 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
     classes = cut(
         rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n")), "join-classes"
     )
-    keys = body.select("body").mapInArrow(_keys(shingle, threshold), "key long, node long")
     spark = docs.sparkSession
+    sketch = None
+    if threshold < PARTS_ABOVE:
+        total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        sketch = spark.sparkContext.broadcast(rarity_sketch(body.select("body"), shingle, total))
+    keys = body.select("body").mapInArrow(_keys(shingle, threshold, sketch), "key long, node long")
     # sorted by key and node, the first node of a key is its least: no group is ever held
     keys.createOrReplaceTempView(view := f"keys_{abs(hash(id(keys)))}")
     least = spark.sql(f"select node as a, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as b from {view}")
