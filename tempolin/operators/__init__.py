@@ -1,0 +1 @@
+"""DataFrame operators: grids, signals, designs, moments, fits."""

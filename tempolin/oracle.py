@@ -189,6 +189,44 @@ _MOMENT_COLUMNS = ", ".join(f"{_R(v, 7)} as {n}" for v, n in (("sum(x0)", "sx0")
 _MOMENTS = f"""select session, unit_id, trial, cast(count(*) as double) as n, {_MOMENT_COLUMNS}, sum(y) as sy, {_R('sum(x0 * y)', 7)} as sxy0, {_R('sum(x1 * y)', 7)} as sxy1, sum(y * y) as syy
   from rows_ group by all"""
 
+def _sse_of(b: str = "b", b0: str = "b0", b1: str = "b1") -> str:
+    """Squared error of a two-column fit from sums."""
+    return f"""(syy - 2 * {b} * sy - 2 * {b0} * s0y - 2 * {b1} * s1y + n * {b} * {b} + 2 * {b} * {b0} * s0 + 2 * {b} * {b1} * s1
+      + {b0} * {b0} * s00 + 2 * {b0} * {b1} * s01 + {b1} * {b1} * s11)"""
+
+
+def _baseline_shifts() -> str:
+    names = ("n", "s0", "s1", "s00", "s01", "s11", "sy", "s0y", "s1y", "syy")
+    return f"""with {_DATA}, per as (select session, unit_id, trial, count(*) as n, sum(x0) as s0, sum(x0 * x0) as s00, sum(y) as sy, sum(x0 * y) as s0y, sum(y * y) as syy from rows_ group by all),
+      moved as (select p.*, k.s, 1e0 - 2e0 * ((((trial - k.s + 30) % 30) // 5) % 2) as v from per p, (values (0), (1), (2), (-2), (-1)) k(s) where trial between 2 and 27),
+      g as materialized (select session, unit_id, s, trial // 5 as g, sum(n) as n, sum(s0) as s0, sum(v * n) as s1, sum(s00) as s00, sum(v * s0) as s01, sum(v * v * n) as s11, sum(sy) as sy,
+        sum(s0y) as s0y, sum(v * sy) as s1y, sum(syy) as syy from moved group by all),
+      train as (select t.session, t.unit_id, t.s, t.g, {', '.join(f'sum(o.{c}) as {c}' for c in names)} from g t join g o
+        on t.session = o.session and t.unit_id = o.unit_id and t.s = o.s and t.g <> o.g group by all),
+      full_ as materialized ({_ridge('train', 'session, unit_id, s, g')}), less as materialized ({_ridge('train', 'session, unit_id, s, g', second=False)}),
+      e as (select session, unit_id, s, sum({_sse_of()}) as e1 from g join full_ using (session, unit_id, s, g) group by all),
+      e0 as (select session, unit_id, sum({_sse_of()}) as e0, sum(syy) - sum(sy) * sum(sy) / sum(n) as tss from g join less using (session, unit_id, s, g) where s = 0 group by all),
+      d as (select session, unit_id, s, (e0 - e1) / tss as d, 1 - e0 / tss as reduced from e join e0 using (session, unit_id)),
+      o as (select session, unit_id, d as observed, reduced from d where s = 0)
+      select session, unit_id, {_R('avg(cast(d.d >= o.observed as int))')} as p_value, {_R('any_value(o.observed)')} as observed, {_R('any_value(o.reduced)')} as reduced
+      from d join o using (session, unit_id) group by session, unit_id"""
+
+
+def _history() -> str:
+    sums = _SUMS.replace("x1", "h")
+    past = " + ".join(f"lag(y, {k}, 0.0) over (partition by session, unit_id order by row_id)" for k in (1, 2, 3))
+    error = "pow(y - b - b0 * x0 - b1 * h, 2)"
+    return f"""with {_DATA}, r as materialized (select *, {past} as h from rows_), folds as (select unnest(range(6)) as g),
+      sums as (select session, unit_id, {sums} from r group by all), all_ as ({_ridge('sums', 'session, unit_id')}),
+      train as (select session, unit_id, g, {sums} from r, folds where row_id >= 3 and row_id // 120 <> g and (row_id - 3) // 120 <> g group by all), fits as ({_ridge('train', 'session, unit_id, g')}),
+      test as (select r.*, g, b, b0, b1 from r join fits f using (session, unit_id) where row_id >= 3 and row_id // 120 = g and (row_id - 3) // 120 = g),
+      scores as (select session, unit_id, g, sum({error}) as e, {_TSS} as tss from test group by all),
+      pooled as (select session, unit_id, 1 - sum({error}) / {_TSS} as p from test group by all),
+      own as (select session, unit_id, 1 - sum({error}) / {_TSS} as t from r join all_ using (session, unit_id) group by all)
+      select session, unit_id, {_R('any_value(t)')} as train_r2, {_R('avg(case when tss > 1e-9 then 1 - e / tss end)')} as cv_r2, {_R('any_value(p)')} as cv_r2_pooled
+      from scores join pooled using (session, unit_id) join own using (session, unit_id) group by session, unit_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "time_bins": f"with {_GRID} select session, row_id, bin_start, bin_start + {_HALF} as center from grid",
     "event_histogram": f"""with {_EV}, {_GRID}, b as (select session, source, row_id, count(*) as c from ({_bins()}) group by all), p as (select distinct session, source from b)
@@ -244,6 +282,8 @@ ORACLE_SQL: dict[str, str] = {
     "gain_values": _alternating(f"""select session, unit_id, 'signup' as predictor, 'offset' as term, {_R('o')} as value from als where k = 8
         union all select session, unit_id, 'signup', 'context', {_R('c')} from als where k = 8"""),
     "cross_validation": _cross_validation(),
+    "baseline_shift_test": _baseline_shifts(),
+    "history_fit": _history(),
     "outer_folds": f"""with {_TRIALS} select session, trial, cv_group as by_group, cast(ntile(7) over (partition by session order by trial) - 1 as bigint) as by_trial from trials""",
     "edge_shifts": f"with {_EDGE} select session, cast(ordinal as bigint) as ordinal, cast(shift as bigint) as shift, n as n_trials from shifts",
     "shifted_values": f"with {_SHIFTED} select session, trial, shift, shifted, valid from shifted",

@@ -1,0 +1 @@
+"""Declarations of models, and a library of them."""

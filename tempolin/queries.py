@@ -356,6 +356,18 @@ def shift_test(spark, sf_dir):
     return out.select("session", "unit_id", _number(f"{test}.p_value").alias("p_value"), _number(f"{test}.observed_delta_r2_pooled").alias("observed"), _number(f"{test}.n_unique_shifts").alias("n_shifts"))
 
 
+def baseline_shift_test(spark, sf_dir):
+    """Shift test of a predictor that is constant within trials: the context itself."""
+    tables = _tables(spark, sf_dir)
+    context = grid.trial_gather(tables.grid, tables.trials, ["context"])
+    on_grid = context.select("session", F.lit("context").alias("source"), F.col("row_id").alias("sample_ix"), F.lit(None).cast("double").alias("time"), F.col("context").alias("value"))
+    spec = ModelSpec((Event("signup", (0, 2 * DT), 1), Signal("context", (0, 0), 1, outlier_zscore=None)), dt=DT)
+    compiled = design.compile_design(spec, design.SessionTables(DT, tables.grid, tables.events, on_grid, tables.trials))
+    out = fit.evaluate_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0), CVConfig(), [Dropout.predictors("context", permutation_test=True)])
+    test = "$.dropouts.context.permutation"
+    return out.select("session", "unit_id", _number(f"{test}.p_value").alias("p_value"), _number(f"{test}.observed_delta_r2_pooled").alias("observed"), _number(f"{test}.reduced_r2_pooled").alias("reduced"))
+
+
 def selected_penalties(spark, sf_dir):
     """Penalties chosen by inner cross-validation over trials, ridge and lasso."""
     compiled = design.compile_design(_gain_spec(), _tables(spark, sf_dir))
@@ -367,7 +379,7 @@ def selected_penalties(spark, sf_dir):
 
 def history_fit(spark, sf_dir):
     """A model with the target's own past, and a gap around held-out trials."""
-    spec = ModelSpec((Event("signup", (0, 2 * DT), 1), History(window=(DT, 4 * DT), n_basis=2)), dt=DT)
+    spec = ModelSpec((Event("signup", (0, 2 * DT), 1), History(window=(DT, 4 * DT), n_basis=1)), dt=DT)
     compiled = design.compile_design(spec, _tables(spark, sf_dir))
     out = fit.evaluate_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0), CVConfig(gap_history=True), [])
     return _rounded(out.select("session", "unit_id", "train_r2", "cv_r2", "cv_r2_pooled"), "train_r2", "cv_r2", "cv_r2_pooled")
@@ -474,7 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         time_bins, event_histogram, smoothed_rate, trial_index, trial_index_faults, window_mask, stimulus_grid, asof_rows, trial_window_mask, trial_ends, trial_events, included_events,
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
         lagged_design, segmented_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
-        cross_validation, shift_test, selected_penalties, history_fit, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
+        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
         unit_spikes, model_means, union_difference, session_json,
     )
 }

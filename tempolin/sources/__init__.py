@@ -1,0 +1 @@
+"""Recorded sessions as tables, and results as JSON."""

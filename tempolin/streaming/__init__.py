@@ -1,0 +1,5 @@
+"""Nothing is streamed: the models are fitted to whole recordings.
+
+Trial moments add up, so a stream of closed trials could keep them; that is an extension
+and not part of the operators here.
+"""
