@@ -199,8 +199,7 @@ def convolve_arrow(wide: DataFrame, sources: Mapping[str, str], lags: Mapping[st
         row_id = table.column("row_id").to_numpy()
         series = {c: np.nan_to_num(table.column(c).to_numpy(zero_copy_only=False).astype(float), nan=0.0) for c in set(sources.values())}
         x = np.hstack([lagged(series[column], row_id, lags[name], bases[name]) for name, column in sources.items()]) if sources else np.zeros((len(row_id), 0))
-        arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(row_id) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-        return pa.table([table.column(c) for c in ("session", "row_id", "trial", "fit")] + [arrays], names=["session", "row_id", "trial", "fit", "x"])
+        return pa.table([table.column(c) for c in ("session", "row_id", "trial", "fit")] + [lists(x)], names=["session", "row_id", "trial", "fit", "x"])
 
     kinds = dict(wide.dtypes)
     schema = f"session {kinds['session']}, row_id {kinds['row_id']}, trial {kinds['trial']}, fit boolean, x array<double>"
@@ -218,6 +217,22 @@ def moments_sql(rows: DataFrame, targets: DataFrame, p: int) -> DataFrame:
     )
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists of numbers as (rows, length), without Python objects."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # no chunk at all
+        return np.zeros((0, 0))
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow column of lists."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, dtype=float).ravel()))
+
+
 def _triangle(gram: np.ndarray) -> np.ndarray:
     return gram[np.tril_indices(len(gram))]
 
@@ -242,23 +257,22 @@ def design_moments(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            x = matrix(batch.column("x"))
             session, trial = batch.column("session").to_pylist(), batch.column("trial").to_pylist()
             places: dict[tuple, list[int]] = {}
             for k, key in enumerate(zip(session, trial)):
                 places.setdefault(key, []).append(k)
-            sums = [(len(at), x[at].sum(axis=0), _triangle(x[at].T @ x[at])) for at in places.values()]
+            sums = [np.concatenate([x[at].sum(axis=0), _triangle(x[at].T @ x[at])]) for at in places.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in places], batch.column("session").type), pa.array([t for _, t in places], pa.int64()), pa.array([float(n) for n, _, _ in sums]),
-                 pa.array([np.concatenate([s, g]).tolist() for _, s, g in sums], pa.list_(pa.float64()))],
+                [pa.array([s for s, _ in places], batch.column("session").type), pa.array([t for _, t in places], pa.int64()), pa.array([float(len(at)) for at in places.values()]), lists(np.array(sums))],
                 names=["session", "trial", "n", "sums"],
             )
 
     parts = rows.where("fit").select("session", "trial", "x").mapInArrow(partial, f"session {kind}, trial long, n double, sums array<double>")
 
     def merge(table: pa.Table) -> pa.Table:
-        sums = np.array(table.column("sums").to_pylist()).sum(axis=0)
-        return pa.table({"session": table.column("session")[:1], "trial": table.column("trial")[:1], "n": [float(np.sum(table.column("n").to_numpy()))], "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+        n = float(np.sum(table.column("n").to_numpy()))
+        return pa.table({"session": table.column("session")[:1], "trial": table.column("trial")[:1], "n": [n], "sums": lists(matrix(table.column("sums")).sum(axis=0)[None, :])})
 
     return parts.groupBy("session", "trial").applyInArrow(merge, f"session {kind}, trial long, n double, sums array<double>")
 
@@ -272,7 +286,7 @@ def target_moments(rows: DataFrame, targets: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            x = matrix(batch.column("x"))
             y = batch.column("y").to_numpy()
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("session", "unit_id", "trial"))))
             names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
@@ -281,7 +295,7 @@ def target_moments(rows: DataFrame, targets: DataFrame) -> DataFrame:
             np.add.at(sums, label, np.column_stack([y, y * y, x * y[:, None]]))
             columns = list(zip(*names))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.column("session").type), pa.array(columns[1], batch.column("unit_id").type), pa.array(columns[2], pa.int64()), pa.array(sums.tolist(), pa.list_(pa.float64()))],
+                [pa.array(columns[0], batch.column("session").type), pa.array(columns[1], batch.column("unit_id").type), pa.array(columns[2], pa.int64()), lists(sums)],
                 names=["session", "unit_id", "trial", "sums"],
             )
 
@@ -289,7 +303,7 @@ def target_moments(rows: DataFrame, targets: DataFrame) -> DataFrame:
     parts = met.select("session", "unit_id", "trial", "x", "y").mapInArrow(partial, schema)
 
     def merge(table: pa.Table) -> pa.Table:
-        sums = np.array(table.column("sums").to_pylist()).sum(axis=0)
-        return pa.table({c: table.column(c)[:1] for c in ("session", "unit_id", "trial")} | {"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+        sums = matrix(table.column("sums")).sum(axis=0)
+        return pa.table({c: table.column(c)[:1] for c in ("session", "unit_id", "trial")} | {"sums": lists(sums[None, :])})
 
     return parts.groupBy("session", "unit_id", "trial").applyInArrow(merge, schema)

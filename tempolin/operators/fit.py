@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tempolin.functions.bilinear import Design, FitState, Moments, Problem
 from tempolin.functions.evaluation import Evaluation, Side, evaluate, outer_folds, r2
-from tempolin.operators.design import CompiledDesign, design_moments, full_gram, lagged, target_moments
+from tempolin.operators.design import CompiledDesign, design_moments, full_gram, lagged, matrix, target_moments
 from tempolin.plans.spec import CVConfig, Dropout, FitConfig, ResolvedDropout
 
 _RESULT = "train_r2 double, cv_r2 double, cv_r2_pooled double, n_iter int, converged boolean, intercept double, beta array<double>, gain array<double>, summary string"
@@ -91,7 +91,7 @@ def _trials_of(table: pa.Table, design: Design) -> tuple[dict[str, np.ndarray],
 
 
 def evaluate_units(
-    compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, cv: CVConfig | None = None, dropouts: Sequence[Dropout] | None = None, units_per_task: int = 8
+    compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, cv: CVConfig | None = None, dropouts: Sequence[Dropout] | None = None, units_per_task: int = 16
 ) -> DataFrame:
     """Fit, cross-validate and compare every unit of ``targets`` (session, unit_id, row_id, y).
 
@@ -101,7 +101,7 @@ def evaluate_units(
     return _run(compiled, targets, fit or FitConfig(), cv or CVConfig(), resolve(compiled.design, dropouts), units_per_task)
 
 
-def fit_units(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, units_per_task: int = 8) -> DataFrame:
+def fit_units(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, units_per_task: int = 16) -> DataFrame:
     """Fit every unit on all selected rows; the same columns, without cross-validation."""
     return _run(compiled, targets, fit or FitConfig(), None, (), units_per_task)
 
@@ -152,7 +152,7 @@ def _moments_body(design: Design, one, keys: pa.Schema):
             raise ValueError("no rows are selected")
         shared = shared.sort_by("trial")
         trials, n = shared.column("trial").to_numpy(), shared.column("n").to_numpy()
-        sums = np.array(shared.column("sums").to_pylist())
+        sums = matrix(shared.column("sums"))
         gains, groups = _trials_of(shared, design)
         x, xx = sums[:, :p], full_gram(sums[:, p:], p)
         place = {t: k for k, t in enumerate(trials.tolist())}
@@ -178,7 +178,7 @@ def _history_body(compiled: CompiledDesign, one, cv: CVConfig | None, gap: int,
         row_id, trial = shared.column("row_id").to_numpy(), shared.column("trial").to_numpy()
         selected = shared.column("fit").to_numpy(zero_copy_only=False).astype(bool)
         x = np.zeros((len(row_id), design.layout.beta_size))
-        x[:, base] = np.array(shared.column("x").to_pylist(), dtype=float).reshape(len(row_id), -1)
+        x[:, base] = matrix(shared.column("x"))
         first = np.unique(trial, return_index=True)[1]
         gains, groups = _trials_of(shared.take(first), design)
         trials = trial[first]
