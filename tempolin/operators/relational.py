@@ -73,8 +73,8 @@ def shifted_values(trials: DataFrame, shifts: DataFrame, value: str, by: Sequenc
     numbered = trials.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
     reach = shifts.groupBy(*by).agg(F.greatest(F.max("shift"), F.lit(0)).alias("_up"), F.least(F.min("shift"), F.lit(0)).alias("_down"))
     source = numbered.select(*by, F.col("_i").alias("_source"), F.col(value).alias("shifted"))
-    placed = numbered.select(*by, order, "_i").join(F.broadcast(shifts), list(by)).withColumn("_source", F.pmod(F.col("_i") - F.col("shift"), F.col("n_trials")).cast("int"))
-    met = placed.join(source, [*by, "_source"]).join(F.broadcast(reach), list(by))
+    placed = numbered.select(*by, order, "_i").join(shifts, list(by)).withColumn("_source", F.pmod(F.col("_i") - F.col("shift"), F.col("n_trials")).cast("int"))
+    met = placed.join(source, [*by, "_source"]).join(reach, list(by))
     valid = (F.col("_i") >= F.col("_up")) & (F.col("_i") < F.col("n_trials") + F.col("_down"))
     return met.select(*by, order, "ordinal", "shift", "shifted", valid.alias("valid"))
 

@@ -125,7 +125,7 @@ def pose_signal(pose: DataFrame, frames: DataFrame, trials: DataFrame, source: s
     x, y, likelihood, jitter = (f"{FACE_FEATURES[source]}_{s}" for s in ("x", "y", "likelihood", "temporal_norm"))
     known = F.when(~F.isnan(jitter), F.col(jitter))
     limits = pose.groupBy("session").agg((F.avg(known) + JITTER_SD * F.stddev_pop(known)).alias("_most"))
-    kept = pose.join(F.broadcast(limits), "session").where((F.col(likelihood) > LIKELIHOOD_MIN) & (F.col(jitter) <= F.col("_most")) & ~F.isnan(jitter))
+    kept = pose.join(limits, "session").where((F.col(likelihood) > LIKELIHOOD_MIN) & (F.col(jitter) <= F.col("_most")) & ~F.isnan(jitter))
     met = kept.join(frames.select("session", "frame_ix", "timestamps"), ["session", "frame_ix"])
     return met.select("session", F.lit(source).alias("source"), F.col("frame_ix").cast("long").alias("sample_ix"), "timestamps", F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)).alias("value"))
 
@@ -147,12 +147,12 @@ def load_sessions(store: TableStore | MemoryStore, model: ModelSpec, *more: Mode
     trials = trial_table(store, use_instruction_trials)
     origin = trials.select("session", "task_start").distinct()
     absolute = stimulus_grid(trials, model.dt)
-    grid = absolute.join(F.broadcast(origin), "session").select("session", "row_id", "trial", (F.col("bin_start") - F.col("task_start")).alias("bin_start"), F.col("bin_start").alias("absolute"))
+    grid = absolute.join(origin, "session").select("session", "row_id", "trial", (F.col("bin_start") - F.col("task_start")).alias("bin_start"), F.col("bin_start").alias("absolute"))
 
     relative = trials.withColumn("start", F.col("start") - F.col("task_start"))
     events = [trial_events(trials.where("included"), s).withColumn("source", F.lit(s)) for s in sorted(event_sources.intersection((*STIMULI, *OUTCOMES)))]
     for source in sorted(event_sources.intersection(POINT_TABLES)):
-        times = store.read(POINT_TABLES[source]).select("session", "timestamps").join(F.broadcast(origin), "session")
+        times = store.read(POINT_TABLES[source]).select("session", "timestamps").join(origin, "session")
         times = times.select("session", (F.col("timestamps") - F.col("task_start")).alias("time"))
         events.append(included_events(times, relative).withColumn("source", F.lit(source)))
 
@@ -167,13 +167,13 @@ def load_sessions(store: TableStore | MemoryStore, model: ModelSpec, *more: Mode
         columns = [f"{FACE_FEATURES[s]}_{x}" for s in faces for x in ("x", "y", "likelihood", "temporal_norm")]
         pose, frames = store.read(POSE).select("session", "frame_ix", *columns), store.read(FRAMES)
         sampled += [pose_signal(pose, frames, trials, s) for s in faces]
-    signals = [s.join(F.broadcast(origin), "session").select("session", "source", "sample_ix", (F.col("timestamps") - F.col("task_start")).alias("time"), "value") for s in sampled]
+    signals = [s.join(origin, "session").select("session", "source", "sample_ix", (F.col("timestamps") - F.col("task_start")).alias("time"), "value") for s in sampled]
     on_grid = lambda rows, source, value: rows.select("session", F.lit(source).alias("source"), F.col("row_id").alias("sample_ix"), F.lit(None).cast("double").alias("time"), value.cast("double").alias("value"))
     if "context_baseline" in signal_sources:
         signals.append(on_grid(trial_gather(grid, trials, ["trial_context"]), "context_baseline", F.col("trial_context")))
     if "time" in signal_sources:
         bounds = trials.select("session", "task_start", "task_end").distinct()
-        signals.append(on_grid(grid.join(F.broadcast(bounds), "session"), "time", time_fraction(F.col("absolute"), model.dt, F.col("task_start"), F.col("task_end"))))
+        signals.append(on_grid(grid.join(bounds, "session"), "time", time_fraction(F.col("absolute"), model.dt, F.col("task_start"), F.col("task_end"))))
     union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
     values = trials.select("session", "trial", "trial_context", "cv_group", "included")
     return LoadedSessions(store, SessionTables(model.dt, grid, union(events), union(signals), values, regular=False), trials)
