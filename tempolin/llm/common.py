@@ -24,9 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Scratch paths that this driver has named, for :func:`clean`.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the scratch tables and files of this driver.
+
+    Results that read them are lazy, so call this when they have been written.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -42,6 +58,44 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of texts: a batch is in memory twice in the JVM and twice in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be small by bytes, as texts can be long; a smaller setting of the session stays."""
+    now = str(spark.conf.get(_BATCH_BYTES)).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
+def trimmed(body):
+    """A function of Arrow batches that gives a worker's free memory back when a task ends.
+
+    Workers are kept between tasks; what their allocators hold on to would count against
+    the executor while the JVM works alone.
+    """
+
+    def run(batches):
+        try:
+            yield from body(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def open_fs(path: str):
     """(filesystem, path) for a folder that executors reach, by its URI or plain path."""
     from pyarrow import fs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import bound_batches, cut, trimmed
 
 _WORD_BYTES = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z and makes every byte outside words a space.
@@ -192,7 +192,7 @@ def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, with_body
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 found.append(sorted({automaton.ids[i] for i in new_items if automaton.ids[i] is not None} | set(old_items)))
             out = {"doc": batch.column(0), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(found, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(out | ({"body": batch.column(1)} if with_body else {}))
+            yield pa.RecordBatch.from_pydict(out | ({"body": batch.column("body")} if with_body else {}))
 
     return match
 
@@ -210,6 +210,7 @@ def find_spans(
     there are.  With several blocks the documents pass once per block, through a table
     in the shared folder, so that only one automaton is in memory at a time.
     """
+    bound_batches(docs.sparkSession)
     state = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("doc"),
         F.col(text_col).cast("binary").alias("body"),
@@ -220,9 +221,9 @@ def find_spans(
     blocks = _blocks(items, item_id_col, item_text_col, block_words)
     block = next(blocks)
     for following in blocks:
-        state = cut(state.mapInArrow(_matcher(block, window, True), T.StructType(results.fields + state.select("body").schema.fields)), "decontamination-pass")
+        state = cut(state.mapInArrow(trimmed(_matcher(block, window, True)), T.StructType(results.fields + state.select("body").schema.fields)), "decontamination-pass")
         block = following
-    return state.mapInArrow(_matcher(block, window, with_body), T.StructType(results.fields + (state.select("body").schema.fields if with_body else [])))
+    return state.mapInArrow(trimmed(_matcher(block, window, with_body)), T.StructType(results.fields + (state.select("body").schema.fields if with_body else [])))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches, trimmed
+
 
 _CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -95,14 +97,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     that a third of the rows hold crosses the shuffle once a task.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tokenizer = tokenizer_digest(tokenizer_path)
     content = F.coalesce(F.col(text_col), F.lit("")).alias("content")
     keyed = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content, F.col(id_col).alias("doc_id"))
     known = open_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer).select("digest")
-    once = keyed.select("digest", "content").mapInArrow(_first_of_each, "digest binary, content string")
+    once = keyed.select("digest", "content").mapInArrow(trimmed(_first_of_each), "digest binary, content string")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     misses = once.repartition(partitions, "digest").join(known.hint("shuffle_hash"), "digest", "left_anti")
-    misses.mapInArrow(_encoder(tokenizer_path, tokenizer), _CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses.mapInArrow(trimmed(_encoder(tokenizer_path, tokenizer)), _CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     counts = spark.read.schema(_CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == tokenizer)
     # two runs may append the same count at the same time

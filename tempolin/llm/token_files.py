@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, open_fs, scratch_path
+from .common import bound_batches, cut, open_fs, scratch_path, trimmed
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 4096
@@ -165,7 +165,7 @@ class WordEncoder:
     _MARK = re.compile("[.,;:!?](?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff].)")
     _BEYOND_LATIN = re.compile("[^\x00-\xff]")
     _PLAIN = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
-    CACHED = 400_000
+    CACHED = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -268,13 +268,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     sorted, and encoded where they are written: ids never cross a shuffle.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     filesystem, folder = open_fs(path)
     filesystem.create_dir(folder, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     key = [F.col("doc_id").asc_nulls_first(), F.crc32("content").asc()]
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, F.col("content").asc())
     numbered = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "content")
-    return cut(numbered.mapInArrow(_write_part(path, tokenizer_path, end_id), _MANIFEST), "token-manifest")
+    return cut(numbered.mapInArrow(trimmed(_write_part(path, tokenizer_path, end_id)), _MANIFEST), "token-manifest")
 
 
 def _read_part(path: str):
@@ -309,7 +310,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, path: str) -> Dat
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = manifest.select("file", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("start"), "n_docs")
     files = placed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return files.select("file", "start").mapInArrow(_read_part(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "start").mapInArrow(trimmed(_read_part(path)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
