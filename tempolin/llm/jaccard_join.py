@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut, trimmed
 from .graph import components
 
 #: Shingles of the sets in one block: about 32 MB.
@@ -53,6 +53,8 @@ PARTS_ABOVE = 88
 #: Bits of the sketch's index: from 64 KB up to 64 MB, one byte a counter.
 SKETCH_BITS = (16, 26)
 _CHUNK = 1 << 16
+#: Buckets of hashes in the coarse filter of texts: a broadcast of at most 8 MB of numbers.
+BUCKETS = 1 << 19
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FANOUT = 16
 
@@ -174,7 +176,7 @@ def rarity_sketch(body: DataFrame, shingle: int, total: int) -> np.ndarray:
     reaches the driver is one array of at most 2 ** SKETCH_BITS[1] bytes.
     """
     bits = min(max((max(total, 1) // 8).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
-    chunks = body.mapInArrow(_sketch(shingle, bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch, "chunk int, counts binary")
+    chunks = body.mapInArrow(trimmed(_sketch(shingle, bits)), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch, "chunk int, counts binary")
     counts = np.zeros(1 << bits, np.uint8)
     step = min(_CHUNK, 1 << bits)
     for row in chunks.toLocalIterator():
@@ -359,8 +361,9 @@ def _join_block(threshold: int):
 
 def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, node and root (null for an empty set), n_shingles and component_id of every row."""
+    bound_batches(docs.sparkSession)
     body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("text_hash"), F.col(text_col).cast("binary").alias("body"))
-    rows = cut(body.mapInArrow(_nodes(shingle), body.select("doc_id", "text_hash", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n_shingles")).schema), "join-rows")
+    rows = cut(body.mapInArrow(trimmed(_nodes(shingle)), f"doc_id {dict(body.dtypes)['doc_id']}, text_hash long, node long, n_shingles long"), "join-rows")
     classes = cut(
         rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n")), "join-classes"
     )
@@ -369,7 +372,7 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
     if threshold < PARTS_ABOVE:
         total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
         sketch = spark.sparkContext.broadcast(rarity_sketch(body.select("body"), shingle, total))
-    keys = body.select("body").mapInArrow(_keys(shingle, threshold, sketch), "key long, node long")
+    keys = body.select("body").mapInArrow(trimmed(_keys(shingle, threshold, sketch)), "key long, node long")
     # sorted by key and node, the first node of a key is its least: no group is ever held
     keys.createOrReplaceTempView(view := f"keys_{abs(hash(id(keys)))}")
     least = spark.sql(f"select node as a, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as b from {view}")
@@ -389,8 +392,9 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
     )
     placed = cut(placed.select("text_hash", "node", "group", block.alias("block"), "blocks"), "join-blocks")
     wanted = placed.select("text_hash", "node", "group", "block").hint("shuffle_hash")
-    texts = body.select("text_hash", "body").join(wanted, "text_hash").select("block", "group", "node", "body")
-    sets = texts.mapInArrow(_sets(shingle), "block long, group long, node long, hashes binary")
+    near = bucketed(body.select("text_hash", "body"), "text_hash", wanted, "text_hash", "left_semi")
+    texts = near.join(wanted, "text_hash").select("block", "group", "node", "body")
+    sets = texts.mapInArrow(trimmed(_sets(shingle)), "block long, group long, node long, hashes binary")
     joined = cut(sets.groupBy("block").applyInArrow(_join_block(threshold), "node long, root long"), "join-links")
 
     split = placed.where("blocks > 1").select("node").distinct()
@@ -406,21 +410,35 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
     return out.select("doc_id", "text_hash", "node", "root", "n_shingles", component.alias("component_id"))
 
 
+def bucketed(rows: DataFrame, key: str, others: DataFrame, other_key: str, how: str) -> DataFrame:
+    """``rows`` whose key falls (``left_semi``) or doesn't fall (``left_anti``) in a bucket with a key of ``others``.
+
+    A coarse filter without a shuffle: what is broadcast has at most ``BUCKETS`` rows,
+    however many keys there are.
+    """
+    taken = others.select(F.pmod(F.col(other_key), F.lit(BUCKETS)).alias("_taken")).distinct()
+    return rows.join(F.broadcast(taken), F.pmod(F.col(key), F.lit(BUCKETS)) == F.col("_taken"), how)
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the least id (then the least text hash); same columns.
 
-    Texts without words are in no component and stay.  Only ids and hashes decide; the
-    rows are then met by both.
+    Texts without words are in no component and stay.  Only ids and hashes decide.  Rows
+    in no bucket of a dropped one stay where they are; only the others are shuffled, to
+    be held against the dropped ones exactly.
     """
-    linked = cut(link_components(docs, shingle, threshold, id_col, text_col).select("doc_id", "text_hash", "root"), "join-linked")
-    first = linked.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
-    kept = first.unionByName(linked.where("root is null").select("doc_id", "text_hash").distinct())
+    linked = cut(link_components(docs, shingle, threshold, id_col, text_col).select("doc_id", "text_hash", "root"), "join-linked").where("root is not null")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).where("n > 1").select("root", F.col("k.doc_id").alias("k_i"), F.col("k.text_hash").alias("k_h"))
+    others = linked.join(first, "root").groupBy("doc_id", "text_hash").agg(
+        F.max((F.col("doc_id").eqNullSafe(F.col("k_i")) & (F.col("text_hash") == F.col("k_h"))).cast("int")).alias("first"), F.count("*").alias("n")
+    )
+    # what goes, and equal rows under one id of which one stays
+    others = cut(others.where("first = 0 or n > 1").select(F.col("doc_id").alias("k_i"), F.col("text_hash").alias("k_h"), "first"), "join-dropped")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("i"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("h"))
-    kept = kept.select(F.col("doc_id").alias("k_i"), F.col("text_hash").alias("k_h")).hint("shuffle_hash")
-    met = rows.join(kept, (F.col("h") == F.col("k_h")) & F.col("i").eqNullSafe(F.col("k_i")), "left_semi")
-    again = linked.where("root is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("a_i"), F.col("text_hash").alias("a_h"))
-    again = cut(again, "join-again")
-    if not again.isEmpty():  # equal rows under one id: the first of each stays
-        same = (F.col("h") == F.col("a_h")) & F.col("i").eqNullSafe(F.col("a_i"))
-        met = met.join(again, same, "left_anti").unionByName(met.join(again, same, "left_semi").dropDuplicates(["i", "h"]))
-    return met.select("doc.*")
+    same = (F.col("h") == F.col("k_h")) & F.col("i").eqNullSafe(F.col("k_i"))
+    clear, doubtful = bucketed(rows, "h", others, "k_h", "left_anti"), bucketed(rows, "h", others, "k_h", "left_semi")
+    kept = clear.unionByName(doubtful.join(others, same, "left_anti"))
+    again = others.where("first = 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(doubtful.join(again, same, "left_semi").dropDuplicates(["i", "h"]))
+    return kept.select("doc.*")
