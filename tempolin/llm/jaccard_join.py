@@ -10,7 +10,8 @@ more than D parts; parts with few elements are left out where enough others rema
 sizes are in classes of the ratio of the threshold, so that sets which link share one.
 Below, parts would be too small to tell sets apart, and keys are the prefix of each set
 in one order of all shingles, rare ones first; the order comes from a sketch of counts
-over all documents, whose size follows the number of shingles up to a bound.  A key in
+over all documents, whose size follows the number of shingles up to a bound (any order
+is exact; beyond the bound it tells rare shingles apart less well, and groups grow).  A key in
 common joins classes to the least one there; the connected components of that are the
 groups that can hold links at all.
 
@@ -50,8 +51,8 @@ from .graph import components
 BLOCK_SHINGLES = 4_000_000
 #: Thresholds (percent) from which keys are parts; a part then has about five shingles or more.
 PARTS_ABOVE = 88
-#: Bits of the sketch's index: from 64 KB up to 64 MB, one byte a counter.
-SKETCH_BITS = (16, 26)
+#: Bits of the sketch's index: counters of two bits up to 32 MB, beyond that of a byte in 64 MB.
+PACKED_BITS, SKETCH_BITS = 27, 26
 _CHUNK = 1 << 16
 #: Buckets of hashes in the coarse filter of texts: a broadcast of at most 8 MB of numbers.
 BUCKETS = 1 << 19
@@ -135,53 +136,95 @@ def part_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def prefix_keys(hashes: np.ndarray, threshold: int, counts: np.ndarray) -> np.ndarray:
+class Sketch:
+    """Counts of shingles in ``2 ** bits`` counters of two bits (up to 3) or of a byte (up to 255)."""
+
+    def __init__(self, bits: int, packed: bool, data: np.ndarray | None = None):
+        self.bits, self.packed = bits, packed
+        self.data = np.zeros((1 << bits) // (4 if packed else 1), np.uint8) if data is None else data
+
+    @classmethod
+    def plan(cls, total: int) -> tuple[int, bool]:
+        """Size for ``total`` shingles: two bits for each while that is within bounds, else bytes."""
+        bits = max(max(total, 1).bit_length(), 16)
+        return (min(bits, PACKED_BITS), True) if bits <= PACKED_BITS + 1 else (SKETCH_BITS, False)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Count the shingles of one set; those that share a counter count once."""
+        place = self.place(hashes)
+        if not self.packed:
+            self.data[place] = np.minimum(self.data[place].astype(np.int16) + 1, 255)
+            return
+        for k in range(4):  # the counters of a byte one after the other, so that no update is lost
+            at, shift = place[(place & 3) == k] >> 2, np.uint8(2 * k)
+            now = self.data[at]
+            self.data[at] = now + (((now >> shift) & np.uint8(3)) < 3).astype(np.uint8) * np.uint8(1 << (2 * k))
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        place = self.place(hashes)
+        if not self.packed:
+            return self.data[place]
+        return (self.data[place >> 2] >> ((place & 3) * 2).astype(np.uint8)) & np.uint8(3)
+
+
+def _added(a: np.ndarray, b: np.ndarray, packed: bool) -> np.ndarray:
+    """Sums of counters that stop at their largest value."""
+    if not packed:
+        return np.minimum(a.astype(np.int16) + b, 255).astype(np.uint8)
+    out = np.zeros_like(a)
+    for shift in (0, 2, 4, 6):
+        out |= np.minimum(((a >> shift) & 3) + ((b >> shift) & 3), 3).astype(np.uint8) << np.uint8(shift)
+    return out
+
+
+def prefix_keys(hashes: np.ndarray, threshold: int, sketch: Sketch) -> np.ndarray:
     """The rarest shingles of a set, by a sketch; two sets that link have one in common."""
     length = len(hashes) - (-(-threshold * len(hashes) // 100)) + 1
-    place = (hashes >> np.uint64(64 - (len(counts).bit_length() - 1))).astype(np.int64)
-    return hashes[np.lexsort((hashes, counts[place]))[:length]]
+    return hashes[np.lexsort((hashes, sketch.counts(hashes)))[:length]]
 
 
-def _sketch(size: int, bits: int):
-    """Counts of a task's shingles, in chunks; counters stop at 255."""
+def _sketched(size: int, bits: int, packed: bool):
+    """Counts of a task's shingles, in chunks."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint8)
+        sketch = Sketch(bits, packed)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                place = (shingle_set(text or b"", size) >> np.uint64(64 - bits)).astype(np.int64)
-                # a set's shingles seldom share a counter; those that do count once
-                counts[place] = np.minimum(counts[place].astype(np.int16) + 1, 255)
-        step = min(_CHUNK, 1 << bits)
-        for chunk in range(0, 1 << bits, step):
-            part = counts[chunk : chunk + step]
+                sketch.add(shingle_set(text or b"", size))
+        for chunk in range(0, len(sketch.data), _CHUNK):
+            part = sketch.data[chunk : chunk + _CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk // step], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk // _CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     return make
 
 
-def _merge_sketch(table: pa.Table) -> pa.Table:
-    total = None
-    for data in table.column("counts"):
-        part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).astype(np.int32)
-        total = part if total is None else np.minimum(total + part, 255)
-    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+def _merge_sketch(packed: bool):
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for data in table.column("counts"):
+            part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+            total = part if total is None else _added(total, part, packed)
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return merge
 
 
-def rarity_sketch(body: DataFrame, shingle: int, total: int) -> np.ndarray:
-    """How often shingles occur, about, over all rows of ``body``: a counter for every eight or so.
+def rarity_sketch(body: DataFrame, shingle: int, total: int) -> Sketch:
+    """How often shingles occur, about, over all rows of ``body``.
 
     Tasks count on their own; chunks of their counters are added up where they meet.  What
-    reaches the driver is one array of at most 2 ** SKETCH_BITS[1] bytes.
+    reaches the driver is one array of at most 64 MB.
     """
-    bits = min(max((max(total, 1) // 8).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
-    chunks = body.mapInArrow(trimmed(_sketch(shingle, bits)), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch, "chunk int, counts binary")
-    counts = np.zeros(1 << bits, np.uint8)
-    step = min(_CHUNK, 1 << bits)
+    bits, packed = Sketch.plan(total)
+    chunks = body.mapInArrow(trimmed(_sketched(shingle, bits, packed)), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch(packed), "chunk int, counts binary")
+    sketch = Sketch(bits, packed)
     for row in chunks.toLocalIterator():
-        counts[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(row["counts"], np.uint8)
-    return counts
+        sketch.data[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.uint8)
+    return sketch
 
 
 def _nodes(size: int):
@@ -200,7 +243,7 @@ def _nodes(size: int):
 
 
 def _keys(size: int, threshold: int, sketch=None):
-    """``sketch`` is the broadcast array of :func:`rarity_sketch`, or None for parts."""
+    """``sketch`` is the broadcast :class:`Sketch`, or None for parts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -292,7 +292,7 @@ def test_one_of_each_component_stays(spark, odd, none):
 def test_parts_and_prefixes_lose_no_pair():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 9, 10, 20, 60, 300, 1500):
-        for percent, keys in ((90, jaccard_join.part_keys), (95, jaccard_join.part_keys), (80, lambda s, t: jaccard_join.prefix_keys(s, t, np.zeros(1 << 16, np.uint8)))):
+        for percent, keys in ((90, jaccard_join.part_keys), (95, jaccard_join.part_keys), (80, lambda s, t: jaccard_join.prefix_keys(s, t, jaccard_join.Sketch(16, True)))):
             for _ in range(40):
                 a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
                 most = n * (100 - percent) // 100
@@ -422,3 +422,29 @@ def test_ordinal_fit_orders_grades():
     severity = model.at_least(scores).sum(axis=1)
     means = [severity[np.array(grades[600:]) == g].mean() for g in range(3)]
     assert means[0] < 0.3 and means[0] < means[1] < means[2] and means[2] > 1.4
+
+
+def test_scratch_is_cleaned(spark, odd):
+    import os
+
+    from tempolin.llm import common
+
+    common.clean(spark)
+    sharding.shard_rows(odd).collect()
+    made = [p.removeprefix("file:") for p in common._made]
+    assert made and all(os.path.isdir(p) for p in made)
+    common.clean(spark)
+    assert not any(os.path.exists(p) for p in made)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_sketch_counts_up_to_its_limit(packed):
+    rng = np.random.default_rng(0)
+    hashes = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    parts = [jaccard_join.Sketch(20, packed) for _ in range(2)]
+    for k in range(5):
+        parts[k % 2].add(hashes[k * 60 :])
+    whole = jaccard_join.Sketch(20, packed, jaccard_join._added(parts[0].data, parts[1].data, packed))
+    expected = np.minimum(np.minimum(np.arange(len(hashes)) // 60 + 1, 5), 3 if packed else 255)
+    assert (whole.counts(hashes) >= expected).all() and (whole.counts(hashes) == expected).mean() > 0.95
+    assert jaccard_join.Sketch.plan(0) == (16, True) and jaccard_join.Sketch.plan(10**8)[1] and not jaccard_join.Sketch.plan(10**10)[1]
