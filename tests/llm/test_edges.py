@@ -151,6 +151,20 @@ def test_symbol_noise_is_far_from_its_language(spark, sf_dir):
     assert kept[-1] is False and sum(kept.values()) >= 30
 
 
+@pytest.mark.parametrize("spoil", [lambda t: " ".join(f"{w}$$$" for w in t.split()), str.upper], ids=["symbols", "capitals"])
+def test_a_hot_source_of_junk_moves_no_verdict(spark, sf_dir, spoil):
+    """A third of the rows, and more of the characters, are one source's junk."""
+    prose = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and n_chars > 900 and text rlike '[a-z]'").orderBy("doc_id").limit(40).collect()]
+    clean = [(k, t, "en", "src1") for k, t in enumerate(prose)]
+    hot = [(1000 + k, spoil(prose[0]), "en", "src0") for k in range(len(prose) // 2)]
+    verdicts = lambda rows: {r.doc.doc_id: r.kept for r in quality.judge(frame(spark, rows)).collect()}
+    alone, mixed = verdicts(clean), verdicts(clean + hot)
+    assert sum(alone.values()) >= 30
+    assert {k: mixed[k] for k in alone} == alone
+    assert not any(mixed[i] for i, *_ in hot)
+    assert {r.doc_id for r in quality.filter_documents(frame(spark, clean + hot)).collect()} == {k for k, kept in mixed.items() if kept}
+
+
 def test_licenses(spark, odd, none):
     notice = license_scan.TEMPLATES[1][1]
     filler = "word and more of it " * 30
