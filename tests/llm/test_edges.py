@@ -165,6 +165,21 @@ def test_a_hot_source_of_junk_moves_no_verdict(spark, sf_dir, spoil):
     assert {r.doc_id for r in quality.filter_documents(frame(spark, clean + hot)).collect()} == {k for k, kept in mixed.items() if kept}
 
 
+def test_verdicts_against_labels_with_table_junk(spark):
+    """Labelled documents of all kinds on the middle tables, ' | ' tables among them."""
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    labels = spark.read.parquet(f"{path}/labels.parquet").selectExpr("doc_id", "quality as label")
+    docs = spark.read.parquet(f"{path}/documents.parquet").join(labels, "doc_id").selectExpr("*", "instr(text, ' | ') > 0 as has_table")
+    rows = [r for r in quality.judge(docs, ("doc_id", "label", "has_table")).collect() if r.n_words >= quality.MIN_WORDS]
+    good, tables = [r for r in rows if r.doc.label == 1], [r for r in rows if r.doc.label == 0 and r.doc.has_table]
+    assert len(good) > 2000 and all(r.kept for r in good if not r.base_failed)
+    assert len(tables) > 100 and sum(r.kept for r in tables) / len(tables) < 0.2
+
+
 def test_licenses(spark, odd, none):
     notice = license_scan.TEMPLATES[1][1]
     filler = "word and more of it " * 30
