@@ -1,16 +1,15 @@
 """License scan: MinHash bands over overlapping windows, then exact containment.
 
 Every text is cut into overlapping windows of ``WINDOW`` words, one each ``STRIDE``
-words.  A window's band value is the least of its shingle hashes under one of ``BANDS``
-fixed permutations (XOR with a constant).  A template has the same values for each of
-its own windows.  Any equal value retrieves the template for the document, and only
-retrieved pairs have their shingles compared as text: a template matches if the
-document holds at least 80 % of its shingles.
+words.  A window's band values are the least of its shingle hashes under each of
+``BANDS`` fixed permutations (XOR with a constant).  A template has the values of each
+of its shingles alone, as it can stand anywhere in a window.  Any equal value retrieves
+the template for the document, and only retrieved pairs have their shingles compared as
+text: a template matches if the document holds at least 80 % of its shingles.
 
-With one row a band the probability that a window and a template's window with Jaccard
-similarity J meet is 1 - (1 - J) ** BANDS.  The window that holds a whole notice of five
-words (3 of at most 6 shingles, J = 1/2) is retrieved with 1 - 2 ** -12; longer notices
-fill their windows.  Notices are as short as five words, so shingles take three.
+A notice can be as short as three words, one shingle, and must be the least of its
+window under some band.  A window of four words has two shingles, so twelve bands of
+which no two agree would miss it with 2 ** -12 at most.
 
 All of it is DataFrame functions, a projection without a shuffle.  Templates are a
 parameter; ``MAX_VALUES`` band values of them are compared in one pass, more take more
@@ -30,16 +29,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 12
+SHINGLE, WINDOW, STRIDE, BANDS = 3, 4, 2, 12
 CONTAINMENT_PERCENT = 80
 MAX_VALUES = 10_000
 
-#: Short license notices.
+#: Short license notices, and the grants or headers of license texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MIT", "Released under the MIT License."),
+    ("All-rights-reserved", "All rights reserved."),
+    (
+        "MIT-grant",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    (
+        "BSD-conditions",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "GPL-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
 )
 _BETWEEN = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
@@ -72,13 +94,13 @@ def _constants() -> list[int]:
     return out
 
 
-def _band_values(words: Column) -> Column:
-    """The band values of all windows of a text: one array, each value with its band mixed in."""
-    span = WINDOW - SHINGLE + 1
+def _band_values(words: Column, alone: bool = False) -> Column:
+    """The band values of all windows of a text, or of its shingles ``alone``: one array, each value with its band mixed in."""
+    span, stride = (1, 1) if alone else (WINDOW - SHINGLE + 1, STRIDE)
 
     def windows(h: Column) -> Column:
         # each window's shingles; the last window ends with the text
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - span + STRIDE, F.lit(1)), F.lit(STRIDE)), lambda at: F.slice(h, at, span))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - span + stride, F.lit(1)), F.lit(stride)), lambda at: F.slice(h, at, span))
 
     def values(v: Column) -> Column:
         least = lambda c: lambda w: F.array_min(F.transform(w, lambda x: x.bitwiseXOR(F.lit(c))))
@@ -95,7 +117,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """doc_id, template_id, n_found and n_shingles for every template that a row matches."""
     spark = docs.sparkSession
     given = spark.createDataFrame([tuple(t) for t in templates], "template_id string, template string").where("template is not null")
-    known = given.select("template_id", _shingles(_words(F.col("template"))).alias("shingles"), F.array_distinct(_band_values(_words(F.col("template")))).alias("values")).collect()
+    known = given.select("template_id", _shingles(_words(F.col("template"))).alias("shingles"), F.array_distinct(_band_values(_words(F.col("template")), alone=True)).alias("values")).collect()
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     passes: list[list] = [[]]
     for template in known:

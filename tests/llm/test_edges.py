@@ -199,6 +199,49 @@ def test_every_notice_is_retrieved_wherever_it_stands(spark):
     assert license_scan.scan_licenses(frame(spark, rows)).count() == len(rows)
 
 
+#: A list of its own, not the templates: what TESTDATA.md's license lines and license texts hold.
+NOTICES = (
+    "all rights reserved",
+    "licensed under the apache license",
+    "licensed under cc by-nc",
+    "released under the mit license",
+    "gnu general public license, version 3",
+)
+BODIES = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.',
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.",
+)
+
+
+def test_scan_against_an_independent_list_of_notices(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: " ".join((r.text or "").lower().split()) for r in docs.collect()}
+    expected = {(i, n) for i, t in texts.items() for n in NOTICES if n in t}
+    assert {n for _, n in expected} >= {"all rights reserved"}
+    found = {}
+    for r in license_scan.scan_licenses(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.template_id)
+    assert {i for i, _ in expected} <= set(found)
+    for i in found:
+        assert len(found[i]) >= len({n for k, n in expected if k == i})
+
+
+def test_license_texts_are_found(spark):
+    filler = "klmn onml lkmn " * 40
+    rows = [(10 * k + at, filler[: 5 * at] + body + " " + filler, "en", "s") for k, body in enumerate(BODIES) for at in range(7)]
+    found = license_scan.scan_licenses(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, *_ in rows)
+
+
+def test_three_words_are_retrieved_next_to_any_others(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("klmnop") for _ in range(6))
+    rows = [(k, f"{' '.join(word() for _ in range(k % 9))} All rights reserved. {' '.join(word() for _ in range(12))}", "en", "s") for k in range(4000)]
+    found = license_scan.scan_licenses(frame(spark, rows), [("reserved", "All rights reserved.")])
+    assert found.count() >= 3990
+
+
 def test_token_counts_and_their_cache(spark, odd, none):
     import sentencepiece
 
