@@ -158,8 +158,9 @@ class WordEncoder:
     :func:`splits_at_space`), and a stop, comma or the like after a plain letter or
     digit begins a token of its own; so texts are cut there and the pieces' ids joined.
     Pieces that were not met yet go through the library together, those of letters
-    only as one text, cut again after each token that ends a word.  Other tokenizers
-    get every text whole.
+    only as one text, cut again after each token that ends a word.  Pieces are lower-cased,
+    but added tokens are matched as they are written: a text that holds one, in any case,
+    goes whole.  Other tokenizers get every text whole.
     """
 
     _MARK = re.compile("[.,;:!?](?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff].)")
@@ -180,11 +181,19 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = sorted({form for a in added for form in (a, a.lower(), self._lower(a))})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        pieces = [self._pieces(t) for t in texts]
+            return self._whole(texts)
+        lower = [self._lower(t) for t in texts]
+        whole = [k for k, t in enumerate(lower) if any(a in t for a in self.added)]
+        if whole:
+            out = dict(zip(whole, self._whole([texts[k] for k in whole])))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in out]))
+            return [out[k] if k in out else next(rest) for k in range(len(texts))]
+        pieces = [self._pieces(t) for t in lower]
         every = set().union(*pieces)
         fresh = every.difference(self.known)
         known = self.known
@@ -196,9 +205,14 @@ class WordEncoder:
                 known = {w: known[w] for w in every.difference(fresh)} | encoded
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype=self.kind) for p in pieces]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _lower(self, text: str) -> str:
         # lower-casing one character by one: the same for Latin-1 here and in the library
-        lower = text.encode().lower().decode() if self._BEYOND_LATIN.search(text) else text.lower()
+        return text.encode().lower().decode() if self._BEYOND_LATIN.search(text) else text.lower()
+
+    def _pieces(self, lower: str) -> list[str]:
         return self._MARK.sub(r" \g<0>", lower.replace("\n", " ")).split(" ")
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:

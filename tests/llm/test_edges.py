@@ -314,6 +314,17 @@ def test_word_by_word_is_the_library():
     assert whole.encode(["a  b"])[0].tolist() == whole.tokenizer.encode("a  b", add_special_tokens=False).ids
 
 
+def test_added_tokens_in_capitals_are_text(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = token_files.WordEncoder(path)
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|StartOfText|>"]
+    texts = [t for m in marks for t in (m, f"a {m} b", f"a{m}.B\nc", f"{m}{m.upper()} \u0130\u03a3 {m}")] + ["Plain text.", "", "<|end of text|>"]
+    library = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in encoder.encode(texts)] == library
+    rows = token_files.encode_to_files(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), path).collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in sorted(rows)] == [(len(i) + 1, zlib.crc32(np.array([*i, 1], "<u4").tobytes())) for i in library]
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, text, _, _ in rows:
