@@ -8,8 +8,9 @@ the template for the document, and only retrieved pairs have their shingles comp
 text: a template matches if the document holds at least 80 % of its shingles.
 
 A notice can be as short as three words, one shingle, and must be the least of its
-window under some band.  A window of four words has two shingles, so twelve bands of
-which no two agree would miss it with 2 ** -12 at most.
+window under some band.  A window of four words has two shingles, and which is the least
+is settled by the highest bit where their hashes differ: the notice is missed only if all
+constants agree in that bit, against it.  They agree in no bit, so a hash is never missed.
 
 All of it is DataFrame functions, a projection without a shuffle.  Templates are a
 parameter; ``MAX_VALUES`` band values of them are compared in one pass, more take more

@@ -242,6 +242,11 @@ def test_three_words_are_retrieved_next_to_any_others(spark):
     assert found.count() >= 3990
 
 
+def test_no_shingle_of_a_window_can_be_outweighed_in_all_bands():
+    assert license_scan.WINDOW - license_scan.SHINGLE + 1 == 2  # of two hashes the highest different bit decides
+    assert all(len({c >> bit & 1 for c in license_scan._constants()}) == 2 for bit in range(64))
+
+
 def test_token_counts_and_their_cache(spark, odd, none):
     import sentencepiece
 
