@@ -41,11 +41,13 @@ def mark_outliers(signals: DataFrame, threshold: float | None, keys: Sequence[st
 
 
 def _neighbours(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows with the known points (``_p`` = struct(time, value)) before and after them."""
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    before = F.last("_p", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_p", ignorenulls=True).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return rows.withColumn("_a", before).withColumn("_z", after)
+    """Rows with the known points (``_p`` = struct(time, value)) before and after them.
+
+    Both are running values, the second one in the opposite order: a frame that ends with
+    the partition would be gone through again for every row.
+    """
+    running = lambda order: F.last("_p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_a", running([F.col(c).asc() for c in order])).withColumn("_z", running([F.col(c).desc() for c in order]))
 
 
 def _between(at: str):

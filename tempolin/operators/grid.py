@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tempolin.functions.basis import gaussian_kernel, window_bounds
 from tempolin.operators.relational import asof_join
 
+#: Seconds of a session that one task puts in order where times are held against trials.
+ASOF_BUCKET = 600.0
+
 
 def time_bins(sessions: DataFrame, dt: float, start: str = "start", end: str = "end") -> DataFrame:
     """Complete bins of each session (columns start, end): row_id, bin_start, center."""
@@ -38,11 +41,23 @@ def regular_rows(times: DataFrame, dt: float, n_time: int | Column, time: str =
     return times.withColumn("row_id", bin_of(F.col(time), dt)).where((F.col("row_id") >= 0) & (F.col("row_id") < n))
 
 
-def aligned_rows(times: DataFrame, grid: DataFrame, dt: float, time: str = "time", bucket: float | None = None) -> DataFrame:
-    """``times`` with the ``row_id`` and ``trial`` of the bin that holds them, for bins at any places."""
-    starts = grid.select("session", F.col("bin_start").alias("_start"), "row_id", "trial")
-    met = asof_join(times, starts, ["session"], time, "_start", ["_start", "row_id", "trial"], bucket)
-    return met.where(F.col(time) < F.col("_start") + F.lit(dt)).drop("_start")
+def aligned_rows(times: DataFrame, grid: DataFrame, dt: float, time: str = "time") -> DataFrame:
+    """``times`` with the ``row_id`` and ``trial`` of the bin that holds them, for bins at any places in order.
+
+    A bin lasts ``dt`` or until the next one starts (``next_start``, if the grid has it).
+    Time is cut into cells of ``dt``; a bin is in two of them or three, so this is a join
+    by equality of (session, cell) and nothing is sorted.
+    """
+    bins = grid.select("session", "row_id", "trial", F.col("bin_start").alias("_start"), *[F.col(c).alias("_next") for c in ("next_start",) if c in grid.columns])
+    if "_next" not in bins.columns:
+        following = grid.select("session", (F.col("row_id") - 1).alias("row_id"), F.col("bin_start").alias("_next"))
+        bins = bins.join(following, ["session", "row_id"], "left")
+    bins = bins.withColumn("_until", F.least(F.col("_start") + F.lit(float(dt)), "_next"))
+    # monotone in floats as well: a time between the two is in no other cell
+    cells = bins.withColumn("_cell", F.explode(F.sequence(bin_of(F.col("_start"), dt), F.greatest(bin_of(F.col("_start"), dt), bin_of(F.col("_until"), dt)))))
+    names = list(times.columns)
+    met = times.withColumn("_cell", bin_of(F.col(time), dt)).join(cells, ["session", "_cell"])
+    return met.where((F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_until"))).select(*names, "row_id", "trial")
 
 
 def bin_counts(rows: DataFrame, grid: DataFrame, *keys: str, value: str = "count") -> DataFrame:
@@ -131,7 +146,7 @@ def trial_events(trials: DataFrame, flag: str, time: str = "stim", origin: str =
 def included_events(events: DataFrame, trials: DataFrame, start: str = "start", time: str = "time") -> DataFrame:
     """``events`` without those in trials that are not ``included``; those before the first trial stay."""
     starts = trials.select("session", F.col(start).alias("_start"), "included")
-    met = asof_join(events, starts, ["session"], time, "_start", ["included"])
+    met = asof_join(events, starts, ["session"], time, "_start", ["included"], ASOF_BUCKET)
     return met.where(F.coalesce(F.col("included"), F.lit(True))).drop("included")
 
 
@@ -141,10 +156,11 @@ def snapped(value: Column) -> Column:
 
 
 def stimulus_grid(trials: DataFrame, dt: float, start: str = "start", end: str = "end", stim: str = "stim") -> DataFrame:
-    """Complete bins of each trial with an edge at its stimulus: row_id, trial, bin_start.
+    """Complete bins of each trial with an edge at its stimulus: row_id, trial, bin_start, next_start.
 
     The first row of a trial is the number of bins of the trials before it: a running sum
-    over the trial table, so the bins themselves are never sorted.
+    over the trial table, so the bins themselves are never sorted.  ``next_start`` is where
+    the session's next bin starts, null for its last one.
     """
     first = F.ceil(snapped((F.col(start) - F.col(stim)) / F.lit(dt)))
     last = F.floor(snapped((F.col(end) - F.col(stim)) / F.lit(dt)))
@@ -153,8 +169,11 @@ def stimulus_grid(trials: DataFrame, dt: float, start: str = "start", end: str =
     fault = F.when(F.coalesce(bad, F.lit(True)) | (F.col("_n") <= 0), F.raise_error(F.lit("a trial holds its stimulus and one complete bin at least")).cast("long"))
     before = Window.partitionBy("session").orderBy("trial").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_n", F.coalesce(fault, F.col("_n"))).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    bins = placed.select("session", "trial", F.col(stim).alias("_stim"), "_a", "_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    return bins.select("session", (F.col("_o") + F.col("_k")).alias("row_id"), "trial", (F.col("_stim") + (F.col("_a") + F.col("_k")) * F.lit(dt)).alias("bin_start"))
+    placed = placed.withColumn("_later", F.lead(F.col(stim) + F.col("_a") * F.lit(dt)).over(Window.partitionBy("session").orderBy("trial")))
+    bins = placed.select("session", "trial", F.col(stim).alias("_stim"), "_a", "_o", "_n", "_later", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+    begin = lambda k: F.col("_stim") + (F.col("_a") + k) * F.lit(dt)
+    following = F.when(F.col("_k") < F.col("_n") - 1, begin(F.col("_k") + 1)).otherwise(F.col("_later"))
+    return bins.select("session", (F.col("_o") + F.col("_k")).alias("row_id"), "trial", begin(F.col("_k")).alias("bin_start"), following.alias("next_start"))
 
 
 def trial_gather(grid: DataFrame, trials: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -99,7 +99,7 @@ def window_mask(spark, sf_dir):
 
 def stimulus_grid(spark, sf_dir):
     trials = grid.trial_ends(_stimulus_trials(spark, sf_dir))
-    return _rounded(grid.stimulus_grid(trials, DT), "bin_start")
+    return _rounded(grid.stimulus_grid(trials, DT), "bin_start").drop("next_start")
 
 
 def _aligned(spark, sf_dir):
@@ -107,7 +107,7 @@ def _aligned(spark, sf_dir):
 
 
 def asof_rows(spark, sf_dir):
-    met = grid.aligned_rows(events(spark, sf_dir).select("session", "sample_ix", "time"), _aligned(spark, sf_dir), DT, bucket=5 * DAY)
+    met = grid.aligned_rows(events(spark, sf_dir).select("session", "sample_ix", "time"), _aligned(spark, sf_dir), DT)
     return met.select("session", "sample_ix", "row_id", "trial")
 
 
@@ -450,7 +450,7 @@ def unit_spikes(spark, sf_dir):
     ev = events(spark, sf_dir).where("source = 'purchase'")
     units = ev.groupBy("session", "unit_id").agg(F.sort_array(F.collect_list("time")).alias("spike_times"))
     silent = spark.range(5).select(F.col("id").alias("session"), F.lit(99).cast("long").alias("unit_id"), F.array().cast("array<double>").alias("spike_times"))
-    aligned = _aligned(spark, sf_dir).withColumn("absolute", F.col("bin_start"))
+    aligned = _aligned(spark, sf_dir).withColumn("absolute", F.col("bin_start")).withColumn("absolute_next", F.col("next_start"))
     loaded = sources.LoadedSessions(sources.MemoryStore({"units": units.unionByName(silent)}), design.SessionTables(DT, aligned, None, None, _trials(spark), regular=False), _trials(spark))
     return sources.unit_targets(loaded, units.unionByName(silent).select("session", "unit_id"))
 

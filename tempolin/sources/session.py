@@ -21,6 +21,7 @@ from tempolin.operators.grid import (
     aligned_rows, context_code, included_events, stimulus_grid, time_fraction, trial_ends, trial_events, trial_gather, trial_windows_mask,
 )
 from tempolin.operators.relational import context_blocks
+from tempolin.operators.scratch import settle
 from tempolin.plans.library import FIT_WINDOW, OUTCOMES, STIMULI
 from tempolin.plans.spec import Event, ModelSpec, Signal
 
@@ -144,10 +145,13 @@ def load_sessions(store: TableStore | MemoryStore, model: ModelSpec, *more: Mode
         raise ValueError("models that are loaded together have one dt")
     event_sources, signal_sources, value_sources = required_sources(models)
     check_sources(event_sources, signal_sources, value_sources)
-    trials = trial_table(store, use_instruction_trials)
+    trials = settle(trial_table(store, use_instruction_trials))
     origin = trials.select("session", "task_start").distinct()
     absolute = stimulus_grid(trials, model.dt)
-    grid = absolute.join(origin, "session").select("session", "row_id", "trial", (F.col("bin_start") - F.col("task_start")).alias("bin_start"), F.col("bin_start").alias("absolute"))
+    since = lambda c: (F.col(c) - F.col("task_start")).alias(c)
+    grid = settle(absolute.join(origin, "session").select(
+        "session", "row_id", "trial", since("bin_start"), since("next_start"), F.col("bin_start").alias("absolute"), F.col("next_start").alias("absolute_next")
+    ))
 
     relative = trials.withColumn("start", F.col("start") - F.col("task_start"))
     events = [trial_events(trials.where("included"), s).withColumn("source", F.lit(s)) for s in sorted(event_sources.intersection((*STIMULI, *OUTCOMES)))]
@@ -209,7 +213,7 @@ def unit_targets(loaded: LoadedSessions, units: DataFrame) -> DataFrame:
     """(session, unit_id, row_id, y): spikes in each bin, for all units in one scan; bins without any are absent."""
     spikes = loaded.store.read(UNITS).select("session", "unit_id", "spike_times").join(units.select("session", "unit_id"), ["session", "unit_id"], "left_semi")
     times = spikes.select("session", "unit_id", F.explode("spike_times").alias("time"))
-    grid = loaded.tables.grid.select("session", "row_id", "trial", F.col("absolute").alias("bin_start"))
+    grid = loaded.tables.grid.select("session", "row_id", "trial", F.col("absolute").alias("bin_start"), F.col("absolute_next").alias("next_start"))
     counted = aligned_rows(times, grid, loaded.dt).groupBy("session", "unit_id", "row_id").agg(F.count("*").cast("double").alias("y"))
     # a unit without spikes on the grid still is a target: one row of 0
     silent = units.join(counted.select("session", "unit_id").distinct(), ["session", "unit_id"], "left_anti")
