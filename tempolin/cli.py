@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from tempolin.batch import compare_models, fit_sessions, mean_by_model
+from tempolin.batch import asked_sessions, compare_models, fit_sessions, mean_by_model
 from tempolin.plans.library import MODELS
 from tempolin.plans.spec import CVConfig, Dropout, FitConfig
 from tempolin.sources import sinks
@@ -60,6 +60,7 @@ def _common(parser: argparse.ArgumentParser) -> None:
     reduced.add_argument("--no-dropouts", action="store_true")
 
 
+# Names of the options.
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -67,7 +68,9 @@ def build_parser() -> argparse.ArgumentParser:
     _common(fit)
     fit.add_argument("--output", required=True)
     fit.add_argument("--model", choices=sorted(MODELS), default="default")
-    fit.add_argument("--limit", type=int)
+    fit.add_argument("--limit", type=int, help="units of a session at most")
+    fit.add_argument("--sessions", nargs="+", help="sessions to run; all by default")
+    fit.add_argument("--session-limit", type=int, help="sessions at most, before those that are done are left out")
     fit.add_argument("--overwrite", action="store_true")
     fit.add_argument("--dry-run", action="store_true", help="list the sessions that would be fitted")
     compare = commands.add_parser("compare", help="compare models on the same units")
@@ -93,12 +96,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         mean_by_model(table).show(truncate=False)
         return
     if args.dry_run:
-        units = qc_units(store, args.qc_column, args.qc_filter)
-        sinks.pending(units.select("session").distinct(), sinks.written_sessions(spark, args.output), args.overwrite).show(truncate=False)
+        known = qc_units(store, args.qc_column, args.qc_filter).select("session").distinct()
+        asked = asked_sessions(known, args.sessions, args.session_limit)
+        known = known if asked is None else known.join(asked, "session", "left_semi")
+        sinks.pending(known, sinks.written_sessions(spark, args.output), args.overwrite).show(truncate=False)
         return
-    fitted = fit_sessions(store, args.output, model=with_dt(MODELS[args.model]), limit=args.limit, overwrite=args.overwrite, **shared)
-    if "://" not in args.output:
-        sinks.save_parameters(args.output, vars(args), fitted)
+    fitted = fit_sessions(store, args.output, model=with_dt(MODELS[args.model]), limit=args.limit, overwrite=args.overwrite, sessions=args.sessions, session_limit=args.session_limit, **shared)
+    sinks.save_parameters(spark, args.output, vars(args), fitted)
 
 
 if __name__ == "__main__":

@@ -16,6 +16,10 @@ def _late(name: str) -> str:
     return f"{name}_late"
 
 
+# Fixed values from here on: windows, numbers of basis functions, groups and names of the
+# predictors and comparisons of each model.
+
+
 def _stimuli(window: tuple[float, float], n_basis: int, basis: str) -> list[Event]:
     return [Event(s, window, n_basis, basis, gains="context", groups=("stimulus", "task")) for s in STIMULI]
 

@@ -198,7 +198,8 @@ def prepare(loaded: LoadedSessions, model: ModelSpec) -> CompiledDesign:
 def qc_units(store: TableStore | MemoryStore, qc_column: str = QC_COLUMN, qc_filter: Column | str | None = None) -> DataFrame:
     """(session, unit_id) of units that are not noise and pass a flag, or a condition instead of it.
 
-    The condition is a Column or SQL text; where it is null the unit is left out.
+    The condition is a Column or SQL text; where it is null the unit is left out.  The
+    units' place in their table (``unit_ix``) comes along if the table has it.
     """
     if qc_filter is None:
         condition = F.col(qc_column)
@@ -206,7 +207,8 @@ def qc_units(store: TableStore | MemoryStore, qc_column: str = QC_COLUMN, qc_fil
         condition = F.expr(qc_filter) if isinstance(qc_filter, str) else qc_filter
     else:
         raise TypeError("a QC filter is a Column or SQL text")
-    return store.read(UNITS).where(condition & (F.col("decoder_label") != "noise")).select("session", "unit_id")
+    units = store.read(UNITS)
+    return units.where(condition & (F.col("decoder_label") != "noise")).select("session", "unit_id", *(c for c in ("unit_ix",) if c in units.columns))
 
 
 def unit_targets(loaded: LoadedSessions, units: DataFrame) -> DataFrame:

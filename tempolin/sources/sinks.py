@@ -24,9 +24,14 @@ def session_documents(results: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, shared: Mapping[str, object]) -> None:
-    """Append one JSON line a session under ``path``/results/session=.../."""
+    """Write one JSON line a session under ``path``/results/session=.../.
+
+    A session's document replaces the one that is there; those of other sessions stay.
+    """
     document = F.concat(F.regexp_replace(F.lit(json.dumps(shared)), r"\}$", ""), F.lit(', "session_id": "'), F.col("session").cast("string"), F.lit('", "units": '), F.col("units"), F.lit("}"))
-    session_documents(results).select("session", document.alias("value")).write.partitionBy("session").mode("append").text(f"{path}/{RESULTS}")
+    session_documents(results).select("session", document.alias("value")).write.partitionBy("session").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(
+        f"{path}/{RESULTS}"
+    )
 
 
 def written_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -56,11 +61,14 @@ def export_files(spark: SparkSession, path: str, folder: str) -> list[str]:
     return sorted(out)
 
 
-def save_parameters(folder: str, parameters: Mapping[str, object], sessions: list[str]) -> str:
-    """What a run was asked for, beside its results."""
-    os.makedirs(folder, exist_ok=True)
+def save_parameters(spark: SparkSession, folder: str, parameters: Mapping[str, object], sessions: list[str]) -> str:
+    """What a run was asked for, beside its results, on whatever file system they are."""
     path = f"{folder}/{PARAMETERS}"
-    with open(path, "w") as file:
-        json.dump({"created": datetime.datetime.now(datetime.UTC).isoformat(), "parameters": dict(parameters), "sessions": sessions}, file, indent=2, default=str)
-        file.write("\n")
+    told = {"created": datetime.datetime.now(datetime.UTC).isoformat(), "parameters": dict(parameters), "sessions": sessions}
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(json.dumps(told, indent=2, default=str).encode() + b"\n"))
+    finally:
+        out.close()
     return path

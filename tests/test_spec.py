@@ -53,6 +53,27 @@ def test_wrong_declarations_raise(make):
         make()
 
 
+def test_all_broken_rules_are_told():
+    with pytest.raises(ValueError, match="align.*normalize"):
+        Signal("a", (0, 1), align="mean", normalize="max")
+    with pytest.raises(ValueError, match="'z'.*'h'"):
+        Dropout.terms("d", predictors=("z",), gains=("h",)).resolve_for(model())
+
+
+def test_gain_terms_are_pairs_of_names():
+    for bad in ("ga", (1, "a")):
+        with pytest.raises(TypeError):
+            Dropout("d", remove_gain_terms=(bad,))
+    with pytest.raises(ValueError):
+        Dropout("d", remove_gain_terms=(("g", "a", "b"),))
+
+
+def test_terms_are_kernels_and_gains_in_order():
+    assert [tuple(t) for t in model().terms] == [(None, "a"), ("g", "a"), (None, "b")]
+    done = Dropout.terms("d", gains=("g",), gain_terms=(("g", "a"),)).resolve_for(model())
+    assert (done.gains, done.gain_terms, done.refit) == (("g",), (("g", "a"),), "gains")
+
+
 def test_orthogonal_to_an_event_is_a_type_error():
     with pytest.raises(TypeError):
         ModelSpec((Event("a", (0, 1)), Signal("b", (0, 1), orthogonalize_against="a")), dt=1)
