@@ -154,13 +154,15 @@ class Reader:
 class WordEncoder:
     """Ids of whole texts as the library gives them, with words that recur encoded once a worker.
 
-    Tokenizers that drop white space give the words between spaces their own ids (see
-    :func:`splits_at_space`), and a stop, comma or the like after a plain letter or
-    digit begins a token of its own; so texts are cut there and the pieces' ids joined.
-    Pieces that were not met yet go through the library together, those of letters
-    only as one text, cut again after each token that ends a word.  Pieces are lower-cased,
-    but added tokens are matched as they are written: a text that holds one, in any case,
-    goes whole.  Other tokenizers get every text whole.
+    A tokenizer whose steps are known (see :func:`splits_at_space`) gives the words between
+    spaces their own ids, and a stop, comma or the like after a plain letter or digit
+    begins a token of its own; so texts are cut there and the pieces' ids joined.  Pieces
+    that were not met yet go through the library together, those of letters only as one
+    text, cut again after each token that ends a word.  Pieces of Latin-1 characters are
+    lower-cased, which nothing composes with; others stay as they are, since the library
+    composes characters before it lower-cases them.  Added tokens are matched as they are
+    written: a text that holds one, in any case, goes whole.  Other tokenizers get every
+    text whole.
     """
 
     _MARK = re.compile("[.,;:!?](?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff].)")
@@ -182,18 +184,17 @@ class WordEncoder:
             self.ends[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = sorted({form for a in added for form in (a, a.lower(), self._lower(a))})
+        self.added = sorted({form for a in added for form in (a, a.lower())})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self._whole(texts)
-        lower = [self._lower(t) for t in texts]
-        whole = [k for k, t in enumerate(lower) if any(a in t for a in self.added)]
+        whole = [k for k, t in enumerate(texts) if self._holds_added(t)]
         if whole:
             out = dict(zip(whole, self._whole([texts[k] for k in whole])))
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in out]))
             return [out[k] if k in out else next(rest) for k in range(len(texts))]
-        pieces = [self._pieces(t) for t in lower]
+        pieces = [self._pieces(t) for t in texts]
         every = set().union(*pieces)
         fresh = every.difference(self.known)
         known = self.known
@@ -208,12 +209,15 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _lower(self, text: str) -> str:
-        # lower-casing one character by one: the same for Latin-1 here and in the library
-        return text.encode().lower().decode() if self._BEYOND_LATIN.search(text) else text.lower()
+    def _holds_added(self, text: str) -> bool:
+        lower = text.lower()
+        return any(a in lower or a in text for a in self.added)
 
-    def _pieces(self, lower: str) -> list[str]:
-        return self._MARK.sub(r" \g<0>", lower.replace("\n", " ")).split(" ")
+    def _pieces(self, text: str) -> list[str]:
+        beyond = self._BEYOND_LATIN.search
+        latin = beyond(text) is None
+        pieces = self._MARK.sub(r" \g<0>", (text.lower() if latin else text).replace("\n", " ")).split(" ")
+        return pieces if latin else [p if beyond(p) else p.lower() for p in pieces]
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         plain = [p for p in pieces if self._PLAIN.fullmatch(p)]
@@ -237,19 +241,24 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+# The steps for which texts may be cut at spaces, and at stops after a plain
+# letter or digit: characters are composed, white space made one space, all lower-cased,
+# and tokens are certain endings, runs of letters, single digits, or runs of anything else.
+_NORMAL_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def splits_at_space(tokenizer) -> bool:
-    """Whether white space is dropped before the model sees a text, by the tokenizer's own settings."""
+    """Whether a tokenizer's steps are those that are known, and its added tokens stand for themselves only."""
     import json
 
     settings = json.loads(tokenizer.to_str())
-    steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [settings["pre_tokenizer"] or {}])
-    first = steps[0]
-    normal = (settings["normalizer"] or {}).get("normalizers", [settings["normalizer"]] if settings["normalizer"] else [])
-    safe = all(n["type"] in ("NFC", "NFD", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == "\\s+" and n["content"] == " " for n in normal)
-    return (
-        safe and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        and "\\s" in first["pattern"].get("Regex", "") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in settings["added_tokens"])
-    )
+    normal = (settings["normalizer"] or {}).get("normalizers")
+    steps = (settings["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    splits = {"type": "Split", "pattern": {"Regex": _TOKEN_PATTERN}, "behavior": "Removed", "invert": True}
+    bytes_only = [s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in steps[1:]]
+    plain = [not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"[\s.,;:!?]", t["content"]) for t in settings["added_tokens"]]
+    return normal == _NORMAL_STEPS and steps[0] == splits and all(bytes_only) and all(plain) and not settings["truncation"] and not settings["padding"]
 
 
 def _write_part(path: str, tokenizer_path: str, end_id: int):
