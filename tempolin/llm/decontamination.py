@@ -5,6 +5,12 @@ Documents stream through it word by word; the automaton gives the longest match
 ends at each word.  A match of at least ``window`` words marks the last ``window``
 words, and an item shorter than that is marked where the whole of it occurs.
 
+Items of up to ``BLOCK_WORDS`` words are one automaton, and the documents are read once.
+More items are cut into blocks of that size.  Hashes of all their windows, in filters of
+bounded size, tell in one pass over the documents (one for every ``FILTER_WINDOWS``
+windows) which blocks a document can hold a window of; only documents that have any go to
+the automata of those blocks, with the block's items in front of them.
+
 Normalisation: A-Z become a-z; a word is a run of 0-9, a-z or characters from U+0080.
 
 Defined results: null or empty text has no words; an item without words never
@@ -19,18 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, cut, trimmed
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD_BYTES = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z and makes every byte outside words a space.
 _NORMAL = bytes(ord(chr(b).lower()) if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 
 #: Words of test items in one automaton: about 50 MB of a worker's memory at most.
 BLOCK_WORDS = 60_000
+#: Windows of items in one filter: a broadcast of about 100 MB at most.
+FILTER_WINDOWS = 8_000_000
+#: Documents that meet one block in one task, about.
+BLOCK_DOCS = 2_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -122,6 +133,10 @@ class SuffixAutomaton:
             stack.extend((child, False) for child in children[state])
         self.flat = np.array(flat, dtype=np.int64)
 
+    def names(self, numbers: set[int]) -> list[str]:
+        """Ids of the items with these numbers, in order."""
+        return sorted({self.ids[i] for i in numbers if self.ids[i] is not None})
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans [start, end) of word positions, merged and in order, and the items."""
         get = self.vocabulary.get
@@ -179,24 +194,114 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": x, "end": y} for x, y in one] for one in spans], _SPANS)
+
+
 def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, with_body: bool):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton(items, window)
         for batch in batches:
             counts, spans, found = [], [], []
-            for text, old_spans, old_items in zip(*(batch.column(c).to_pylist() for c in ("body", "spans", "items"))):
+            for text in batch.column("body").to_pylist():
                 words = words_of(text or b"")
                 new_spans, new_items = automaton.scan(words) if words else ([], set())
                 counts.append(len(words))
-                merged = _merged([(s["start"], s["end"]) for s in old_spans] + new_spans)
-                spans.append([{"start": s, "end": e} for s, e in merged])
-                found.append(sorted({automaton.ids[i] for i in new_items if automaton.ids[i] is not None} | set(old_items)))
-            out = {"doc": batch.column(0), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(found, pa.list_(pa.string()))}
+                spans.append(new_spans)
+                found.append(automaton.names(new_items))
+            out = {"doc": batch.column(0), "n_words": pa.array(counts, pa.int64()), "spans": _spans_array(spans), "items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(out | ({"body": batch.column("body")} if with_body else {}))
 
     return match
 
 
+def window_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """A 64-bit hash of each ``width`` consecutive words."""
+    from xxhash import xxh3_64_intdigest
+
+    n = len(words) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    out = hashes[:n] + np.uint64(width)
+    for k in range(1, width):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return out ^ (out >> np.uint64(32))
+
+
+def _windows(window: int):
+    """(hash, block, width) of the windows of items; a short item is one."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, blocks, widths = [np.empty(0, np.uint64)], [], []
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                width = min(window, len(words))
+                if width:
+                    hashes.append(np.unique(window_hashes(words, width)))
+                    blocks += [block] * len(hashes[-1])
+                    widths += [width] * len(hashes[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(blocks, pa.int32()), pa.array(widths, pa.int32())], names=["hash", "block", "width"])
+
+    return make
+
+
+def _screen(known):
+    """Add the blocks whose windows a document may hold; ``known`` is a broadcast (hashes, blocks, widths), by hash."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, blocks, widths = known.value
+        rough = np.zeros(1 << 24, dtype=bool)  # most windows are told apart by 24 bits
+        rough[hashes >> np.uint64(40)] = True
+        for batch in batches:
+            counts, found = [], []
+            for text, old in zip(batch.column("body").to_pylist(), batch.column("blocks").to_pylist()):
+                words = words_of(text or b"")
+                counts.append(len(words))
+                met = set(old)
+                for width in widths:
+                    mine = window_hashes(words, width)
+                    mine = mine[rough[mine >> np.uint64(40)]]
+                    for low, high in zip(np.searchsorted(hashes, mine, "left").tolist(), np.searchsorted(hashes, mine, "right").tolist()):
+                        met.update(blocks[low:high].tolist())
+                found.append(sorted(met))
+            yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "body": batch.column("body"), "n_words": pa.array(counts, pa.int64()), "blocks": pa.array(found, pa.list_(pa.int32()))})
+
+    return screen
+
+
+def _by_block(window: int):
+    """Items of a block in front of the documents that meet it: (rid, spans, items) of each of these."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, automaton, items = None, None, []
+        for batch in batches:
+            rids, spans, found = [], [], []
+            for block, salt, rid, item, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (block, salt) != place:
+                    place, automaton, items = (block, salt), None, []
+                if rid is None:
+                    items.append((item, words_of(text)))
+                    continue
+                automaton = SuffixAutomaton(items, window) if automaton is None else automaton
+                new_spans, new_items = automaton.scan(words_of(text))
+                rids.append(rid)
+                spans.append(new_spans)
+                found.append(automaton.names(new_items))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), _spans_array(spans), pa.array(found, pa.list_(pa.string()))], names=["rid", "spans", "items"])
+
+    return match
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several blocks found in one document."""
+    for batch in batches:
+        spans = [_merged([(s["start"], s["end"]) for one in x for s in one]) for x in batch.column(1).to_pylist()]
+        items = [sorted(set().union(*x)) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _spans_array(spans), pa.array(items, pa.list_(pa.string()))], names=["rid", "spans", "items"])
+
+
 def find_spans(
     docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
     item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, with_body: bool = False,
@@ -205,41 +310,63 @@ def find_spans(
     positions (merged, in order), the ids of the ``items`` found, and its UTF-8 ``body``
     if asked for.
 
-    Items are cut into blocks of at most ``block_words`` words (an item longer than
-    that is a block of its own), so one automaton has a known size however many items
-    there are.  With several blocks the documents pass once per block, through a table
-    in the shared folder, so that only one automaton is in memory at a time.
+    Items are cut into blocks of about ``block_words`` words, so one automaton has a known
+    size however many items there are.
     """
     bound_batches(docs.sparkSession)
-    state = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("doc"),
-        F.col(text_col).cast("binary").alias("body"),
-        F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    results = state.select("doc", F.lit(0).cast("long").alias("n_words"), "spans", "items").schema
+    state = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), F.col(text_col).cast("binary").alias("body"))
+    kind, body = state.schema["doc"].dataType, [T.StructField("body", T.BinaryType())] * with_body
+    spans, ids = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", ids), *body])
     blocks = _blocks(items, item_id_col, item_text_col, block_words)
-    block = next(blocks)
-    for following in blocks:
-        state = cut(state.mapInArrow(trimmed(_matcher(block, window, True)), T.StructType(results.fields + state.select("body").schema.fields)), "decontamination-pass")
-        block = following
-    return state.mapInArrow(trimmed(_matcher(block, window, with_body)), T.StructType(results.fields + (state.select("body").schema.fields if with_body else [])))
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Blocks of items, read one after another; an empty one if there are no items."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    block: list[tuple[str | None, list[bytes]]] = []
-    size, any_block = 0, False
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row["t"]))
-        if block and size + len(words) > block_words:
-            yield block
-            block, size, any_block = [], 0, True
-        block.append((row["i"], words))
-        size += len(words)
-    if block or not any_block:
-        yield block
+    sizes = blocks.agg(F.max("block"), F.count("*")).first()
+    if not sizes[0]:
+        listed = [(r["item"], words_of(bytes(r["text"]))) for r in blocks.select("item", "text").collect()]  # one block at most
+        return state.mapInArrow(trimmed(_matcher(listed, window, with_body)), schema)
+
+    state = state.withColumn("n_words", F.lit(0).cast("long")).withColumn("blocks", F.array().cast("array<int>"))
+    for known in _filters(blocks, window):
+        screened = state.mapInArrow(trimmed(_screen(known)), T.StructType([schema["doc"], T.StructField("body", T.BinaryType()), schema["n_words"], T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
+        state = cut(screened.withColumn("rid", F.monotonically_increasing_id()), "decontamination-screened")
+    met = state.where(F.size("blocks") > 0)
+    places = met.select("rid", F.explode("blocks").alias("block"))
+    salts = cut(places.groupBy("block").agg((F.expr(f"count(*) div {BLOCK_DOCS}") + 1).cast("int").alias("salts")), "decontamination-blocks")
+    front = blocks.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rid"), "item", "text")
+    few = F.broadcast(salts)  # one row a block: a million blocks are 60 billion words of items
+    texts = met.select("rid", "body", F.explode("blocks").alias("block")).join(few, "block")
+    texts = texts.select("block", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), "rid", F.lit(None).cast("string").alias("item"), F.col("body").alias("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = front.unionByName(texts).repartition(n, "block", "salt").sortWithinPartitions("block", "salt", F.col("rid").asc_nulls_first())
+    pieces = T.StructType([T.StructField("rid", T.LongType()), schema["spans"], schema["items"]])
+    found = cut(dealt.mapInArrow(trimmed(_by_block(window)), pieces), "decontamination-found")
+    # a document's blocks are few: those that it holds a window of
+    found = found.groupBy("rid").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).mapInArrow(_merge, pieces)
+    clean = state.where(F.size("blocks") == 0).select("doc", "n_words", F.array().cast(spans).alias("spans"), F.array().cast(ids).alias("items"), *(["body"] * with_body))
+    return clean.unionByName(met.join(found, "rid").select(*clean.columns))
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> DataFrame:
+    """(block, item, text) of the items with words, in the shared folder: blocks are numbered from 0."""
+    n_words = F.size(F.array_remove(F.split(F.translate(F.col("_t"), _UPPER, _LOWER), r"[^0-9a-z\x{80}-\x{10FFFF}]+"), "")).cast("long")
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("_t")).select("item", F.col("_t").cast("binary").alias("text"), n_words.alias("n")).where("n > 0")
+    numbered = cut(rows.withColumn("at", F.monotonically_increasing_id()), "decontamination-items")
+    # three numbers a row are put in order in one task: items, not documents
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.expr(f"cast(coalesce(_before, 0) div {int(block_words)} as int)")
+    placed = numbered.select("at", F.sum("n").over(before).alias("_before")).select("at", block.alias("block"))
+    return cut(numbered.join(placed, "at").select("block", "item", "text"), "decontamination-items")
+
+
+def _filters(blocks: DataFrame, window: int) -> Iterator:
+    """Broadcasts of (hashes, blocks, widths), sorted by hash, of at most about ``FILTER_WINDOWS`` windows each."""
+    spark = blocks.sparkSession
+    windows = cut(blocks.select("block", "text").mapInArrow(_windows(window), "hash long, block int, width int").distinct(), "decontamination-windows")
+    parts = windows.count() // FILTER_WINDOWS + 1
+    for part in range(parts):
+        table = windows.where(F.pmod("hash", F.lit(parts)) == part).toArrow()
+        hashes = table.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        yield spark.sparkContext.broadcast((hashes[order], table.column("block").to_numpy()[order], sorted(set(table.column("width").to_pylist()))))
 
 
 def decontaminate(
