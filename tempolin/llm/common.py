@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
 
@@ -14,11 +15,13 @@ _CHECKPOINT = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode, where that is
+    unset, a temporary folder of this machine is used.
     """
     named = spark.conf.get(_CHECKPOINT, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_CHECKPOINT} names no folder that the executors share")
         named = tempfile.mkdtemp(prefix="tempolin-")
         spark.conf.set(_CHECKPOINT, named)
     return named.rstrip("/")
@@ -34,15 +37,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the scratch tables and files of this driver.
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables and files of this driver, or those made after the first ``since``.
 
-    Results that read them are lazy, so call this when they have been written.
+    Results that read them are lazy, so call this when they have been written; ``keep`` is
+    a table of :func:`cut` that stays.
     """
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    kept = [] if keep is None else [keep._scratch]
+    while len(_made) > since:
+        path = _made.pop()
+        if path not in kept:
+            _delete(spark, path)
+    _made.extend(kept)
+
+
+def mark() -> int:
+    """How many scratch paths there are now, for :func:`clean`."""
+    return len(_made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`cut` gave, once nothing reads it any more."""
+    path = table._scratch
+    if path in _made:
+        _made.remove(path)
+        _delete(table.sparkSession, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -55,7 +79,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+#: Keys that are met by broadcast: fewer than this.
+HOT_KEYS = 2_500
+#: Rows that a key must have at least for that.
+HOT_ROWS = 256
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` (``total`` of them, in a table) with the columns of ``one``, which has one row a key.
+
+    Keys of more than ``total / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so their rows
+    of ``one`` are broadcast and the rows that hold them stay where they are.  All other
+    rows are shuffled, and no key has many of those.  ``how`` is inner or left; null keys
+    meet nothing.
+    """
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(F.col(key).alias("_hot")))
+    some = rows.join(hot, F.col(key) == F.col("_hot"), "left_semi")
+    others = rows.join(hot, F.col(key) == F.col("_hot"), "left_anti")
+    known = F.broadcast(one.join(hot, F.col(key) == F.col("_hot"), "left_semi"))
+    return some.join(known, key, how).unionByName(others.join(one, key, how))
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

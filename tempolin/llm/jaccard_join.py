@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees, and its components.
 
-Documents become sets of 64-bit hashes of word shingles; equal sets are one class.  Two
-classes link when 100 * intersection >= threshold * union.
+Documents become sets of 64-bit hashes of word shingles; equal sets are one class, named
+by 128 bits of its hashes.  Two classes link when 100 * intersection >= threshold * union.
 
 Which classes can meet: both ways give sets which link a key in common, so neither
 loses a link.  Above ``PARTS_ABOVE`` percent hash space is cut into so many parts that
@@ -10,10 +10,11 @@ more than D parts; parts with few elements are left out where enough others rema
 sizes are in classes of the ratio of the threshold, so that sets which link share one.
 Below, parts would be too small to tell sets apart, and keys are the prefix of each set
 in one order of all shingles, rare ones first; the order comes from a sketch of counts
-over all documents, whose size follows the number of shingles up to a bound (any order
-is exact; beyond the bound it tells rare shingles apart less well, and groups grow).  A key in
-common joins classes to the least one there; the connected components of that are the
-groups that can hold links at all.
+over all documents, whose size follows the number of shingles up to a bound.  Any order is
+exact.  Beyond the bound several shingles share a counter and counters are rounded, but
+they never stop, so shingles that are common still come last.  A key in common joins
+classes to the least one there; the connected components of that are the groups that can
+hold links at all.
 
 Within a group, signature trees: sets sorted by size and signature form leaves, nodes
 hold OR-combined bitmaps of tokens and the range of sizes, and a traversal of two trees
@@ -23,7 +24,8 @@ component need no comparing among themselves, so thousands of near copies cost a
 many comparisons as sets.  A group above ``BLOCK_SHINGLES`` is cut into blocks and all
 pairs of its blocks are traversed, each in a task of known size.
 
-Hashes of 64 bits: among N classes two agree by chance with probability N * N / 2 ** 65.
+Names have 128 bits: among N classes two agree by chance with probability N * N / 2 ** 129.
+A text is fetched by a 64-bit hash and taken only if its set has the name asked for.
 
 Defined results: texts without words are empty sets, linked with nothing, and their
 component is their own id; texts of fewer words than a shingle are one shingle; rows
@@ -44,14 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, trimmed
+from .common import bound_batches, cut, spread_join, trimmed
 from .graph import components
 
 #: Shingles of the sets in one block: about 32 MB.
 BLOCK_SHINGLES = 4_000_000
 #: Thresholds (percent) from which keys are parts; a part then has about five shingles or more.
 PARTS_ABOVE = 88
-#: Bits of the sketch's index: counters of two bits up to 32 MB, beyond that of a byte in 64 MB.
+#: Bits of the sketch's index: counters of two bits up to 32 MB, beyond that rounded ones of a byte in 64 MB.
 PACKED_BITS, SKETCH_BITS = 27, 26
 _CHUNK = 1 << 16
 #: Buckets of hashes in the coarse filter of texts: a broadcast of at most 8 MB of numbers.
@@ -82,12 +84,11 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    from xxhash import xxh3_64_intdigest
+def node_of(hashes: np.ndarray) -> bytes:
+    """Name of a set: 16 bytes."""
+    from xxhash import xxh3_128_digest
 
-    value = xxh3_64_intdigest(hashes.tobytes())
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return xxh3_128_digest(hashes.tobytes())
 
 
 @lru_cache(maxsize=None)
@@ -137,11 +138,14 @@ def part_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
 
 
 class Sketch:
-    """Counts of shingles in ``2 ** bits`` counters of two bits (up to 3) or of a byte (up to 255)."""
+    """Counts of shingles in ``2 ** bits`` counters: of two bits (up to 3), or of 16 while one
+    task counts and, as :func:`rounded` bytes, where the counts of all tasks are added up."""
 
     def __init__(self, bits: int, packed: bool, data: np.ndarray | None = None):
         self.bits, self.packed = bits, packed
-        self.data = np.zeros((1 << bits) // (4 if packed else 1), np.uint8) if data is None else data
+        if data is None:
+            data = np.zeros((1 << bits) // 4, np.uint8) if packed else np.zeros(1 << bits, np.uint16)
+        self.data = data
 
     @classmethod
     def plan(cls, total: int) -> tuple[int, bool]:
@@ -156,7 +160,8 @@ class Sketch:
         """Count the shingles of one set; those that share a counter count once."""
         place = self.place(hashes)
         if not self.packed:
-            self.data[place] = np.minimum(self.data[place].astype(np.int16) + 1, 255)
+            now = self.data[place]
+            self.data[place] = now + (now < 65_535)
             return
         for k in range(4):  # the counters of a byte one after the other, so that no update is lost
             at, shift = place[(place & 3) == k] >> 2, np.uint8(2 * k)
@@ -170,10 +175,23 @@ class Sketch:
         return (self.data[place >> 2] >> ((place & 3) * 2).astype(np.uint8)) & np.uint8(3)
 
 
+def rounded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact up to 15, then three bits after the highest one, up to 15 * 2 ** 30."""
+    counts = np.minimum(counts.astype(np.uint64), np.uint64(15 << 30))
+    up = np.maximum(np.frexp(counts.astype(np.float64))[1] - 4, 0).astype(np.uint64)
+    return np.where(up == 0, counts, (up << np.uint64(3)) + (counts >> up)).astype(np.uint8)
+
+
+def unrounded(codes: np.ndarray) -> np.ndarray:
+    """The least count of each byte of :func:`rounded`."""
+    up = np.maximum(codes >> 3, 1).astype(np.uint64) - np.uint64(1)
+    return np.where(codes < 16, codes, (codes & 7) | 8).astype(np.uint64) << up
+
+
 def _added(a: np.ndarray, b: np.ndarray, packed: bool) -> np.ndarray:
-    """Sums of counters that stop at their largest value."""
+    """Sums of counters; those of two bits stop at 3."""
     if not packed:
-        return np.minimum(a.astype(np.int16) + b, 255).astype(np.uint8)
+        return a.astype(np.uint64) + b.astype(np.uint64)
     out = np.zeros_like(a)
     for shift in (0, 2, 4, 6):
         out |= np.minimum(((a >> shift) & 3) + ((b >> shift) & 3), 3).astype(np.uint8) << np.uint8(shift)
@@ -197,6 +215,7 @@ def _sketched(size: int, bits: int, packed: bool):
         for chunk in range(0, len(sketch.data), _CHUNK):
             part = sketch.data[chunk : chunk + _CHUNK]
             if part.any():
+                part = part if packed else rounded(part)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk // _CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     return make
@@ -207,7 +226,9 @@ def _merge_sketch(packed: bool):
         total = None
         for data in table.column("counts"):
             part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+            part = part if packed else unrounded(part)
             total = part if total is None else _added(total, part, packed)
+        total = total if packed else rounded(total)
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     return merge
@@ -221,7 +242,7 @@ def rarity_sketch(body: DataFrame, shingle: int, total: int) -> Sketch:
     """
     bits, packed = Sketch.plan(total)
     chunks = body.mapInArrow(trimmed(_sketched(shingle, bits, packed)), "chunk int, counts binary").groupBy("chunk").applyInArrow(_merge_sketch(packed), "chunk int, counts binary")
-    sketch = Sketch(bits, packed)
+    sketch = Sketch(bits, packed, np.zeros((1 << bits) // (4 if packed else 1), np.uint8))
     for row in chunks.toLocalIterator():
         sketch.data[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.uint8)
     return sketch
@@ -236,7 +257,7 @@ def _nodes(size: int):
                 counts.append(len(hashes))
                 nodes.append(node_of(hashes) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles"]
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles"]
             )
 
     return make
@@ -246,7 +267,7 @@ def _keys(size: int, threshold: int, sketch=None):
     """``sketch`` is the broadcast :class:`Sketch`, or None for parts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             keys, nodes, held = [], [], 0
             for text in batch.column(0).to_pylist():
@@ -266,23 +287,42 @@ def _keys(size: int, threshold: int, sketch=None):
     return make
 
 
-def _key_batch(keys: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
-    repeated = np.repeat(np.array([n for n, _ in nodes], np.int64), [c for _, c in nodes])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(repeated)], names=["key", "node"])
+def _key_batch(keys: list[np.ndarray], nodes: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    names = np.frombuffer(b"".join(n for n, _ in nodes), np.uint8).reshape(-1, 16)
+    repeated = np.repeat(names, [c for _, c in nodes], axis=0)
+    places = pa.py_buffer(np.arange(0, 16 * len(repeated) + 1, 16, dtype=np.int32))
+    column = pa.BinaryArray.from_buffers(pa.binary(), len(repeated), [None, places, pa.py_buffer(repeated.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), column], names=["key", "node"])
+
+
+def _texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leave out texts that this task has passed on already, by 128 bits of their bytes."""
+    from xxhash import xxh3_128_digest
+
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for text in batch.column(1).to_pylist():
+            name = xxh3_128_digest(text or b"")
+            fresh.append(name not in seen)
+            seen.add(name)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
 def _sets(size: int):
+    """The sets of the nodes asked for; a text that only shares its hash with the one meant gives none."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             fresh, sets = [], []
-            blocks, groups, nodes, texts = (batch.column(k).to_pylist() for k in range(4))
-            for block, node, text in zip(blocks, nodes, texts):
-                new = (block, node) not in seen
-                seen.add((block, node))
-                fresh.append(new)
-                if new:
-                    sets.append(shingle_set(text, size).tobytes())
+            blocks, nodes, names, texts = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            for block, node, name, text in zip(blocks, nodes, names, texts):
+                hashes = shingle_set(text or b"", size) if (block, node) not in seen else None
+                fresh.append(hashes is not None and node_of(hashes) == name)
+                if fresh[-1]:
+                    seen.add((block, node))
+                    sets.append(hashes.tobytes())
             kept = batch.filter(pa.array(fresh, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(sets, pa.binary())], names=["block", "group", "node", "hashes"])
 
@@ -397,60 +437,79 @@ def _join_block(threshold: int):
             root = SignatureTree([sets[n] for n in order], threshold).join()
             nodes_out += order
             roots_out += [order[r] for r in root.tolist()]
-        return pa.table({"node": pa.array(nodes_out, pa.int64()), "root": pa.array(roots_out, pa.int64())})
+        return pa.table({"id": pa.array(nodes_out, pa.int64()), "root": pa.array(roots_out, pa.int64())})
 
     return join
 
 
 def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node and root (null for an empty set), n_shingles and component_id of every row."""
-    bound_batches(docs.sparkSession)
-    body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("text_hash"), F.col(text_col).cast("binary").alias("body"))
-    rows = cut(body.mapInArrow(trimmed(_nodes(shingle)), f"doc_id {dict(body.dtypes)['doc_id']}, text_hash long, node long, n_shingles long"), "join-rows")
-    classes = cut(
-        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n")), "join-classes"
-    )
+    """doc_id, text_hash, node and root (null for an empty set), n_shingles and component_id of every row.
+
+    ``node`` is the name of a row's class, ``root`` the number of a class of its component.
+    """
     spark = docs.sparkSession
+    bound_batches(spark)
+    body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("text_hash"), F.col(text_col).cast("binary").alias("body"))
+    rows = cut(body.mapInArrow(trimmed(_nodes(shingle)), f"doc_id {dict(body.dtypes)['doc_id']}, text_hash long, node binary, n_shingles long"), "join-rows")
+    # numbers are given where the classes are written, so they stay
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "join-classes")
+    groups = cut(components(_candidates(body, rows, classes, shingle, threshold)).select(F.col("node").alias("id"), F.col("root").alias("group")), "join-groups")
+    roots = _verified(body, groups, classes, shingle, threshold)
+
+    members = cut(roots.join(classes.select("id", "least_id"), "id"), "join-members")
+    least = members.groupBy("root").agg(F.min("least_id").alias("least"))
+    met = spread_join(members, least, "root", members.count()).select("id", "root", "least")
+    of_node = classes.join(met, "id", "left").select("node", F.coalesce("root", "id").alias("root"), F.coalesce("least", "least_id").alias("least"))
+    out = spread_join(rows, of_node, "node", rows.count(), "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "text_hash", "node", "root", "n_shingles", component.alias("component_id"))
+
+
+def _candidates(body: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(a, b): numbers of classes that share a key, each joined to the least one of the key."""
+    spark = body.sparkSession
     sketch = None
     if threshold < PARTS_ABOVE:
         total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
         sketch = spark.sparkContext.broadcast(rarity_sketch(body.select("body"), shingle, total))
-    keys = body.select("body").mapInArrow(trimmed(_keys(shingle, threshold, sketch)), "key long, node long")
+    keys = body.select("body").mapInArrow(trimmed(_keys(shingle, threshold, sketch)), "key long, node binary")
     # sorted by key and node, the first node of a key is its least: no group is ever held
     keys.createOrReplaceTempView(view := f"keys_{abs(hash(id(keys)))}")
-    least = spark.sql(f"select node as a, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as b from {view}")
+    least = spark.sql(f"select node as x, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as y from {view}")
     spark.catalog.dropTempView(view)
-    groups = cut(components(least.where("a <> b")).select("node", F.col("root").alias("group")), "join-groups")
+    links = cut(least.where("x <> y").distinct(), "join-links")
+    # the least one of very many classes is met by broadcast
+    a, b = (classes.select(F.col("node").alias(name), F.col("id").alias(new)) for name, new in (("x", "a"), ("y", "b")))
+    return spread_join(links.join(a, "x"), b, "y", links.count()).select("a", "b")
+
 
-    placed = groups.join(classes, "node")
-    sizes = groups.join(classes.select("node", "n"), "node").groupBy("group").agg(F.sum("n").alias("total"))
+def _verified(body: DataFrame, groups: DataFrame, classes: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(id, root) of the classes in ``groups``: components of links that hold, by signature trees."""
+    spark = body.sparkSession
+    placed = groups.join(classes.select("id", "node", "text_hash", "n"), "id")
+    sizes = groups.join(classes.select("id", "n"), "id").groupBy("group").agg(F.sum("n").alias("total"))
     sizes = cut(sizes.select("group", "total", (F.expr(f"total div {BLOCK_SHINGLES}") + 1).alias("blocks")), "join-sizes")
     total = sizes.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BLOCK_SHINGLES + 1)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = placed.join(sizes, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = spread_join(cut(placed, "join-placed"), sizes, "group", groups.count())
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # small groups share blocks; of a large one, each pair of its blocks is a block
     block = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(n_buckets))).otherwise(
         F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
     )
-    placed = cut(placed.select("text_hash", "node", "group", block.alias("block"), "blocks"), "join-blocks")
-    wanted = placed.select("text_hash", "node", "group", "block").hint("shuffle_hash")
-    near = bucketed(body.select("text_hash", "body"), "text_hash", wanted, "text_hash", "left_semi")
-    texts = near.join(wanted, "text_hash").select("block", "group", "node", "body")
+    placed = cut(placed.select("text_hash", "id", "node", "group", block.alias("block"), "blocks"), "join-blocks")
+    wanted = placed.select("text_hash", "id", "node", "group", "block").hint("shuffle_hash")
+    near = bucketed(body.select("text_hash", "body"), "text_hash", wanted, "text_hash", "left_semi").mapInArrow(trimmed(_texts_once), "text_hash long, body binary")
+    texts = near.join(wanted, "text_hash").select("block", "group", F.col("id").alias("number"), "node", "body")
     sets = texts.mapInArrow(trimmed(_sets(shingle)), "block long, group long, node long, hashes binary")
-    joined = cut(sets.groupBy("block").applyInArrow(_join_block(threshold), "node long, root long"), "join-links")
-
-    split = placed.where("blocks > 1").select("node").distinct()
+    joined = cut(sets.groupBy("block").applyInArrow(_join_block(threshold), "id long, root long"), "join-verified")
+    split = placed.where("blocks > 1").select("id").distinct()
     if split.isEmpty():
-        roots = joined
-    else:
-        across = components(joined.join(split, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = joined.join(split, "node", "left_anti").unionByName(across)
-    named = roots.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("least"))
-    of_node = classes.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "least_id").alias("least"))
-    out = rows.join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "text_hash", "node", "root", "n_shingles", component.alias("component_id"))
+        return joined
+    across = components(joined.join(split, "id", "left_semi").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return joined.join(split, "id", "left_anti").unionByName(across.select(F.col("node").alias("id"), "root"))
 
 
 def bucketed(rows: DataFrame, key: str, others: DataFrame, other_key: str, how: str) -> DataFrame:
@@ -472,7 +531,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str
     """
     linked = cut(link_components(docs, shingle, threshold, id_col, text_col).select("doc_id", "text_hash", "root"), "join-linked").where("root is not null")
     first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).where("n > 1").select("root", F.col("k.doc_id").alias("k_i"), F.col("k.text_hash").alias("k_h"))
-    others = linked.join(first, "root").groupBy("doc_id", "text_hash").agg(
+    others = spread_join(linked, first, "root", linked.count()).groupBy("doc_id", "text_hash").agg(
         F.max((F.col("doc_id").eqNullSafe(F.col("k_i")) & (F.col("text_hash") == F.col("k_h"))).cast("int")).alias("first"), F.count("*").alias("n")
     )
     # what goes, and equal rows under one id of which one stays
