@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, trimmed
+from .common import bound_batches, cut, spread_join, trimmed
 
 
 _CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -94,7 +94,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     """doc_id, n_bytes and n_tokens of every row of ``docs``; extends the cache at ``cache_path``.
 
     Copies meet twice only as digests: each task passes on a content once, so a text
-    that a third of the rows hold crosses the shuffle once a task.
+    that a third of the rows hold crosses the shuffle once a task, and rows of a digest
+    that very many hold meet its count by broadcast.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -110,5 +111,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     counts = spark.read.schema(_CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == tokenizer)
     # two runs may append the same count at the same time
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    light = keyed.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
-    return light.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    light = cut(keyed.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes")), "token-count-rows")
+    return spread_join(light, counts, "digest", light.count(), "left").select("doc_id", "n_bytes", "n_tokens")
