@@ -12,19 +12,23 @@ needs: whole epochs take every document, the last one those that begin before th
 budget ends (so a leaf exceeds its budget by less than its last document).  Every epoch
 has an order of its own.  Tokens are runs of characters other than white space.
 
-All of it is DataFrame functions on whole numbers.  Leaf totals are summed before any
-shuffle; order within a leaf comes from a hash, cut into slices of known size so that
-the largest leaf is spread over many tasks.
+All of it is DataFrame functions on whole numbers, products of them with 38 digits.  Leaf
+totals are summed before any shuffle; order within a leaf comes from a hash, cut into as
+many slices as a slice has documents, about, so that the largest leaf is spread over many
+tasks and so is the sum over its slices.  The children of one node of the tree are put in
+order in one task, which keeps running sums only.
 
 Defined results: null text has 0 tokens and null keys are values of their own;
 documents without tokens come with whole epochs or where the budget has not ended; rows
-of one id in one leaf are taken together; an empty table, or a budget of 0, gives an
-empty result.  Whole documents are carried in a struct, so columns can have any name.
+of one id in one leaf are taken together; a node of weight 0 gets nothing, also where its
+siblings run short, and a negative weight is an error; an empty table, or a budget of 0,
+gives an empty result.  Whole documents are carried in a struct, so columns can have any
+name.  Which domain a source belongs to is a parameter: any expression of the source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,20 +36,23 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LEVELS = ("domain", "language", "source")
-#: Documents of one leaf that one task puts in order, about.
-SLICE_ROWS = 200_000
 #: Leaves whose plan is broadcast at most: about 20 MB.
 MAX_BROADCAST_LEAVES = 100_000
 
 
-def domain_of(source: Column) -> Column:
-    """The domain that a source belongs to, by its number: three domains of the test corpus."""
-    number = F.regexp_extract(source, r"([0-9]+)$", 1).try_cast("int")
-    return F.when(number % 5 == 0, "web").when(number % 5 < 3, "books").when(number % 5 < 5, "forums").otherwise("other")
+#: The domain that a source belongs to, as an expression of the source.
+DomainOf = Callable[[Column], Column]
+
+
+def one_domain(source: Column) -> Column:
+    """All sources belong to one domain."""
+    return F.lit("all")
 
 
 def weight_of(weights: Mapping[str, int], key: Column) -> Column:
     """Whole-number weight of a node among its siblings; 1 for those not named."""
+    if any(int(w) < 0 for w in weights.values()):
+        raise ValueError(f"a weight is not negative: {dict(weights)}")
     out = F.lit(1).cast("long")
     for name, weight in weights.items():
         out = F.when(key == name, F.lit(int(weight)).cast("long")).otherwise(out)
@@ -57,24 +64,32 @@ def share(children: DataFrame, parents: DataFrame, parent_keys: list[str], key:
 
     Exact water filling in whole numbers: in the order of capacity by weight, a child
     that holds less than its share of what is left takes its capacity; the first that
-    doesn't, and all after it, share the rest by weight.
+    doesn't, and all after it, share the rest by weight.  A child of weight 0 has no
+    capacity.  Every sum is a running one, in one order.
     """
     same = [F.col(f"c_{k}").eqNullSafe(F.col(f"p_{k}")) for k in parent_keys]
-    joined = children.join(F.broadcast(parents) if not same else parents, same or F.lit(True))  # the root is one row
+    held = children.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0).cast("long")))
+    joined = held.join(F.broadcast(parents) if not same else parents, same or F.lit(True))  # the root is one row
     per_parent = [f"c_{k}" for k in parent_keys]
-    order = [(F.col("capacity") / F.col("weight")).asc(), F.col(f"c_{key}").asc_nulls_first()]
-    before = Window.partitionBy(*per_parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*per_parent).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = joined.withColumn("left", F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(after))
-    ranked = ranked.withColumn("fills", F.col("left") * F.col("weight") >= F.col("capacity") * F.col("weights"))
-    # left and weights at the first child that isn't filled hold for all after it
-    whole = Window.partitionBy(*per_parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = lambda c: F.first(F.when(~F.col("fills"), F.col(c)), ignorenulls=True).over(whole)
-    running = Window.partitionBy(*per_parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.try_divide(F.col("capacity"), F.col("weight")).asc_nulls_first(), F.col(f"c_{key}").asc_nulls_first()]
+    ordered = Window.partitionBy(*per_parent).orderBy(*order)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*per_parent)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ranked = joined.withColumn("left", F.col("budget") - sum_before("capacity")).withColumn("weights", F.sum("weight").over(whole) - sum_before("weight"))
+    # 38 digits: a budget of 19 digits times weights of as many
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    ranked = ranked.withColumn("fills", wide("left") * wide("weight") >= wide("capacity") * wide("weights"))
+    # left and weights at the first child that isn't filled hold for it and all after it
+    first = lambda c: F.first(F.when(~F.col("fills"), F.col(c)), ignorenulls=True).over(running)
     ranked = ranked.withColumn("rest", first("left")).withColumn("rest_weights", first("weights"))
     ranked = ranked.withColumn("upto", F.sum(F.when(~F.col("fills"), F.col("weight")).otherwise(0)).over(running))
     # the difference of rounded sums, so that the shares add up to the rest
-    part = F.expr("(rest * upto) div rest_weights - (rest * (upto - weight)) div rest_weights")
+    part = F.expr(
+        "cast((cast(rest as decimal(19,0)) * cast(upto as decimal(19,0))) div cast(rest_weights as decimal(19,0)) as bigint)"
+        " - cast((cast(rest as decimal(19,0)) * cast(upto - weight as decimal(19,0))) div cast(rest_weights as decimal(19,0)) as bigint)"
+    )
     return ranked.withColumn("given", F.when(F.col("fills"), F.col("capacity")).otherwise(F.least(part, F.col("capacity"))))
 
 
@@ -94,7 +109,7 @@ def budgets(leaves: DataFrame, total: DataFrame, weights: Mapping[str, Mapping[s
     return held.join(parents, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in LEVELS]).select(*LEVELS, "tokens", "docs", "budget")
 
 
-def leaf_columns(docs: DataFrame, id_col: str, lang_col: str, source_col: str) -> list[Column]:
+def leaf_columns(id_col: str, lang_col: str, source_col: str, domain_of: DomainOf) -> list[Column]:
     """The leaf of a document, and its id as text."""
     return [
         domain_of(F.col(source_col)).alias("domain"),
@@ -109,10 +124,10 @@ def rank_of(seed: int, epoch: Column, id_text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), id_text))
 
 
-def light_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def light_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain_of: DomainOf = one_domain) -> DataFrame:
     """doc_id, leaf and tokens of every row, in the shared folder; texts are read once."""
     tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    return cut(docs.select(F.col(id_col).alias("doc_id"), *leaf_columns(docs, id_col, lang_col, source_col), tokens.alias("tokens")), "mixing-rows")
+    return cut(docs.select(F.col(id_col).alias("doc_id"), *leaf_columns(id_col, lang_col, source_col, domain_of), tokens.alias("tokens")), "mixing-rows")
 
 
 def plan_mix(light: DataFrame, fraction_percent: int, weights: Mapping[str, Mapping[str, int]], max_epochs: int, seed: int) -> DataFrame:
@@ -127,7 +142,7 @@ def plan_mix(light: DataFrame, fraction_percent: int, weights: Mapping[str, Mapp
         *[F.col(k).alias(f"p_{k}") for k in LEVELS],
         F.expr("budget div tokens").alias("whole"),
         F.expr("budget % tokens").alias("rest"),
-        (F.expr(f"docs div {SLICE_ROWS}") + 1).alias("slices"),
+        F.ceil(F.sqrt("docs")).alias("slices"),
     )
     planned = cut(planned, "mixing-budgets")
     part = _with_plan(light, planned.where("rest > 0"), "inner")
@@ -162,12 +177,12 @@ def take(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, fraction_percent: int, weights: Mapping[str, Mapping[str, int]], max_epochs: int = 2, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain_of: DomainOf = one_domain,
 ) -> DataFrame:
     """The rows of ``docs`` that the budgets take, with their own columns, once an epoch.
 
     The total budget is ``fraction_percent`` of the tokens of ``docs``.
     """
-    plan = plan_mix(light_rows(docs, id_col, text_col, lang_col, source_col), fraction_percent, weights, max_epochs, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), *leaf_columns(docs, id_col, lang_col, source_col))
+    plan = plan_mix(light_rows(docs, id_col, text_col, lang_col, source_col, domain_of), fraction_percent, weights, max_epochs, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *leaf_columns(id_col, lang_col, source_col, domain_of))
     return take(rows, plan, seed).select("doc.*")

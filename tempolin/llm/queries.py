@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontamination, jaccard_join, license_scan, mixing, quality, sharding, sql, token_counts, token_files, toxicity
@@ -64,8 +64,14 @@ MIX_WEIGHTS = {
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 7
 
 
+def mix_domain(source: Column) -> Column:
+    """The domains of the test corpus: by the number at the end of a source."""
+    number = F.regexp_extract(source, r"([0-9]+)$", 1).try_cast("int")
+    return F.when(number % 5 == 0, "web").when(number % 5 < 3, "books").when(number % 5 < 5, "forums").otherwise("other")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    light = mixing.light_rows(_table(spark, sf_dir, "documents"))
+    light = mixing.light_rows(_table(spark, sf_dir, "documents"), domain_of=mix_domain)
     plan = mixing.plan_mix(light, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
     return mixing.take(light, plan, MIX_SEED).select("doc_id", "domain", "language", "source", "tokens", "epoch")
 
