@@ -11,7 +11,7 @@ import pytest
 
 from tempolin.llm import chat_format, decontamination, jaccard_join, license_scan, mixing, quality, sharding, token_counts, token_files, toxicity
 from tempolin.llm.common import scratch_path
-from tempolin.llm.queries import MIX_WEIGHTS, tokenizer_path
+from tempolin.llm.queries import MIX_WEIGHTS, mix_domain, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, shard string, tokens string, doc string, items string, `count` int"
 
@@ -330,6 +330,39 @@ def test_added_tokens_in_capitals_are_text(spark):
     assert [(r.n_tokens, r.ids_crc32) for r in sorted(rows)] == [(len(i) + 1, zlib.crc32(np.array([*i, 1], "<u4").tobytes())) for i in library]
 
 
+def test_random_texts_have_the_ids_of_the_library():
+    encoder = token_files.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", ".<|endoftext|>.", "the", "The", "THE", "it's", "IT'S", "'s", "''t", "x1", "42", "\u00e9", "\u00c9", "e\u0301", "E\u0301",
+             "J\u030c", "j\u030c", "H\u0331", "T\u0308", "W\u030a", "\u0130", "\u03a3\u0391\u03a3", "\u00df", "\u1e9e", "\u00bd", "\u0661", "\u4e2d\u6587", "\U0001f600", "\u0301", "\u200d", "\x1c",
+             "\u00a0", "\x85", "\t", "\n", " ", " ", " ", ".", ",", ";", ":", "!", "?", "...", "-", "_", "#", "\\", "\u00b5", "\u0149", "\ufb01", "\u212b", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    library = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for start in range(0, len(texts), 64):
+        for text, ids, expected in zip(texts[start : start + 64], encoder.encode(texts[start : start + 64]), library[start : start + 64]):
+            assert ids.tolist() == expected, text
+
+
+@pytest.mark.parametrize("change", ["cased", "pattern", "normalized"])
+def test_tokenizers_with_other_steps_get_texts_whole(tmp_path, change):
+    import json
+
+    with open(tokenizer_path("word_bpe_49k.json")) as file:
+        settings = json.load(file)
+    if change == "cased":
+        settings["normalizer"]["normalizers"].pop()
+    elif change == "pattern":
+        settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}.]+|[^\s]"
+    else:
+        settings["added_tokens"][0]["normalized"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    encoder = token_files.WordEncoder(str(path))
+    assert not encoder.by_word
+    for text in ("The end.of LINE. <|ENDOFTEXT|>", "A.b a.B"):
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, text, _, _ in rows:
@@ -412,6 +445,46 @@ def test_chats_come_back(spark):
     assert chat_format.format_conversations(turns.where("false")).collect() == []
 
 
+def plain_format(rows):
+    """Formatted conversations and their masks, turn by turn."""
+    out = {}
+    for conv, role, text in rows:
+        data, mask = out.setdefault(conv, (bytearray(), []))
+        data += b"### " + chat_format._escape_role(role) + b":\n"
+        begin = len(data)
+        data += chat_format.escape(text)
+        if role == b"assistant":
+            mask.append((begin, len(data)))
+        data += b"\n</turn>\n"
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 60, 700, 1 << 20])
+def test_columnar_assembly_against_turn_by_turn(monkeypatch, limit):
+    monkeypatch.setattr(chat_format, "PART_BYTES", limit)
+    rng = random.Random(limit)
+    bits = [b"#", b"##", b"###", b"####", b"\\", b"</turn>", b"</turn", b"<", b"\n", b":", b"a", "\u00e9".encode(), b""]
+    word = lambda n: b"".join(rng.choice(bits) for _ in range(rng.randrange(n)))
+    rows = [(conv, rng.choice([b"assistant", b"user", word(4)]), word(12)) for conv in [None, *range(40)] for _ in range(rng.choice([1, 1, 2, 5, 30]))]
+    schema = pa.schema([("conv_id", pa.int64()), ("role", pa.binary()), ("content", pa.binary())])
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    made = list(chat_format._format(iter(table.to_batches(max_chunksize=37))))
+    got, parts = {}, {}
+    for batch in made:
+        for conv, part, data, mask in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            whole, spans = got.setdefault(conv, (bytearray(), []))
+            assert part == parts.get(conv, -1) + 1
+            parts[conv] = part
+            spans += [(len(whole) + s["start"], len(whole) + s["end"]) for s in mask]
+            whole += data
+    assert got == plain_format(rows)
+    digests = {r["conv_id"]: r for b in chat_format._digest(iter(made)) for r in b.to_pylist()}
+    assert len(digests) == 41 and all(digests[c]["n_turns"] == sum(r[0] == c for r in rows) for c in digests)
+    for conv, r in digests.items():
+        assert r["turns_sha256"] == hashlib.sha256(b"".join(x + b"\n" + t + b"\n" for c, x, t in rows if c == conv)).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(b"".join(t for c, x, t in rows if c == conv and x == b"assistant")).hexdigest()
+
+
 def test_assembly_of_many_segments():
     rng = random.Random(0)
     segments = [rng.choice([b"", b"### ", b"\n</turn>\n", bytes([rng.randrange(97, 120)]) * rng.randint(0, 9)]) for _ in range(1000)]
@@ -473,10 +546,41 @@ def test_shortages_go_to_siblings_first(spark):
             assert sum(got.values()) <= min(budget, sum(capacities.values()))
 
 
+def test_weights_of_zero_and_large_totals(spark):
+    """A node of weight 0 gets nothing, also where its siblings run short; 10 ** 17 tokens and weights in the millions are exact."""
+    capacities = {"a": 10**17, "b": 3 * 10**16, "c": 10**17, "d": 7, None: 10**16}
+    weights = {"a": 5_000_000, "b": 2_000_001, "c": 0, "d": 1, None: 999_999}
+    children = spark.createDataFrame([(k, capacities[k], weights[k]) for k in capacities], "c_x string, capacity long, weight long")
+    for budget in (1, 10**16, 10**17, 2 * 10**17):
+        got = {r.c_x: r.given for r in mixing.share(children, spark.createDataFrame([(budget,)], "budget long"), [], "x").collect()}
+        exact = water_fill({k: v for k, v in capacities.items() if weights[k]}, weights, budget)
+        assert got["c"] == 0 and all(abs(got[k] - exact[k]) <= 1 for k in exact)
+    with pytest.raises(ValueError):
+        mixing.weight_of({"a": -1}, pa)
+    docs = frame(spark, [(k, "w " * 5, "en", f"src{k % 2}") for k in range(40)])
+    taken = mixing.mix(docs, 100, {"source": {"src0": 0}}, 3)
+    assert {r.source for r in taken.select("source").distinct().collect()} == {"src1"} and taken.count() == 40
+
+
+def test_a_leaf_in_slices_takes_the_same_prefix(spark):
+    """The last epoch of a leaf is its documents in the order of their ranks, until the budget ends."""
+    rows = [(k, "w " * (1 + k % 9), "en", "src0") for k in range(500)]
+    light = mixing.light_rows(frame(spark, rows))
+    taken = mixing.take(light, mixing.plan_mix(light, 37, {}, 1, 7), 7).collect()
+    ranks = sorted((hashlib.md5(f"7:0:{i}".encode()).hexdigest(), i, len(t.split())) for i, t, _, _ in rows)
+    budget, expected = sum(n for _, _, n in ranks) * 37 // 100, []
+    for _, i, n in ranks:
+        if budget <= 0:
+            break
+        expected.append(i)
+        budget -= n
+    assert sorted(r.doc_id for r in taken) == sorted(expected)
+
+
 def test_a_shortage_stays_in_its_domain(spark):
     """src5 holds little of what it should get; src0, of the same domain and language, makes up for it."""
     rows = [(k, "w " * 10, "en", "src0") for k in range(50)] + [(100, "w " * 10, "en", "src5")] + [(200 + k, "w " * 10, "en", "src1") for k in range(50)]
-    light = mixing.light_rows(frame(spark, rows))
+    light = mixing.light_rows(frame(spark, rows), domain_of=mix_domain)
     leaves = light.groupBy(*mixing.LEVELS).agg({"tokens": "sum", "doc_id": "count"}).toDF(*mixing.LEVELS, "tokens", "docs")
     leaves = leaves.select(*mixing.LEVELS, "tokens", "docs")
     totals = {r["source"]: r for r in leaves.collect()}
