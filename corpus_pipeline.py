@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempolin.llm import decontamination, jaccard_join, mixing, quality, token_files
-from tempolin.llm.common import cut
-from tempolin.llm.queries import MIX_EPOCHS, MIX_PERCENT, MIX_SEED, MIX_WEIGHTS, tokenizer_path
+from tempolin.llm.common import clean, cut, mark
+from tempolin.llm.queries import MIX_EPOCHS, MIX_PERCENT, MIX_SEED, MIX_WEIGHTS, mix_domain, tokenizer_path
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the shares of the target weights, once for each epoch that takes them."""
-    return mixing.mix(docs, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+    return mixing.mix(docs, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED, domain_of=mix_domain)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents in ``sf_dir``.
+
+    When a stage has been written, what it and the ones before it left in the shared
+    folder is deleted, but for its result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        docs = cut(made, name.replace(" ", "-"))
+        clean(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
