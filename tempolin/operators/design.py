@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -171,6 +171,11 @@ def compile_design(
     return CompiledDesign(Design(spec, layout, bases, lags), rows, tables, segmented, history)
 
 
+def with_mask(compiled: CompiledDesign, mask: DataFrame | None) -> CompiledDesign:
+    """The design with ``mask`` (session, row_id) in place of the rows that it selects; None changes nothing."""
+    return compiled if mask is None else replace(compiled, rows=_flagged(compiled.rows.drop("fit"), mask, "fit"))
+
+
 def _flagged(rows: DataFrame, mask: DataFrame, name: str) -> DataFrame:
     """``rows`` with a boolean that is true where ``mask`` has the row."""
     return rows.join(mask.select("session", "row_id").distinct().withColumn(name, F.lit(True)), ["session", "row_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempolin.functions.bilinear import Design, FitState, Moments, Problem
+from tempolin.functions.bilinear import Design, FitState, Iteration, Moments, Problem
 from tempolin.functions.evaluation import Evaluation, Side, evaluate, outer_folds, r2
-from tempolin.operators.design import CompiledDesign, design_moments, full_gram, lagged, matrix, target_moments
+from tempolin.operators.design import CompiledDesign, design_moments, full_gram, lagged, matrix, target_moments, with_mask
 from tempolin.plans.spec import CVConfig, Dropout, FitConfig, ResolvedDropout
 
 _RESULT = "train_r2 double, cv_r2 double, cv_r2_pooled double, n_iter int, converged boolean, intercept double, beta array<double>, gain array<double>, summary string"
@@ -59,16 +61,16 @@ def _table(keys: pa.Schema, names: list[tuple], rows: list[tuple]) -> pa.Table:
     return pa.table(columns, names=[k.name for k in keys] + [f.split()[0] for f in _RESULT.split(", ")])
 
 
-def _task(design: Design, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[ResolvedDropout, ...], gap: int, base: np.ndarray, history: tuple[str, ...]):
+def _task(design: Design, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[ResolvedDropout, ...], solve=None):
     """The body of a task: gains and groups of the trials, and what to do with a unit's moments."""
 
-    def one(moments: Moments, gains: dict[str, np.ndarray], groups: np.ndarray | None, sides=None) -> tuple:
+    def one(moments: Moments, gains: dict[str, np.ndarray], groups: np.ndarray | None, sides=None, frozen: np.ndarray | None = None) -> tuple:
         if not moments.n.sum():
             raise ValueError("no rows are selected")
         selected = Side(moments, gains)
         if cv is not None:
             return _row(evaluate(design, selected, fit, cv, dropouts, groups, sides), design)
-        state: FitState = Problem(design, moments, gains, fit).fit()
+        state: FitState = Problem(design, moments, gains, fit).fit() if solve is None else _refit(design, solve, moments, gains, fit, frozen)
         return _row(Evaluation(state, r2(selected.sse(design, state.intercept, state.beta, state.gain), moments)), design)
 
     return one
@@ -91,22 +93,62 @@ def _trials_of(table: pa.Table, design: Design) -> tuple[dict[str, np.ndarray],
 
 
 def evaluate_units(
-    compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, cv: CVConfig | None = None, dropouts: Sequence[Dropout] | None = None, units_per_task: int = 16
+    compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, cv: CVConfig | None = None, dropouts: Sequence[Dropout] | None = None, units_per_task: int = 16,
+    mask: DataFrame | None = None,
 ) -> DataFrame:
     """Fit, cross-validate and compare every unit of ``targets`` (session, unit_id, row_id, y).
 
     Rows that ``targets`` lacks are 0.  One row a unit: scores, parameters and the whole
-    summary as JSON.
+    summary as JSON.  ``mask`` (session, row_id) takes the place of the design's own rows.
     """
-    return _run(compiled, targets, fit or FitConfig(), cv or CVConfig(), resolve(compiled.design, dropouts), units_per_task)
+    return _run(with_mask(compiled, mask), targets, fit or FitConfig(), cv or CVConfig(), resolve(compiled.design, dropouts), units_per_task)
 
 
-def fit_units(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, units_per_task: int = 16) -> DataFrame:
+def fit_units(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig | None = None, units_per_task: int = 16, mask: DataFrame | None = None) -> DataFrame:
     """Fit every unit on all selected rows; the same columns, without cross-validation."""
-    return _run(compiled, targets, fit or FitConfig(), None, (), units_per_task)
+    return _run(with_mask(compiled, mask), targets, fit or FitConfig(), None, (), units_per_task)
 
 
-def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[ResolvedDropout, ...], units_per_task: int) -> DataFrame:
+def refit_gains(
+    compiled: CompiledDesign, targets: DataFrame, fits: DataFrame, fit: FitConfig | None = None, dropout: Dropout | None = None, units_per_task: int = 16, mask: DataFrame | None = None
+) -> DataFrame:
+    """Gains solved again with the kernels and intercepts of ``fits`` held, without the gains that ``dropout`` takes."""
+    gone = None if dropout is None else dropout.resolve_for(compiled.design.spec)
+    if gone is not None and gone.predictors:
+        raise ValueError("gains alone are refitted: the comparison takes no predictors")
+    keep = compiled.design.keep_mask(*(() if gone is None else (gone.gains, gone.gain_terms)))
+
+    def solve(problem: Problem, config: FitConfig, intercept: float, beta: np.ndarray, gain: np.ndarray) -> tuple:
+        gain, alpha = problem.fit_gain(beta, intercept, config.gain_alpha, keep)
+        return intercept, beta, gain, float("nan"), alpha
+
+    return _run(with_mask(compiled, mask), targets, fit or FitConfig(), None, (), units_per_task, (fits, solve))
+
+
+def refit_kernels(compiled: CompiledDesign, targets: DataFrame, fits: DataFrame, fit: FitConfig | None = None, units_per_task: int = 16, mask: DataFrame | None = None) -> DataFrame:
+    """Kernels and intercepts solved again with the gains of ``fits`` held."""
+
+    def solve(problem: Problem, config: FitConfig, intercept: float, beta: np.ndarray, gain: np.ndarray) -> tuple:
+        beta, intercept, alpha = problem.fit_kernel(gain, config.kernel_alpha, beta)
+        return intercept, beta, gain, alpha, None
+
+    return _run(with_mask(compiled, mask), targets, fit or FitConfig(), None, (), units_per_task, (fits, solve))
+
+
+def _refit(design: Design, solve, moments: Moments, gains: dict[str, np.ndarray], config: FitConfig, frozen: np.ndarray) -> FitState:
+    """One of the two solves, from the parameters of an earlier fit: intercept, kernels, gains."""
+    p = design.layout.beta_size
+    problem = Problem(design, moments, gains, config)
+    intercept, beta, gain, kernel_alpha, gain_alpha = solve(problem, config, float(frozen[0]), frozen[1 : p + 1].copy(), frozen[p + 1 :].copy())
+    mse = problem.sse(intercept, problem.coefficients(beta, gain)) / float(moments.n.sum())
+    unknown = float("nan")  # nothing was iterated
+    return FitState(beta, gain, intercept, (Iteration(0, mse, kernel_alpha, gain_alpha, unknown, unknown, unknown, unknown),), True)
+
+
+def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[ResolvedDropout, ...], units_per_task: int, held: tuple | None = None) -> DataFrame:
+    """``held`` is (fits, solve) where parameters of earlier fits are solved again."""
+    if held is not None and compiled.history:
+        raise ValueError("a model with the target's history is fitted as a whole")
     design, tables = compiled.design, compiled.tables
     gap = 0
     if cv is not None and cv.gap_history:
@@ -122,7 +164,7 @@ def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVCon
     buckets = units.join(sizes, "session").select("session", "unit_id", "_b", F.pmod(F.xxhash64("unit_id"), F.col("_b")).alias("bucket"))
     per_bucket = buckets.select("session", "bucket").distinct()
     attributes = tables.trials.select(*_trial_columns(compiled))
-    one = _task(design, fit, cv, dropouts, gap, compiled.base_columns, compiled.history)
+    one = _task(design, fit, cv, dropouts, None if held is None else held[1])
     keys = pa.schema([("session", pa.string() if kind["session"] == "string" else pa.int64()), ("unit_id", pa.string() if kind["unit_id"] == "string" else pa.int64())])
     schema = f"session {kind['session']}, unit_id {kind['unit_id']}, {_RESULT}"
 
@@ -135,6 +177,9 @@ def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVCon
         own = target_moments(compiled.rows, targets)
         # a unit whose selected rows are all 0 has no sums, and still has a fit
         own = buckets.select("session", "unit_id", "bucket").join(own, ["session", "unit_id"], "left")
+        if held is not None:
+            frozen = held[0].select("session", "unit_id", F.concat(F.array("intercept"), "beta", "gain").alias("frozen"))
+            own = own.join(frozen, ["session", "unit_id"])
         body = _moments_body(design, one, keys)
     # both sides come from the same tables: names of their own keep the grouping unambiguous
     own = own.select(*[F.col(c).alias(f"{c}_" if c in ("session", "bucket") else c) for c in own.columns], F.col("session").alias("session"))
@@ -162,7 +207,10 @@ def _moments_body(design: Design, one, keys: pa.Schema):
             if trial is not None:
                 target[place[trial]] = values
         names = sorted(per_unit, key=str)
-        rows = [one(Moments(trials, n, x, xx, t[:, 0], t[:, 2:], t[:, 1]), gains, groups) for t in (per_unit[k] for k in names)]
+        frozen = {}
+        if "frozen" in own.column_names:
+            frozen = {(s, u): np.array(f, dtype=float) for s, u, f in zip(*(own.column(c).to_pylist() for c in ("session", "unit_id", "frozen")))}
+        rows = [one(Moments(trials, n, x, xx, t[:, 0], t[:, 2:], t[:, 1]), gains, groups, None, frozen.get(k)) for k, t in ((k, per_unit[k]) for k in names)]
         return _table(keys, names, rows)
 
     return solve
@@ -233,30 +281,44 @@ def _side(x: np.ndarray, y: np.ndarray, trial: np.ndarray, trials: np.ndarray, k
     return Side(Moments(present, *columns), {g: v[where] for g, v in gains.items()})
 
 
-def predict(compiled: CompiledDesign, fits: DataFrame) -> DataFrame:
+def predict(compiled: CompiledDesign, fits: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(session, unit_id, row_id, trial, fit, prediction) of every row, selected or not.
 
     A projection of the design: each predictor's columns times its kernel, times its gain
-    in the row's trial, plus the intercept.
+    in the row's trial, plus the intercept.  The target's own history is read from
+    ``targets``: its values at each lag, in an order by rows, times the kernel.
     """
-    if compiled.history:
-        raise ValueError("predictions with the target's history need the target: it is not part of the design")
+    if compiled.history and targets is None:
+        raise ValueError("predictions with the target's history need the targets")
     design = compiled.design
     values = compiled.tables.trials.select("session", "trial", *[F.col(g.source).cast("double").alias(f"_g{k}") for k, g in enumerate(design.spec.gains)])
     place = {g.name: f"_g{k}" for k, g in enumerate(design.spec.gains)}
-    total = F.col("intercept")
+    parameters = fits.select("session", "unit_id", "intercept", "beta", "gain")
+    rows = compiled.rows.join(values, ["session", "trial"]).join(parameters, "session")
+    if compiled.history:
+        known = targets.select("session", "unit_id", "row_id", F.col("y").cast("double").alias("_y"))
+        rows = rows.join(known, ["session", "unit_id", "row_id"], "left").withColumn("_y", F.coalesce("_y", F.lit(0.0)))
+    ordered = Window.partitionBy("session", "unit_id", *["trial"] * compiled.segmented).orderBy("row_id")
+    total, begin = F.col("intercept"), 1  # the design's columns, the target's own left out, come in the order of the model
     for p in design.spec.predictors:
         where = design.layout.beta_slices[p.name]
         length = where.stop - where.start
-        drive = F.aggregate(F.zip_with(F.slice("x", where.start + 1, length), F.slice("beta", where.start + 1, length), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        if p.name in compiled.history:
+            terms = []
+            for lag, row in zip(design.lags[p.name].tolist(), design.bases[p.name].tolist()):
+                weight = reduce(add, (F.get("beta", F.lit(where.start + k)) * w for k, w in enumerate(row)))
+                terms.append(F.lag("_y", lag, 0.0).over(ordered) * weight)
+            drive = reduce(add, terms)
+        else:
+            drive = F.aggregate(F.zip_with(F.slice("x", begin, length), F.slice("beta", where.start + 1, length), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            begin += length
         if p.gains:
             weight = F.get("gain", F.lit(design.layout.gain_offsets[p.name]))
             for g in p.gains:
                 weight = weight + F.get("gain", F.lit(design.layout.gain_coefficients[(g, p.name)])) * F.col(place[g])
             drive = weight * drive
         total = total + drive
-    parameters = fits.select("session", "unit_id", "intercept", "beta", "gain")
-    return compiled.rows.join(values, ["session", "trial"]).join(parameters, "session").select("session", "unit_id", "row_id", "trial", "fit", total.alias("prediction"))
+    return rows.select("session", "unit_id", "row_id", "trial", "fit", total.alias("prediction"))
 
 
 def score_rows(predicted: DataFrame, targets: DataFrame, by: Sequence[str] = ("session", "unit_id")) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-from tempolin.functions.basis import gaussian_kernel, lags_of, make_basis
-
 _DT, _DAY, _HALF, _N = "3600e0", "86400e0", "1800e0", 720
 
 _EV = """ev as (select user_id % 5 as session, user_id % 4 as unit_id, event_type as source, event_id as sample_ix,
@@ -48,15 +44,15 @@ _SERIES = f"""counts as (select session, row_id, count(*) filter (source = 'purc
     from grid g left join counts c using (session, row_id) join signal s using (session, row_id))"""
 
 
-def _lagged(column: str, lags, weights, partition: str) -> str:
-    terms = [f"{float(w)!r} * lag({column}, {int(k)}, 0.0) over (partition by {partition} order by row_id)" if k >= 0 else f"{float(w)!r} * lead({column}, {-int(k)}, 0.0) over (partition by {partition} order by row_id)" for k, w in zip(lags, weights) if w]
-    return " + ".join(terms) or "0.0"
+def _lagged(column: str, weights: dict[int, str], partition: str) -> str:
+    """Sum of weights times the values so many bins earlier, 0 where there are none."""
+    return " + ".join(f"{w} * {'lag' if k >= 0 else 'lead'}({column}, {abs(k)}, 0.0) over (partition by {partition} order by row_id)" for k, w in weights.items())
 
 
 def _design(partition: str) -> str:
-    lags, window = lags_of((0, 3), 1), lags_of((-1, 2), 1)
-    basis, ones = make_basis("cosine", 2, len(lags)), np.ones(len(window))
-    columns = [_lagged("purchase", lags, basis[:, 0], partition), _lagged("purchase", lags, basis[:, 1], partition), _lagged("zclick", window, ones, partition)]
+    # two raised cosines over the lags 0, 1, 2: centres at 0 and 2, each half a wave of 4 bins to either side
+    bump = lambda centre: {k: f"(0.5 + 0.5 * cos(pi() * {k - centre} / 4))" for k in (0, 1, 2)}
+    columns = [_lagged("purchase", bump(0), partition), _lagged("purchase", bump(2), partition), _lagged("zclick", {-1: "1.0", 0: "1.0", 1: "1.0"}, partition)]
     return ", ".join(f"{_R(c)} as x{k}" for k, c in enumerate(columns))
 
 
@@ -132,11 +128,10 @@ _ALS_ROW = f"""select a.session, a.unit_id, {_R('a.b')} as intercept, {_R('a.b0'
 
 
 def _smoothed() -> str:
-    weights = gaussian_kernel(2.0)
-    reach = len(weights) // 2
-    values = ", ".join(f"({k - reach}, {float(w)!r})" for k, w in enumerate(weights))
-    return f"""with {_EV}, {_GRID}, c as (select session, row_id, count(*) as n from ({_bins("source = 'click'")}) group by all)
-      select g.session, g.row_id, {_R('coalesce(sum(c.n * k.w), 0.0)')} as per_bin from grid g cross join (values {values}) k(o, w)
+    """A Gaussian of two bins out to four deviations, normalised."""
+    return f"""with {_EV}, {_GRID}, c as (select session, row_id, count(*) as n from ({_bins("source = 'click'")}) group by all),
+      k as (select o, exp(-0.5 * pow(o / 2.0, 2)) / sum(exp(-0.5 * pow(o / 2.0, 2))) over () as w from range(-8, 9) t(o))
+      select g.session, g.row_id, {_R('coalesce(sum(c.n * k.w), 0.0)')} as per_bin from grid g cross join k
       left join c on c.session = g.session and c.row_id = g.row_id - k.o group by all"""
 
 
@@ -227,7 +222,32 @@ def _history() -> str:
       from scores join pooled using (session, unit_id) join own using (session, unit_id) group by session, unit_id"""
 
 
+_PAST = " + ".join(f"lag(y, {k}, 0.0) over (partition by session, unit_id order by row_id)" for k in (1, 2, 3))
+_HISTORY_PREDICTIONS = f"""with {_DATA}, r as materialized (select *, {_PAST} as h from rows_), sums as (select session, unit_id, {_SUMS.replace('x1', 'h')} from r group by all),
+  fits as ({_ridge('sums', 'session, unit_id')}) select session, unit_id, row_id, {_R('b + b0 * x0 + b1 * h')} as prediction from r join fits using (session, unit_id)"""
+
+_MASKED = f"""with {_DATA}, sums as (select session, unit_id, {_SUMS} from rows_ where row_id % 3 <> 1 group by all), fits as materialized ({_ridge('sums', 'session, unit_id')})
+  select f.session, f.unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1, {_R(f'1 - {_SSE} / {_TSS}')} as train_r2
+  from fits f join rows_ r using (session, unit_id) where row_id % 3 <> 1 group by f.session, f.unit_id, b, b0, b1"""
+
+_REFIT_GAINS = _alternating(f"""select session, unit_id, {_R('(h11 * q0 - h01 * q1) / (h00 * h11 - h01 * h01)')} as "offset", {_R('(h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01)')} as coefficient from (
+    select a.session, a.unit_id, sum(b0 * b0 * s00) + 3e0 as h00, sum(v * b0 * b0 * s00) as h01, sum(v * v * b0 * b0 * s00) + 3e0 as h11,
+      sum(b0 * (s0y - b * s0 - b1 * s01)) as q0, sum(v * b0 * (s0y - b * s0 - b1 * s01)) as q1
+    from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id)""")
+
+_WEIGHTED = """(select a.session, a.unit_id, sum(n) as n, sum((o + c * v) * s0) as s0, sum(s1) as s1, sum((o + c * v) * (o + c * v) * s00) as s00,
+    sum((o + c * v) * s01) as s01, sum(s11) as s11, sum(sy) as sy, sum((o + c * v) * s0y) as s0y, sum(s1y) as s1y
+  from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id)"""
+_REFIT_KERNELS = _alternating(
+    f"select session, unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1 from ({_ridge(_WEIGHTED, 'session, unit_id', alpha=7.0)})"
+)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "history_predictions": _HISTORY_PREDICTIONS,
+    "masked_fit": _MASKED,
+    "refit_gains": _REFIT_GAINS,
+    "refit_kernels": _REFIT_KERNELS,
     "time_bins": f"with {_GRID} select session, row_id, bin_start, bin_start + {_HALF} as center from grid",
     "event_histogram": f"""with {_EV}, {_GRID}, b as (select session, source, row_id, count(*) as c from ({_bins()}) group by all), p as (select distinct session, source from b)
         select g.session, p.source, g.row_id, cast(coalesce(b.c, 0) as double) as n from grid g join p using (session) left join b using (session, source, row_id)""",

@@ -377,6 +377,36 @@ def selected_penalties(spark, sf_dir):
     return _rounded(ridge.unionByName(lasso).select("regularizer", "session", "unit_id", "train_r2", "n_iter", "converged"), "train_r2")
 
 
+def masked_fit(spark, sf_dir):
+    """A fit on rows that a mask of the caller selects instead of the design's own."""
+    compiled = design.compile_design(_plain_spec(fit_window=(-6 * DT, 6 * DT), fit_events=("error",)), _tables(spark, sf_dir))
+    mask = _grid(spark).where("row_id % 3 <> 1")
+    out = fit.fit_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0), mask=mask)
+    return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1"), "train_r2"), "intercept", "beta0", "beta1", "train_r2")
+
+
+def refit_gains(spark, sf_dir):
+    """Gains at another penalty, with the kernels of an alternating fit held."""
+    compiled, targets = design.compile_design(_gain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    out = fit.refit_gains(compiled, targets, fit.fit_units(compiled, targets, _FIXED), FitConfig(kernel_alpha=1.0, gain_alpha=3.0))
+    return _rounded(out.select("session", "unit_id", F.get("gain", F.lit(0)).alias("offset"), F.get("gain", F.lit(1)).alias("coefficient")), "offset", "coefficient")
+
+
+def refit_kernels(spark, sf_dir):
+    """Kernels at another penalty, with the gains of an alternating fit held."""
+    compiled, targets = design.compile_design(_gain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    out = fit.refit_kernels(compiled, targets, fit.fit_units(compiled, targets, _FIXED), FitConfig(kernel_alpha=7.0, gain_alpha=1.0))
+    return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1")), "intercept", "beta0", "beta1")
+
+
+def history_predictions(spark, sf_dir):
+    """Predictions of a model with the target's own past, for all rows."""
+    spec = ModelSpec((History(window=(DT, 4 * DT), n_basis=1), Event("signup", (0, 2 * DT), 1)), dt=DT)
+    compiled, targets = design.compile_design(spec, _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    made = fit.predict(compiled, fit.fit_units(compiled, targets, FitConfig(kernel_alpha=2.0)), targets)
+    return made.select("session", "unit_id", "row_id", F.round("prediction", DIGITS).alias("prediction"))
+
+
 def history_fit(spark, sf_dir):
     """A model with the target's own past, and a gap around held-out trials."""
     spec = ModelSpec((Event("signup", (0, 2 * DT), 1), History(window=(DT, 4 * DT), n_basis=1)), dt=DT)
@@ -486,7 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         time_bins, event_histogram, smoothed_rate, trial_index, trial_index_faults, window_mask, stimulus_grid, asof_rows, trial_window_mask, trial_ends, trial_events, included_events,
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
         lagged_design, segmented_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
-        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
+        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
         unit_spikes, model_means, union_difference, session_json,
     )
 }
