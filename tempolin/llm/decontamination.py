@@ -215,6 +215,25 @@ def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, with_body
     return match
 
 
+def _cleaner(items: list[tuple[str | None, list[bytes]]], window: int, max_span: int, max_coverage: float):
+    """Match and clean in one pass: (doc, body) of the documents that stay."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(items, window)
+        for batch in batches:
+            stays, bodies = [], []
+            for text in batch.column("body").to_pylist():
+                words = words_of(text or b"")
+                spans = automaton.scan(words)[0] if words else []
+                stays.append(sum(end - start for start, end in spans) <= max_coverage * len(words))
+                if stays[-1]:
+                    long = [x for x in spans if x[1] - x[0] > max_span]
+                    bodies.append(without(text, long) if long else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").filter(pa.array(stays, pa.bool_())), pa.array(bodies, pa.binary())], names=["doc", "body"])
+
+    return clean
+
+
 def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash of each ``width`` consecutive words."""
     from xxhash import xxh3_64_intdigest
@@ -319,9 +338,8 @@ def find_spans(
     spans, ids = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), T.ArrayType(T.StringType())
     schema = T.StructType([T.StructField("doc", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", ids), *body])
     blocks = _blocks(items, item_id_col, item_text_col, block_words)
-    sizes = blocks.agg(F.max("block"), F.count("*")).first()
-    if not sizes[0]:
-        listed = [(r["item"], words_of(bytes(r["text"]))) for r in blocks.select("item", "text").collect()]  # one block at most
+    listed = _one_block(blocks)
+    if listed is not None:
         return state.mapInArrow(trimmed(_matcher(listed, window, with_body)), schema)
 
     state = state.withColumn("n_words", F.lit(0).cast("long")).withColumn("blocks", F.array().cast("array<int>"))
@@ -357,6 +375,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> D
     return cut(numbered.join(placed, "at").select("block", "item", "text"), "decontamination-items")
 
 
+def _one_block(blocks: DataFrame) -> list[tuple[str | None, list[bytes]]] | None:
+    """The items, if one block holds them all."""
+    if blocks.agg(F.max("block")).first()[0]:
+        return None
+    return [(r["item"], words_of(bytes(r["text"]))) for r in blocks.select("item", "text").collect()]
+
+
 def _filters(blocks: DataFrame, window: int) -> Iterator:
     """Broadcasts of (hashes, blocks, widths), sorted by hash, of at most about ``FILTER_WINDOWS`` windows each."""
     spark = blocks.sparkSession
@@ -381,13 +406,18 @@ def decontaminate(
     columns = list(docs.columns)
     unnamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = f"c{columns.index(text_col)}"
+    out = [(F.col("body").cast("string") if c == text else F.col(f"doc.{c}")).alias(c) for c in unnamed.columns]
+    listed = _one_block(_blocks(items, "item_id", "text", BLOCK_WORDS))
+    if listed is not None:  # one pass, and one worker a task
+        bound_batches(docs.sparkSession)
+        whole = unnamed.select(F.struct(*unnamed.columns).alias("doc"), F.col(text).cast("binary").alias("body"))
+        return whole.mapInArrow(trimmed(_cleaner(listed, window, max_span, max_coverage)), whole.schema).select(*out).toDF(*columns)
     found = find_spans(unnamed, items, window, text, tuple(unnamed.columns), with_body=True)
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     kept = found.where(hit <= F.lit(max_coverage) * F.col("n_words")).select(
         "doc", "body", F.expr(f"filter(spans, s -> s.end - s.start > {int(max_span)})").alias("spans")
     )
     cleaned = kept.mapInArrow(_remove, kept.select("doc", "body").schema)
-    out = [(F.col("body").cast("string") if c == text else F.col(f"doc.{c}")).alias(c) for c in unnamed.columns]
     return cleaned.select(*out).toDF(*columns)
 
 

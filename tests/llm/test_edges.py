@@ -121,6 +121,21 @@ def test_spans_are_taken_out(spark, odd, none):
     assert decontamination.decontaminate(none, items).count() == 0
 
 
+def test_cleaning_in_blocks_is_the_same(spark, odd, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items = spark.createDataFrame([(k, words(rng.choice([2, 4, 7]))) for k in range(12)], "item_id long, text string")
+    docs = frame(spark, [(k, words(rng.randint(0, 40)).replace("c", "C,"), "en", "s") for k in range(60)]).unionByName(odd)
+    whole = decontamination.decontaminate(docs, items, window=5, max_span=2, max_coverage=0.6)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontamination, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 9)
+    monkeypatch.setattr(decontamination.find_spans, "__defaults__", tuple(10 if d == 60_000 else d for d in decontamination.find_spans.__defaults__))
+    parts = decontamination.decontaminate(docs, items, window=5, max_span=2, max_coverage=0.6)
+    got = sorted(map(str, whole.collect()))
+    assert got == sorted(map(str, parts.collect())) and 0 < len(got) < docs.count()
+
+
 def test_quality(spark, odd, none):
     rows = quality.judge(odd).collect()
     assert len(rows) == len(ODD)
