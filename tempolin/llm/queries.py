@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, mixing, quality, sharding, sql, token_counts, token_files, toxicity
+from . import chat_format, clustering, decontamination, filter_audit, jaccard_join, language_model, license_scan, mixing, quality, sharding, sql, token_counts, token_files, toxicity
 from .common import scratch_path
 
 LIMIT_TOKENS = 4096
@@ -100,6 +100,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: Clusters, rounds, components and their scale, and the seed of the first centroids.
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SIZE, CLUSTER_SCALE, CLUSTER_SEED = 40, 5, 64, 256, "2"
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(clustering.lloyd(_table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SIZE, CLUSTER_SCALE, CLUSTER_SEED))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.learn_and_score(_table(spark, sf_dir, "documents"), language_model.held_out())[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -111,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": sql.mixing_sql(MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
     "op8_jaccard_join": sql.jaccard_sql(),
     "op9_chat_format": sql.chat_sql(_ADDED),
+    "op11_filter_audit": sql.filter_audit_sql(),
+    "op12_centroid_clustering": sql.clustering_sql(CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SIZE, CLUSTER_SCALE, CLUSTER_SEED),
+    "op13_lm_scoring": sql.lm_scoring_sql(),
 }

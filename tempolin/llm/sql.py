@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from . import chat_format, license_scan, mixing, quality
+from . import chat_format, language_model, license_scan, mixing, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -156,3 +156,80 @@ def chat_sql(added: str) -> str:
         sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
         cast(sum(length({role}) + length({escaped}) + {frame}) as bigint) as formatted_chars
     from turns group by conv_id"""
+
+
+def filter_audit_sql(docs: str = "documents", labels: str = "labels") -> str:
+    """The rows of op11, from each row's five verdicts."""
+    letters = "('A'), ('B'), ('C'), ('D'), ('E')"
+    taken = "s.filter_order[:s.step - 1]"
+    before = f"len(list_intersect(d.fails, string_split({taken}, ''))) > 0"
+    fails = "list_contains(d.fails, s.filter_order[s.step])"
+    return f"""
+    with label as (select doc_id, max(quality) as quality, max(toxic) as toxic from {labels} where doc_id is not null group by doc_id),
+    doc as materialized (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {_words('text')} as w from {docs}),
+    verdict as materialized (select part, doc_id, list_filter([
+            case when len(w) < 100 then 'A' end, case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' end,
+            case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' end, case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+            case when doc_id > min(doc_id) over (partition by t) then 'E' end], lambda x: x is not null) as fails from doc),
+    d as materialized (select v.part, v.fails, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic, count(*) as n
+        from verdict v left join label l on v.doc_id = l.doc_id group by all),
+    orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from (values {letters}) a(x), (values {letters}) b(x), (values {letters}) c(x), (values {letters}) d(x), (values {letters}) e(x)
+        where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s as (select filter_order, cast(k as int) as step from orders, range(1, 6) r(k)),
+    counted as (select d.part, s.filter_order, s.step, s.filter_order[s.step] as f,
+            sum(case when not ({before}) and not ({fails}) then n else 0 end) as kept, sum(case when not ({before}) and {fails} then n else 0 end) as removed,
+            sum(case when {before} and {fails} then n else 0 end) as redundant, sum(case when len(d.fails) = 1 and {fails} then n else 0 end) as unique_fails,
+            sum(case when not ({before}) and {fails} and good then n else 0 end) as good_lost, sum(case when not ({before}) and {fails} and toxic then n else 0 end) as toxic_lost
+        from d, s group by all)
+    select part, filter_order, step, {', '.join(f'cast({c} as bigint) as {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+        cast(sum(removed) over (partition by part, f) as bigint) as shapley from counted"""
+
+
+def clustering_sql(k: int, rounds: int, size: int, scale: int, seed: str, vectors: str = "embeddings") -> str:
+    """The rows of op12, a round after the other."""
+    steps = [
+        f"""kept as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda c: cast(floor({scale} * cast(c as double)) as bigint)) as x from {vectors}
+            where len(embedding) = {size} and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = {size})""",
+        f"item as materialized (select rid, unnest(x) as x, unnest(range({size})) as i from kept)",
+        f"""first_ as (select row_number() over (order by sha256({_text(seed + ':')} || coalesce(cast(vec_id as varchar), '')), x) - 1 as c, x from kept qualify c < {k})""",
+        f"centre0 as materialized (select c, unnest(x) as x, unnest(range({size})) as i from first_)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} as materialized (select rid, c, d from (select v.rid, m.c, cast(sum((v.x - m.x) * (v.x - m.x)) as bigint) as d from item v join centre{r} m on v.i = m.i group by v.rid, m.c)
+                qualify row_number() over (partition by rid order by d, c) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""centre{r + 1} as materialized (select m.c, coalesce(n.x, m.x) as x, m.i from centre{r} m left join (
+                    select c, i, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as x from near{r} join item using (rid) group by c, i) n on n.c = m.c and n.i = m.i)"""
+            )
+    return "with " + ",\n".join(steps) + f"""
+    select k.vec_id, cast(n.c as int) as cluster, n.d as distance, cast(sum(n.d) over (partition by n.c) as bigint) as cluster_inertia, cast(sum(n.d) over () as bigint) as inertia, s.centroid_sha256
+    from near{rounds} n join kept k using (rid) join (select c, sha256(string_agg(x, ',' order by i)) as centroid_sha256 from centre{rounds} group by c) s on s.c = n.c"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    bit = "xor(a >> 1, 3988292384 * (a & 1))"
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: cast(ascii(c) as bigint))),
+        lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {bit})), 4294967295)"""
+
+
+def lm_scoring_sql(docs: str = "documents") -> str:
+    """The rows of op13; the end of a text is the empty word."""
+    strength, step = language_model.STRENGTH, language_model.STEP
+    return f"""
+    with doc as materialized (select row_number() over () as rid, doc_id, {_crc32("coalesce(cast(doc_id as varchar), '')")} % 10 = 0 as held_out,
+            list_append({_words(f"translate(text, '{_UPPER}', '{_LOWER}')")}, '') as w from {docs}),
+    token as materialized (select rid, held_out, unnest(w) as t, unnest(list_prepend(null, w[:-2])) as v from doc),
+    word as materialized (select t, count(*) as c from token where not held_out group by t),
+    total as materialized (select coalesce(sum(c), 0) as n, count(*) as types from word),
+    pair as materialized (select v, t, count(*) as c from token where not held_out and v is not null group by all),
+    one as materialized (select k.rid, k.t, k.v, coalesce(w.c, 0) as c, coalesce(u.c, 0) as cv, p.c as cp,
+            (coalesce(w.c, 0) + 0.1) / (x.n + 0.1 * (x.types + 1)) as p1 from token k cross join total x
+        left join word w on w.t = k.t left join word u on u.t = k.v left join pair p on p.v = k.v and p.t = k.t),
+    scored as (select rid, count(*) as n_tokens, count(*) filter (c > 0) as n_known, sum(log10(p1)) as base_score,
+            sum(case when v is null then log10(p1) when cp is null then log10({strength} / (cv + {strength})) + log10(p1)
+                else round(log10((cp + {strength} * p1) / (cv + {strength})) / {step}) * {step} end) as score from one group by rid)
+    select doc_id, held_out, n_tokens, n_known, cast(x.n as bigint) as train_tokens, base_score, score from scored join doc using (rid) cross join total x"""
