@@ -25,7 +25,11 @@ _EPS = float(np.finfo(float).eps)
 
 @dataclass(frozen=True)
 class Moments:
-    """Sums over the rows of each trial (first axis) for one target."""
+    """Sums over the rows of each trial (first axis) for one target.
+
+    ``y`` is taken from ``shift``, so that sums of squares keep their digits where its mean is
+    large; intercepts then count from ``shift`` too.
+    """
 
     trials: np.ndarray
     n: np.ndarray
@@ -34,9 +38,15 @@ class Moments:
     y: np.ndarray
     xy: np.ndarray
     yy: np.ndarray
+    shift: float = 0.0
+
+    @property
+    def raw_yy(self) -> float:
+        """Sum of squares of the target itself."""
+        return float(self.yy.sum() + 2 * self.shift * self.y.sum() + self.shift**2 * self.n.sum())
 
     def at(self, keep: np.ndarray) -> Moments:
-        return Moments(self.trials[keep], self.n[keep], self.x[keep], self.xx[keep], self.y[keep], self.xy[keep], self.yy[keep])
+        return Moments(self.trials[keep], self.n[keep], self.x[keep], self.xx[keep], self.y[keep], self.xy[keep], self.yy[keep], self.shift)
 
     def summed(self, labels: np.ndarray, count: int) -> Moments:
         """One set of sums for each label 0 to count - 1."""
@@ -46,7 +56,7 @@ class Moments:
             np.add.at(out, labels, values)
             return out
 
-        return Moments(np.arange(count), *map(add, (self.n, self.x, self.xx, self.y, self.xy, self.yy)))
+        return Moments(np.arange(count), *map(add, (self.n, self.x, self.xx, self.y, self.xy, self.yy)), self.shift)
 
     def without(self, columns: np.ndarray) -> Moments:
         """The moments with some columns of x zero."""
@@ -305,7 +315,7 @@ class Problem:
         kernel_alpha, gain_alpha = config.kernel_alpha, config.gain_alpha
         n, mean = float(s.n.sum()), float(s.y.sum() / s.n.sum())
         spread = max(float(np.sqrt(max(s.yy.sum() / n - mean**2, 0.0))), _EPS)
-        last_mse, last = float(s.yy.sum() / n), (0.0, np.zeros((len(self.fold), layout.beta_size)))
+        last_mse, last = s.raw_yy / n, (-s.shift, np.zeros((len(self.fold), layout.beta_size)))
         before, settled, converged = gain[watched].copy(), 0, False
         trace: list[Iteration] = []
         for number in range(config.max_iter):

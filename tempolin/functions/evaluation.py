@@ -15,7 +15,9 @@ def r2(sse: float, moments: Moments) -> float:
     """1 - SSE / TSS with the mean of these rows; NaN where the target doesn't vary."""
     n, y = float(moments.n.sum()), float(moments.y.sum())
     total = float(moments.yy.sum()) - y * y / n
-    return 1 - sse / total if total > 1e-12 * max(float(moments.yy.sum()), 1e-300) else float("nan")
+    # what rounding leaves of a constant: of the sums, and of values that were taken from a mean
+    least = 1e-12 * float(moments.yy.sum()) + 1e-24 * moments.raw_yy
+    return 1 - sse / total if total > max(least, 1e-300) else float("nan")
 
 
 def outer_folds(trials: np.ndarray, groups: np.ndarray | None, config: CVConfig) -> tuple[list[np.ndarray], str, list[int] | None]:
@@ -244,7 +246,7 @@ def evaluate(
 
 def _joined(parts: Sequence[Moments]) -> Moments:
     names = ("trials", "n", "x", "xx", "y", "xy", "yy")
-    return Moments(*(np.concatenate([getattr(p, k) for p in parts]) for k in names))
+    return Moments(*(np.concatenate([getattr(p, k) for p in parts]) for k in names), parts[0].shift)
 
 
 def _reduced(design: Design, d: ResolvedDropout, train: Side, test: Side, whole: FitState, fit: FitConfig) -> dict:

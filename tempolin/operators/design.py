@@ -11,7 +11,7 @@ window functions instead, which stay in the JVM.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -251,64 +251,139 @@ def full_gram(packed: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def design_moments(rows: DataFrame) -> DataFrame:
-    """(session, trial, n, sx, sxx): the half that all units of a session share.
+def design_moments(rows: DataFrame, by: Sequence[str] = ("trial",)) -> DataFrame:
+    """(session, by, n, sums of x and of the lower triangle of x x'): the half that all units of a session share.
 
-    Each Arrow batch is reduced to one partial sum a trial before the shuffle.
+    Each Arrow batch is reduced to one partial sum a key before the shuffle.
     """
-    kind = dict(rows.dtypes)["session"]
+    keys = ["session", *by]
+    kinds = dict(rows.dtypes)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("x"))
-            session, trial = batch.column("session").to_pylist(), batch.column("trial").to_pylist()
-            places: dict[tuple, list[int]] = {}
-            for k, key in enumerate(zip(session, trial)):
-                places.setdefault(key, []).append(k)
-            sums = [np.concatenate([x[at].sum(axis=0), _triangle(x[at].T @ x[at])]) for at in places.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in places], batch.column("session").type), pa.array([t for _, t in places], pa.int64()), pa.array([float(len(at)) for at in places.values()]), lists(np.array(sums))],
-                names=["session", "trial", "n", "sums"],
-            )
-
-    parts = rows.where("fit").select("session", "trial", "x").mapInArrow(partial, f"session {kind}, trial long, n double, sums array<double>")
+            if batch.num_rows:
+                x, (label, columns) = matrix(batch.column("x")), _labels(batch, keys)
+                sums = []
+                for at in _members(label, len(columns[0])):
+                    sums.append(np.concatenate([[len(at)], x[at].sum(axis=0), _triangle(x[at].T @ x[at])]))
+                sums = np.array(sums)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[:, 0]), lists(sums[:, 1:])], names=[*keys, "n", "sums"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n double, sums array<double>"
+    parts = rows.where("fit").select(*keys, "x").mapInArrow(partial, schema)
 
     def merge(table: pa.Table) -> pa.Table:
         n = float(np.sum(table.column("n").to_numpy()))
-        return pa.table({"session": table.column("session")[:1], "trial": table.column("trial")[:1], "n": [n], "sums": lists(matrix(table.column("sums")).sum(axis=0)[None, :])})
+        return pa.table({k: table.column(k)[:1] for k in keys} | {"n": [n], "sums": lists(matrix(table.column("sums")).sum(axis=0)[None, :])})
+
+    return parts.groupBy(*keys).applyInArrow(merge, schema)
+
+
+def _labels(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The number of each row's key, and the keys by number as columns."""
+    names: dict[tuple, int] = {}
+    label = np.array([names.setdefault(k, len(names)) for k in zip(*(batch.column(c).to_pylist() for c in keys))], dtype=np.int64)
+    return label, [pa.array(values, batch.column(c).type) for c, values in zip(keys, zip(*names))]
+
+
+def _members(label: np.ndarray, count: int) -> list[np.ndarray]:
+    return np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label, minlength=count))[:-1])
+
+
+@dataclass(frozen=True)
+class CoMoments:
+    """How a target's sums are packed: count, means of (x, h, y), and co-moments of (h, y) with (x, h, y).
+
+    ``x`` are ``p`` columns of the design and ``h`` the ``k`` columns of the target's own past.  Sums are
+    of differences from the means, so that they keep their digits where the mean of a target is
+    large beside its spread; parts are merged pairwise.
+    """
+
+    p: int
+    k: int = 0
 
-    return parts.groupBy("session", "trial").applyInArrow(merge, f"session {kind}, trial long, n double, sums array<double>")
+    @property
+    def width(self) -> int:
+        return self.p + self.k + 1
+
+    def of(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """One packed row for rows of x and of (h, y)."""
+        whole = np.column_stack([x, own])
+        mean = whole.mean(axis=0)
+        apart = whole - mean
+        return np.concatenate([[len(whole)], mean, (apart[:, self.p :].T @ apart).ravel()])
+
+    def unpacked(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return rows[:, 0], rows[:, 1 : self.width + 1], rows[:, self.width + 1 :].reshape(len(rows), self.k + 1, self.width)
+
+    def merged(self, rows: np.ndarray) -> np.ndarray:
+        n, mean, apart = self.unpacked(rows)
+        total = n.sum()
+        whole = (n[:, None] * mean).sum(axis=0) / total
+        off = mean - whole
+        between = np.einsum("g,gi,gj->ij", n, off[:, self.p :], off)
+        return np.concatenate([[total], whole, (apart.sum(axis=0) + between).ravel()])
+
+    def with_zeros(self, rows: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(means, co-moments) over all ``n`` rows of each key, whose x sum to ``x``: the others have y and h of 0."""
+        m, mean, apart = self.unpacked(rows)
+        rest = n - m
+        share = np.where(rest[:, None] > 0, (x - m[:, None] * mean[:, : self.p]) / np.maximum(rest, 1.0)[:, None], 0.0)
+        zeros = np.column_stack([share, np.zeros((len(n), self.k + 1))])
+        whole = np.column_stack([x, m[:, None] * mean[:, self.p :]]) / n[:, None]
+        for weight, part in ((m, mean), (rest, zeros)):
+            off = part - whole
+            apart = apart + np.einsum("g,gi,gj->gij", weight, off[:, self.p :], off)
+        return whole, apart
+
+
+def own_rows(compiled: CompiledDesign, targets: DataFrame) -> DataFrame:
+    """(session, unit_id, row_id, y, h): rows where a target or its own past is not 0.
+
+    Each value that is not 0 is dealt to its own row and to those that it is in the past of,
+    times the bases' weights, and what meets in a row is added up.  So nothing is
+    ordered, and units and sessions of any length are spread over tasks.
+    """
+    values = targets.where("y <> 0").select("session", "unit_id", "row_id", "y")
+    if not compiled.history:
+        return values.withColumn("h", F.array().cast("array<double>"))
+    at, weights = 0, {0: {}}
+    for name in compiled.history:
+        basis = compiled.design.bases[name]
+        for lag, row in zip(compiled.design.lags[name].tolist(), basis.tolist()):
+            weights.setdefault(lag, {}).update({at + k: w for k, w in enumerate(row)})
+        at += basis.shape[1]
+    parts = [F.struct(F.lit(lag).alias("lag"), F.array(*[F.lit(float(row.get(k, 0.0))) for k in range(at)]).alias("w")) for lag, row in sorted(weights.items())]
+    if compiled.segmented:
+        values = values.join(compiled.rows.select("session", "row_id", F.col("trial").alias("_from")), ["session", "row_id"])
+    dealt = values.withColumn("_p", F.explode(F.array(*parts))).select(
+        "session", "unit_id", (F.col("row_id") + F.col("_p.lag")).alias("row_id"), F.when(F.col("_p.lag") == 0, F.col("y")).otherwise(0.0).alias("y"),
+        *[(F.col("y") * F.get("_p.w", F.lit(k))).alias(f"_h{k}") for k in range(at)], *["_from"] * compiled.segmented,
+    )
+    if compiled.segmented:  # a kernel doesn't reach into the next trial
+        dealt = dealt.join(compiled.rows.select("session", "row_id", F.col("trial").alias("_from")), ["session", "row_id", "_from"])
+    sums = dealt.groupBy("session", "unit_id", "row_id").agg(F.sum("y").alias("y"), *[F.sum(f"_h{k}").alias(f"_h{k}") for k in range(at)])
+    return sums.select("session", "unit_id", "row_id", "y", F.array(*[f"_h{k}" for k in range(at)]).alias("h"))
 
 
-def target_moments(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """(session, unit_id, trial, sy, syy, sxy): rows where a target is 0 add nothing and are never met."""
-    kind = dict(targets.dtypes)
-    met = rows.where("fit").select("session", "row_id", "trial", "x").join(targets.where("y <> 0").select("session", "unit_id", "row_id", "y"), ["session", "row_id"])
+def target_moments(rows: DataFrame, own: DataFrame, packing: CoMoments, by: Sequence[str] = ("trial",)) -> DataFrame:
+    """(session, unit_id, by, packed co-moments) over the rows of :func:`own_rows`; the others add nothing and are never met."""
+    keys = ["session", "unit_id", *by]
+    kinds = dict(rows.dtypes) | dict(own.dtypes)
+    met = rows.where("fit").select("session", "row_id", *by, "x").join(own.select("session", "unit_id", "row_id", "y", "h"), ["session", "row_id"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("x"))
-            y = batch.column("y").to_numpy()
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("session", "unit_id", "trial"))))
-            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-            label = np.array([names[k] for k in keys])
-            sums = np.zeros((len(names), x.shape[1] + 2))
-            np.add.at(sums, label, np.column_stack([y, y * y, x * y[:, None]]))
-            columns = list(zip(*names))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.column("session").type), pa.array(columns[1], batch.column("unit_id").type), pa.array(columns[2], pa.int64()), lists(sums)],
-                names=["session", "unit_id", "trial", "sums"],
-            )
-
-    schema = f"session {kind['session']}, unit_id {kind['unit_id']}, trial long, sums array<double>"
-    parts = met.select("session", "unit_id", "trial", "x", "y").mapInArrow(partial, schema)
+            if batch.num_rows:
+                x = matrix(batch.column("x")) if packing.p else np.zeros((batch.num_rows, 0))
+                h = matrix(batch.column("h")) if packing.k else np.zeros((batch.num_rows, 0))
+                y, (label, columns) = np.column_stack([h, batch.column("y").to_numpy()]), _labels(batch, keys)
+                yield pa.RecordBatch.from_arrays([*columns, lists(np.array([packing.of(x[at], y[at]) for at in _members(label, len(columns[0]))]))], names=[*keys, "sums"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sums array<double>"
+    parts = met.select(*keys, "x", "y", "h").mapInArrow(partial, schema)
 
     def merge(table: pa.Table) -> pa.Table:
-        sums = matrix(table.column("sums")).sum(axis=0)
-        return pa.table({c: table.column(c)[:1] for c in ("session", "unit_id", "trial")} | {"sums": lists(sums[None, :])})
+        return pa.table({k: table.column(k)[:1] for k in keys} | {"sums": lists(packing.merged(matrix(table.column("sums")))[None, :])})
 
-    return parts.groupBy("session", "unit_id", "trial").applyInArrow(merge, schema)
+    return parts.groupBy(*keys).applyInArrow(merge, schema)

@@ -3,14 +3,17 @@
 The moments of the design are shared by the units of a session, so units are dealt into
 buckets of ``units_per_task`` and the design's moments go to each bucket once.  A task
 holds one session's moments (trials x p * p / 2 numbers) and solves its units one after
-the other.  Models with the target's history need the rows themselves, because each
-unit has columns of its own; there a task holds one session's design.
+the other.  Columns of the target's own history are a unit's own: their sums, among
+themselves and with the shared columns, come with the target's, and are put beside the
+shared ones where a unit is solved.  A gap around held-out trials splits a trial's sums by the
+folds that its rows have in their past; no task ever holds rows.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import add
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tempolin.functions.bilinear import Design, FitState, Iteration, Moments, Problem
 from tempolin.functions.evaluation import Evaluation, Side, evaluate, outer_folds, r2
-from tempolin.operators.design import CompiledDesign, design_moments, full_gram, lagged, matrix, target_moments, with_mask
+from tempolin.operators.design import CompiledDesign, CoMoments, design_moments, full_gram, matrix, own_rows, target_moments, with_mask
 from tempolin.plans.spec import CVConfig, Dropout, FitConfig, ResolvedDropout
 
 _RESULT = "train_r2 double, cv_r2 double, cv_r2_pooled double, n_iter int, converged boolean, intercept double, beta array<double>, gain array<double>, summary string"
@@ -69,9 +72,12 @@ def _task(design: Design, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[R
             raise ValueError("no rows are selected")
         selected = Side(moments, gains)
         if cv is not None:
-            return _row(evaluate(design, selected, fit, cv, dropouts, groups, sides), design)
+            return row(evaluate(design, selected, fit, cv, dropouts, groups, sides), moments)
         state: FitState = Problem(design, moments, gains, fit).fit() if solve is None else _refit(design, solve, moments, gains, fit, frozen)
-        return _row(Evaluation(state, r2(selected.sse(design, state.intercept, state.beta, state.gain), moments)), design)
+        return row(Evaluation(state, r2(selected.sse(design, state.intercept, state.beta, state.gain), moments)), moments)
+
+    def row(done: Evaluation, moments: Moments) -> tuple:
+        return _row(replace(done, state=replace(done.state, intercept=done.state.intercept + moments.shift)), design)
 
     return one
 
@@ -139,7 +145,7 @@ def _refit(design: Design, solve, moments: Moments, gains: dict[str, np.ndarray]
     """One of the two solves, from the parameters of an earlier fit: intercept, kernels, gains."""
     p = design.layout.beta_size
     problem = Problem(design, moments, gains, config)
-    intercept, beta, gain, kernel_alpha, gain_alpha = solve(problem, config, float(frozen[0]), frozen[1 : p + 1].copy(), frozen[p + 1 :].copy())
+    intercept, beta, gain, kernel_alpha, gain_alpha = solve(problem, config, float(frozen[0]) - moments.shift, frozen[1 : p + 1].copy(), frozen[p + 1 :].copy())
     mse = problem.sse(intercept, problem.coefficients(beta, gain)) / float(moments.n.sum())
     unknown = float("nan")  # nothing was iterated
     return FitState(beta, gain, intercept, (Iteration(0, mse, kernel_alpha, gain_alpha, unknown, unknown, unknown, unknown),), True)
@@ -147,8 +153,6 @@ def _refit(design: Design, solve, moments: Moments, gains: dict[str, np.ndarray]
 
 def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVConfig | None, dropouts: tuple[ResolvedDropout, ...], units_per_task: int, held: tuple | None = None) -> DataFrame:
     """``held`` is (fits, solve) where parameters of earlier fits are solved again."""
-    if held is not None and compiled.history:
-        raise ValueError("a model with the target's history is fitted as a whole")
     design, tables = compiled.design, compiled.tables
     gap = 0
     if cv is not None and cv.gap_history:
@@ -168,117 +172,131 @@ def _run(compiled: CompiledDesign, targets: DataFrame, fit: FitConfig, cv: CVCon
     keys = pa.schema([("session", pa.string() if kind["session"] == "string" else pa.int64()), ("unit_id", pa.string() if kind["unit_id"] == "string" else pa.int64())])
     schema = f"session {kind['session']}, unit_id {kind['unit_id']}, {_RESULT}"
 
-    if compiled.history:
-        shared = compiled.rows.join(attributes, ["session", "trial"]).join(per_bucket, "session")
-        own = targets.join(buckets.select("session", "unit_id", "bucket"), ["session", "unit_id"])
-        body = _history_body(compiled, one, cv, gap, keys)
-    else:
-        shared = design_moments(compiled.rows).join(attributes, ["session", "trial"]).join(per_bucket, "session")
-        own = target_moments(compiled.rows, targets)
-        # a unit whose selected rows are all 0 has no sums, and still has a fit
-        own = buckets.select("session", "unit_id", "bucket").join(own, ["session", "unit_id"], "left")
-        if held is not None:
-            frozen = held[0].select("session", "unit_id", F.concat(F.array("intercept"), "beta", "gain").alias("frozen"))
-            own = own.join(frozen, ["session", "unit_id"])
-        body = _moments_body(design, one, keys)
+    rows, by = compiled.rows, ["trial"]
+    if gap:
+        rows, by = rows.join(folds_in_past(compiled, attributes, cv, gap), ["session", "row_id"], "left").withColumn("seen", F.coalesce("seen", F.lit(""))), ["trial", "seen"]
+    packing = CoMoments(int(compiled.base_columns.sum()), int((~compiled.base_columns).sum()))
+    shared = design_moments(rows, by).join(attributes, ["session", "trial"]).join(per_bucket, "session")
+    own = target_moments(rows, own_rows(compiled, targets), packing, by)
+    # a unit whose selected rows are all 0 has no sums, and still has a fit
+    own = buckets.select("session", "unit_id", "bucket").join(own, ["session", "unit_id"], "left")
+    if held is not None:
+        frozen = held[0].select("session", "unit_id", F.concat(F.array("intercept"), "beta", "gain").alias("frozen"))
+        own = own.join(frozen, ["session", "unit_id"])
+    body = _moments_body(compiled, packing, one, cv if gap else None, keys)
     # both sides come from the same tables: names of their own keep the grouping unambiguous
     own = own.select(*[F.col(c).alias(f"{c}_" if c in ("session", "bucket") else c) for c in own.columns], F.col("session").alias("session"))
     shared = shared.select(*[F.col(c).alias(c) for c in shared.columns])
     return shared.groupBy("session", "bucket").cogroup(own.groupBy("session_", "bucket_")).applyInArrow(body, schema)
 
 
-def _moments_body(design: Design, one, keys: pa.Schema):
-    p = design.layout.beta_size
+def _moments_body(compiled: CompiledDesign, packing: CoMoments, one, gap_cv: CVConfig | None, keys: pa.Schema):
+    """Solve the units of a bucket; with ``gap_cv``, the sums of a trial are split by ``seen``."""
+    design, base, p = compiled.design, np.flatnonzero(compiled.base_columns), packing.p
+    past = np.flatnonzero(~compiled.base_columns)
 
     def solve(shared: pa.Table, own: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _table(keys, [], [])
         if not shared.num_rows:
             raise ValueError("no rows are selected")
-        shared = shared.sort_by("trial")
+        split = "seen" in shared.column_names
+        shared = shared.sort_by([(c, "ascending") for c in ("trial", *["seen"] * split)])
         trials, n = shared.column("trial").to_numpy(), shared.column("n").to_numpy()
+        seen = shared.column("seen").to_pylist() if split else [""] * len(trials)
         sums = matrix(shared.column("sums"))
-        gains, groups = _trials_of(shared, design)
         x, xx = sums[:, :p], full_gram(sums[:, p:], p)
-        place = {t: k for k, t in enumerate(trials.tolist())}
+        first = np.unique(trials, return_index=True)[1]
+        gains, groups = _trials_of(shared.take(first), design)
+        place = {k: i for i, k in enumerate(zip(trials.tolist(), seen))}
         per_unit: dict[tuple, np.ndarray] = {}
-        for session, unit, trial, values in zip(*(own.column(c).to_pylist() for c in ("session", "unit_id", "trial", "sums"))):
-            target = per_unit.setdefault((session, unit), np.zeros((len(trials), p + 2)))
+        theirs = own.column("seen").to_pylist() if split else [""] * own.num_rows
+        for session, unit, trial, what, values in zip(*(own.column(c).to_pylist() for c in ("session", "unit_id", "trial")), theirs, own.column("sums").to_pylist()):
+            target = per_unit.setdefault((session, unit), np.zeros((len(trials), 1 + packing.width * (packing.k + 2))))
             if trial is not None:
-                target[place[trial]] = values
+                target[place[trial, what]] = values
         names = sorted(per_unit, key=str)
         frozen = {}
         if "frozen" in own.column_names:
             frozen = {(s, u): np.array(f, dtype=float) for s, u, f in zip(*(own.column(c).to_pylist() for c in ("session", "unit_id", "frozen")))}
-        rows = [one(Moments(trials, n, x, xx, t[:, 0], t[:, 2:], t[:, 1]), gains, groups, None, frozen.get(k)) for k, t in ((k, per_unit[k]) for k in names)]
-        return _table(keys, names, rows)
-
-    return solve
-
-
-def _history_body(compiled: CompiledDesign, one, cv: CVConfig | None, gap: int, keys: pa.Schema):
-    design, base, history, segmented = compiled.design, compiled.base_columns, compiled.history, compiled.segmented
-
-    def solve(shared: pa.Table, own: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return _table(keys, [], [])
-        shared = shared.sort_by("row_id")
-        row_id, trial = shared.column("row_id").to_numpy(), shared.column("trial").to_numpy()
-        selected = shared.column("fit").to_numpy(zero_copy_only=False).astype(bool)
-        x = np.zeros((len(row_id), design.layout.beta_size))
-        x[:, base] = matrix(shared.column("x"))
-        first = np.unique(trial, return_index=True)[1]
-        gains, groups = _trials_of(shared.take(first), design)
-        trials = trial[first]
-        per_unit: dict[tuple, np.ndarray] = {}
-        for session, unit, row, y in zip(*(own.column(c).to_pylist() for c in ("session", "unit_id", "row_id", "y"))):
-            per_unit.setdefault((session, unit), np.zeros(len(row_id)))[np.searchsorted(row_id, row)] = y
-        names, rows = sorted(per_unit, key=str), []
-        for key in names:
-            y = per_unit[key]
-            for name in history:
-                x[:, design.layout.beta_slices[name]] = _own_past(y, row_id, trial, design, name, segmented)
-            side = lambda keep: _side(x, y, trial, trials, keep & selected, gains)
-            everything, sides = side(np.ones(len(y), dtype=bool)), None
-            some = np.isin(trials, everything.moments.trials)
-            if gap:
-                folds = outer_folds(trials[some], None if groups is None else groups[some], cv)[0]
-                held = [np.isin(trial, f) for f in folds]
-                sides = [(side(_apart(~h, gap)), side(_apart(h, gap))) for h in held]
-            rows.append(one(everything.moments, everything.gains, None if groups is None else groups[some], sides))
+        safe = [] if gap_cv is None else _safe(trials, seen, outer_folds(trials[first], groups, gap_cv)[0])
+        rows = []
+        for name in names:
+            parts = _assembled(packing, per_unit[name], trials, n, x, xx, base, past, design.layout.beta_size)
+            sides = [tuple(_by_trial(parts, gains, first, keep) for keep in pair) for pair in safe] or None
+            whole = _by_trial(parts, gains, first, np.ones(len(trials), dtype=bool))
+            rows.append(one(whole.moments, whole.gains, groups, sides, frozen.get(name)))
         return _table(keys, names, rows)
 
     return solve
 
 
-def _own_past(y: np.ndarray, row_id: np.ndarray, trial: np.ndarray, design: Design, name: str, segmented: bool) -> np.ndarray:
-    lags, basis = design.lags[name], design.bases[name]
-    if not segmented:
-        return lagged(y, row_id, lags, basis)
-    out = np.zeros((len(y), basis.shape[1]))
-    for t in np.unique(trial):
-        at = np.flatnonzero(trial == t)
-        out[at] = lagged(y[at], row_id[at], lags, basis)
-    return out
-
-
-def _apart(rows: np.ndarray, gap: int) -> np.ndarray:
-    """Rows whose last ``gap`` rows are on the same side too; the first rows of all are not."""
-    run = np.arange(len(rows)) - np.maximum.accumulate(np.where(rows, -1, np.arange(len(rows))))
-    return rows & (run > gap)
-
-
-def _side(x: np.ndarray, y: np.ndarray, trial: np.ndarray, trials: np.ndarray, keep: np.ndarray, gains: dict[str, np.ndarray]) -> Side:
-    present = np.unique(trial[keep])
-    sums = []
-    for t in present:
-        at = keep & (trial == t)
-        sums.append((at.sum(), x[at].sum(axis=0), x[at].T @ x[at], y[at].sum(), x[at].T @ y[at], y[at] @ y[at]))
-    p = x.shape[1]
-    empty = (np.zeros(0), np.zeros((0, p)), np.zeros((0, p, p)), np.zeros(0), np.zeros((0, p)), np.zeros(0))
-    columns = [np.array(c, dtype=float) for c in zip(*sums)] if sums else empty
-    where = np.searchsorted(trials, present)
-    return Side(Moments(present, *columns), {g: v[where] for g, v in gains.items()})
+def _assembled(packing: CoMoments, packed: np.ndarray, trials: np.ndarray, n: np.ndarray, x: np.ndarray, xx: np.ndarray, base: np.ndarray, past: np.ndarray, size: int) -> Moments:
+    """Sums of all columns of a unit, y taken from its mean."""
+    mean, apart = packing.with_zeros(packed, n, x)
+    h, y, own = mean[:, packing.p : -1], mean[:, -1], apart[:, -1]
+    shift = float((n * y).sum() / n.sum())
+    y = y - shift
+    raw_x, raw_xx, raw_xy = np.zeros((len(n), size)), np.zeros((len(n), size, size)), np.zeros((len(n), size))
+    raw_x[:, base], raw_x[:, past] = x, n[:, None] * h
+    raw_xx[np.ix_(range(len(n)), base, base)] = xx
+    cross = apart[:, :-1, :-1] + n[:, None, None] * h[:, :, None] * mean[:, None, :-1]  # h with (x, h)
+    raw_xx[np.ix_(range(len(n)), past, base)] = cross[:, :, : packing.p]
+    raw_xx[np.ix_(range(len(n)), base, past)] = cross[:, :, : packing.p].transpose(0, 2, 1)
+    raw_xx[np.ix_(range(len(n)), past, past)] = cross[:, :, packing.p :]
+    both = own[:, :-1] + (n * y)[:, None] * mean[:, :-1]
+    raw_xy[:, base], raw_xy[:, past] = both[:, : packing.p], both[:, packing.p :]
+    return Moments(trials, n, raw_x, raw_xx, n * y, raw_xy, own[:, -1] + n * y * y, shift)
+
+
+def _by_trial(parts: Moments, gains: dict[str, np.ndarray], first: np.ndarray, keep: np.ndarray) -> Side:
+    """The chosen parts of each trial added up; ``first`` are the places of the trials, in order."""
+    trials, label = np.unique(parts.trials[keep], return_inverse=True)
+    where = np.searchsorted(parts.trials[first], trials)
+    return Side(replace(parts.at(keep).summed(label, len(trials)), trials=trials), {g: v[where] for g, v in gains.items()})
+
+
+def _safe(trials: np.ndarray, seen: list[str], folds: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each fold the parts of trials that may train and that may test: with nothing of the other side in their past."""
+    own = np.full(len(trials), -1)
+    for k, held in enumerate(folds):
+        own[np.isin(trials, held)] = k
+    others = [{int(f) for f in s.split(",") if f} - {o} for s, o in zip(seen, own.tolist())]
+    begun = np.array([_BEFORE not in s for s in others])
+    alone = np.array([not s for s in others])
+    return [((own != k) & begun & np.array([k not in s for s in others]), (own == k) & alone) for k in range(len(folds))]
+
+
+#: In the place of a fold: what lies before a session's first row.
+_BEFORE = -2
+
+
+def folds_in_past(compiled: CompiledDesign, attributes: DataFrame, cv: CVConfig, gap: int) -> DataFrame:
+    """(session, row_id, seen): the folds among the ``gap`` rows before each row, where they may not all be the row's own.
+
+    Only the last row of each run of one fold tells the rows after it; -1 stands for
+    trials that are in no fold, and ``_BEFORE`` for the time before the first row.  Rows meet their
+    followers by equality, so no task needs a session in order.
+    """
+    kind = dict(compiled.rows.dtypes)["session"]
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("trial")
+        trials, groups = table.column("trial").to_numpy(), table.column("cv_group").to_pylist()
+        folds = outer_folds(trials, None if None in groups else np.array(groups), cv)[0]
+        fold = np.full(len(trials), -1, dtype=np.int64)
+        for k, held in enumerate(folds):
+            fold[np.isin(trials, held)] = k
+        return pa.table({"session": table.column("session"), "trial": table.column("trial"), "fold": fold})
+
+    used = compiled.rows.where("fit").select("session", F.col("trial").cast("long").alias("trial")).distinct()
+    folds = used.join(attributes.select("session", "trial", "cv_group"), ["session", "trial"]).groupBy("session").applyInArrow(number, f"session {kind}, trial long, fold long")
+    rows = compiled.rows.select("session", "row_id", "trial").join(folds, ["session", "trial"], "left").select("session", "row_id", F.coalesce("fold", F.lit(-1).cast("long")).alias("fold"))
+    following = rows.select("session", (F.col("row_id") - 1).alias("row_id"), F.col("fold").alias("_next"))
+    ends = rows.join(following, ["session", "row_id"]).where("fold <> _next").select("session", "row_id", "fold")
+    begins = rows.groupBy("session").agg((F.min("row_id") - 1).alias("row_id")).withColumn("fold", F.lit(_BEFORE).cast("long"))
+    told = ends.unionByName(begins).select("session", F.explode(F.sequence(F.col("row_id") + 1, F.col("row_id") + gap)).alias("row_id"), "fold")
+    return told.groupBy("session", "row_id").agg(F.array_join(F.sort_array(F.collect_set("fold")).cast("array<string>"), ",").alias("seen"))
 
 
 def predict(compiled: CompiledDesign, fits: DataFrame, targets: DataFrame | None = None) -> DataFrame:

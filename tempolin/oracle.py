@@ -94,14 +94,14 @@ def _cross_validation() -> str:
       from scores s join total t using (session, unit_id) group by all"""
 
 
-def _alternating(select: str) -> str:
+def _alternating(select: str, data: str = _DATA, lags: int = 2) -> str:
     """Eight rounds of kernel and gain ridge in a recursive query, on sums by (session, unit, context).
 
-    The kernel with gains covers two lags with one constant, so at length 1 its weight is
-    1 / sqrt(2) up to sign.
+    The kernel with gains, x0's, covers ``lags`` lags with one constant, so at length 1 its weight is
+    1 / sqrt(lags) up to sign.
     """
     ka, ga = "2e0", "5e-1"
-    return f"""with recursive {_DATA}, ctx as (select *, 1e0 - 2e0 * ((trial // 5) % 2) as v from rows_),
+    return f"""with recursive {data}, ctx as (select *, 1e0 - 2e0 * ((trial // 5) % 2) as v from rows_),
       per as materialized (select session, unit_id, v, {_SUMS} from ctx group by all),
       als as (
         select session, unit_id, 0 as k, 0e0 as b, 0e0 as b0, 0e0 as b1, 1e0 as o, 0e0 as c from units
@@ -110,7 +110,7 @@ def _alternating(select: str) -> str:
           select session, unit_id, k, b, u, b1, sum(u * u * s00) + {ga} as h00, sum(v * u * u * s00) as h01, sum(v * v * u * u * s00) + {ga} as h11,
             sum(u * (s0y - b * s0 - b1 * s01)) as q0, sum(v * u * (s0y - b * s0 - b1 * s01)) as q1
           from (
-            select p.*, f.k, sign(f.nb0) / sqrt(2e0) as u, f.b1, (f.y_sum - f.nb0 * f.w0 - f.b1 * f.w1) / f.m as b from per p join (
+            select p.*, f.k, sign(f.nb0) / sqrt({lags}e0) as u, f.b1, (f.y_sum - f.nb0 * f.w0 - f.b1 * f.w1) / f.m as b from per p join (
               select *, (t0 * a11 - t1 * a01) / (a00 * a11 - a01 * a01) as nb0, (t1 * a00 - t0 * a01) / (a00 * a11 - a01 * a01) as b1 from (
                 select session, unit_id, k, m, w0, w1, y_sum, w00 - w0 * w0 / m + {ka} as a00, w01 - w0 * w1 / m as a01, w11 - w1 * w1 / m + {ka} as a11,
                   w0y - w0 * y_sum / m as t0, w1y - w1 * y_sum / m as t1 from (
@@ -230,24 +230,43 @@ _MASKED = f"""with {_DATA}, sums as (select session, unit_id, {_SUMS} from rows_
   select f.session, f.unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1, {_R(f'1 - {_SSE} / {_TSS}')} as train_r2
   from fits f join rows_ r using (session, unit_id) where row_id % 3 <> 1 group by f.session, f.unit_id, b, b0, b1"""
 
-_REFIT_GAINS = _alternating(f"""select session, unit_id, {_R('(h11 * q0 - h01 * q1) / (h00 * h11 - h01 * h01)')} as "offset", {_R('(h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01)')} as coefficient from (
+_GAINS_AGAIN = f"""select session, unit_id, {_R('(h11 * q0 - h01 * q1) / (h00 * h11 - h01 * h01)')} as "offset", {_R('(h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01)')} as coefficient from (
     select a.session, a.unit_id, sum(b0 * b0 * s00) + 3e0 as h00, sum(v * b0 * b0 * s00) as h01, sum(v * v * b0 * b0 * s00) + 3e0 as h11,
       sum(b0 * (s0y - b * s0 - b1 * s01)) as q0, sum(v * b0 * (s0y - b * s0 - b1 * s01)) as q1
-    from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id)""")
+    from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id)"""
 
 _WEIGHTED = """(select a.session, a.unit_id, sum(n) as n, sum((o + c * v) * s0) as s0, sum(s1) as s1, sum((o + c * v) * (o + c * v) * s00) as s00,
     sum((o + c * v) * s01) as s01, sum(s11) as s11, sum(sy) as sy, sum((o + c * v) * s0y) as s0y, sum(s1y) as s1y
   from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id)"""
-_REFIT_KERNELS = _alternating(
-    f"select session, unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1 from ({_ridge(_WEIGHTED, 'session, unit_id', alpha=7.0)})"
-)
+_KERNELS_AGAIN = f"select session, unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1 from ({_ridge(_WEIGHTED, 'session, unit_id', alpha=7.0)})"
+
+# x0 is the target's own past over three lags, x1 the event's column
+_PAST_DATA = _DATA.replace("rows_ as materialized", "plain_ as materialized") + f""", rows_ as materialized (select session, unit_id, row_id, trial, x0 as x1, y, {_PAST} as x0 from plain_)"""
+_SEGMENTED_HISTORY = f"""with {_DATA.replace("rows_ as materialized", "plain_ as materialized")},
+  rows_ as materialized (select session, unit_id, row_id, trial, x1, y, {_PAST.replace('partition by session, unit_id', 'partition by session, unit_id, trial')} as x0 from plain_),
+  sums as (select session, unit_id, {_SUMS} from rows_ group by all), fits as materialized ({_ridge('sums', 'session, unit_id')})
+  select f.session, f.unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1, {_R(f'1 - {_SSE} / {_TSS}')} as train_r2
+  from fits f join rows_ r using (session, unit_id) group by f.session, f.unit_id, b, b0, b1"""
+
+
+def _offset_scores() -> str:
+    """What a constant added to the target leaves as it is."""
+    inner = _cross_validation().replace("delta_r2", "dropped")
+    return f"""with cv as ({inner}), train as (with {_FIT} select f.session, f.unit_id, {_R('b0')} as beta0, {_R(f'1 - {_SSE} / {_TSS}')} as train_r2
+        from fits f join rows_ r using (session, unit_id) group by f.session, f.unit_id, b, b0, b1)
+      select session, unit_id, beta0, train_r2, cv_r2, cv_r2_pooled from cv join train using (session, unit_id)"""
+
 
 
 ORACLE_SQL: dict[str, str] = {
     "history_predictions": _HISTORY_PREDICTIONS,
     "masked_fit": _MASKED,
-    "refit_gains": _REFIT_GAINS,
-    "refit_kernels": _REFIT_KERNELS,
+    "refit_gains": _alternating(_GAINS_AGAIN),
+    "refit_kernels": _alternating(_KERNELS_AGAIN),
+    "history_refit_gains": _alternating(_GAINS_AGAIN, _PAST_DATA, 3),
+    "history_refit_kernels": _alternating(_KERNELS_AGAIN, _PAST_DATA, 3),
+    "segmented_history": _SEGMENTED_HISTORY,
+    "offset_scores": _offset_scores(),
     "time_bins": f"with {_GRID} select session, row_id, bin_start, bin_start + {_HALF} as center from grid",
     "event_histogram": f"""with {_EV}, {_GRID}, b as (select session, source, row_id, count(*) as c from ({_bins()}) group by all), p as (select distinct session, source from b)
         select g.session, p.source, g.row_id, cast(coalesce(b.c, 0) as double) as n from grid g join p using (session) left join b using (session, source, row_id)""",

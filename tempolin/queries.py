@@ -257,7 +257,10 @@ def trial_moments_arrow(spark, sf_dir):
     compiled = design.compile_design(_plain_spec(), _tables(spark, sf_dir))
     targets = _targets(spark, sf_dir)
     shared = design.design_moments(compiled.rows).select("session", "trial", "n", F.slice("sums", 1, 2).alias("sx"), F.slice("sums", 3, 3).alias("sxx"))
-    own = design.target_moments(compiled.rows, targets).select("session", "unit_id", "trial", F.get("sums", F.lit(0)).alias("sy"), F.get("sums", F.lit(1)).alias("syy"), F.slice("sums", 3, 2).alias("sxy"))
+    # count, means of x0, x1 and y, and co-moments of y with each of them
+    packed = design.target_moments(compiled.rows, design.own_rows(compiled, targets), design.CoMoments(2))
+    n, x0, x1, y, c0, c1, cy = (F.get("sums", F.lit(k)) for k in range(7))
+    own = packed.select("session", "unit_id", "trial", F.round(n * y, DIGITS).alias("sy"), F.round(cy + n * y * y, DIGITS).alias("syy"), F.array(c0 + n * x0 * y, c1 + n * x1 * y).alias("sxy"))
     units = targets.select("session", "unit_id").distinct()
     zero = F.array(F.lit(0.0), F.lit(0.0))
     met = shared.join(units, "session").join(own, ["session", "unit_id", "trial"], "left")
@@ -407,6 +410,43 @@ def history_predictions(spark, sf_dir):
     return made.select("session", "unit_id", "row_id", F.round("prediction", DIGITS).alias("prediction"))
 
 
+def _history_gain_spec():
+    """The target's own past, scaled by a gain, beside an event."""
+    return ModelSpec((History(window=(DT, 4 * DT), n_basis=1, gains=("context",)), Event("signup", (0, 2 * DT), 1)), (Gain("context"),), dt=DT)
+
+
+def history_refit_gains(spark, sf_dir):
+    """Gains of the target's own past at another penalty, with the kernels of an alternating fit held."""
+    compiled, targets = design.compile_design(_history_gain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    out = fit.refit_gains(compiled, targets, fit.fit_units(compiled, targets, _FIXED), FitConfig(kernel_alpha=1.0, gain_alpha=3.0))
+    return _rounded(out.select("session", "unit_id", F.get("gain", F.lit(0)).alias("offset"), F.get("gain", F.lit(1)).alias("coefficient")), "offset", "coefficient")
+
+
+def history_refit_kernels(spark, sf_dir):
+    """Kernels, among them that of the target's own past, at another penalty, with the gains of an alternating fit held."""
+    compiled, targets = design.compile_design(_history_gain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    out = fit.refit_kernels(compiled, targets, fit.fit_units(compiled, targets, _FIXED), FitConfig(kernel_alpha=7.0, gain_alpha=1.0))
+    return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1")), "intercept", "beta0", "beta1")
+
+
+def segmented_history(spark, sf_dir):
+    """A model whose own past does not reach across trials."""
+    spec = ModelSpec((History(window=(DT, 4 * DT), n_basis=1), Signal("click", (0, 0), 1, align="bin", outlier_zscore=None)), dt=DT)
+    compiled = design.compile_design(spec, _tables(spark, sf_dir), segmented=True)
+    out = fit.fit_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0))
+    return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1"), "train_r2"), "intercept", "beta0", "beta1", "train_r2")
+
+
+def offset_scores(spark, sf_dir):
+    """Scores of targets whose mean is ten million times their spread: of moments, and of rows."""
+    compiled = design.compile_design(_plain_spec(), _tables(spark, sf_dir))
+    units = _targets(spark, sf_dir)
+    everywhere = _grid(spark).select("session", "row_id").join(units.select("session", "unit_id").distinct(), "session")
+    lifted = everywhere.join(units, ["session", "unit_id", "row_id"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) + 1e7)
+    out = fit.evaluate_units(compiled, lifted, FitConfig(kernel_alpha=2.0), CVConfig(), [])
+    return _rounded(out.select("session", "unit_id", F.get("beta", F.lit(0)).alias("beta0"), "train_r2", "cv_r2", "cv_r2_pooled"), "beta0", "train_r2", "cv_r2", "cv_r2_pooled")
+
+
 def history_fit(spark, sf_dir):
     """A model with the target's own past, and a gap around held-out trials."""
     spec = ModelSpec((Event("signup", (0, 2 * DT), 1), History(window=(DT, 4 * DT), n_basis=1)), dt=DT)
@@ -516,7 +556,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         time_bins, event_histogram, smoothed_rate, trial_index, trial_index_faults, window_mask, stimulus_grid, asof_rows, trial_window_mask, trial_ends, trial_events, included_events,
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
         lagged_design, segmented_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
-        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
+        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
         unit_spikes, model_means, union_difference, session_json,
     )
 }
