@@ -189,6 +189,8 @@ class FitState:
     intercept: float
     iterations: tuple[Iteration, ...]
     converged: bool
+    #: Of the kernels and the gains, where a penalty was looked for: the penalties, the errors of the inner folds, and the chosen one.
+    searched: Mapping[str, dict] = field(default_factory=dict)
 
     @property
     def kernel_alpha(self) -> float:
@@ -218,6 +220,7 @@ class Problem:
         self.fold, self.values = groups[:, 0].astype(int), {g: groups[:, 1 + k] for k, g in enumerate(names)}
         self.sums = moments.summed(label.ravel(), len(groups))
         self.folds = sorted(set(self.fold.tolist()))
+        self.searched: dict[str, dict] = {}
 
     def weights(self, gain: np.ndarray) -> np.ndarray:
         """(groups, columns): what each column of the design is multiplied by."""
@@ -255,11 +258,11 @@ class Problem:
     def fit_kernel(self, gain: np.ndarray, alpha: float | None, start: np.ndarray) -> tuple[np.ndarray, float, float]:
         weights, everything = self.weights(gain), np.arange(len(self.fold))
         if alpha is None:
-            alpha = self._best(lambda a, train: self.solve_kernel(weights, a, train, np.zeros_like(start)), lambda fit, test: self.sse(fit[1], weights * fit[0], test))
+            alpha = self._best("kernel", lambda a, train: self.solve_kernel(weights, a, train, np.zeros_like(start)), lambda fit, test: self.sse(fit[1], weights * fit[0], test))
         beta, intercept = self.solve_kernel(weights, alpha, everything, start)
         return beta, intercept, alpha
 
-    def _best(self, solve, error) -> float:
+    def _best(self, part: str, solve, error) -> float:
         """The first alpha with the least mean over folds of the folds' mean squared errors."""
         means = []
         for alpha in self.config.alphas:
@@ -268,7 +271,9 @@ class Problem:
                 test = np.flatnonzero(self.fold == fold)
                 scores.append(error(solve(alpha, np.flatnonzero(self.fold != fold)), test) / self.sums.n[test].sum())
             means.append(float(np.mean(scores)))
-        return float(self.config.alphas[int(np.argmin(means))])
+        best = float(self.config.alphas[int(np.argmin(means))])
+        self.searched[part] = {"alphas": [float(a) for a in self.config.alphas], "errors": means, "chosen": best}
+        return best
 
     def gain_map(self, beta: np.ndarray) -> np.ndarray:
         """(groups, columns, gain entries): the columns that each gain entry multiplies."""
@@ -297,7 +302,7 @@ class Problem:
             return out
 
         if alpha is None:
-            alpha = self._best(solve, lambda g, test: self.sse(intercept, self.coefficients(beta, g), test))
+            alpha = self._best("gain", solve, lambda g, test: self.sse(intercept, self.coefficients(beta, g), test))
         return solve(alpha, slice(None)), alpha
 
     def coefficients(self, beta: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -342,7 +347,7 @@ class Problem:
             before, last_mse, last = gain[watched].copy(), mse, now
         gain, gain_alpha = self.fit_gain(beta, intercept, gain_alpha, keep)
         trace[-1] = replace(trace[-1], mse=self.sse(intercept, self.coefficients(beta, gain)) / n, gain_alpha=gain_alpha)
-        return FitState(beta, gain, intercept, tuple(trace), converged)
+        return FitState(beta, gain, intercept, tuple(trace), converged, self.searched)
 
     def _difference(self, a: tuple[float, np.ndarray], b: tuple[float, np.ndarray]) -> float:
         """Sum of squared differences of two predictions."""

@@ -190,7 +190,7 @@ class Evaluation:
         return {
             "model": design.spec.name, "train_r2": self.train_r2, **cv, "n_iter": last["n_iter"], "converged": last["converged"],
             "final_converged": last["converged"], "final_convergence": last, "intercept": float(self.state.intercept),
-            "kernels": {k: v.tolist() for k, v in kernels.items()}, "gain_table": table, "dropouts": self.dropouts,
+            "kernels": {k: v.tolist() for k, v in kernels.items()}, "gain_table": table, "penalties": dict(self.state.searched), "dropouts": self.dropouts,
         }
 
 

@@ -3,8 +3,8 @@
 ``compile_design`` declares one DataFrame: a row for each bin with ``session``,
 ``row_id``, ``trial``, ``fit`` (whether a fit uses it) and ``x``, the convolved columns of
 all predictors but the target's history.  Event counts and signals of all predictors
-meet in one wide row a bin; the convolution is done per session (or per trial, where
-kernels don't reach across trials) on whole arrays.  Up to ``SQL_COLUMNS`` columns it is
+meet in one wide row a bin; the convolution is done on arrays, for stretches of a session (or
+of a trial, where kernels don't reach across trials).  Up to ``SQL_COLUMNS`` columns it is
 window functions instead, which stay in the JVM.
 """
 
@@ -27,6 +27,8 @@ from tempolin.operators.grid import aligned_rows, finite, regular_rows, trial_wi
 from tempolin.plans.spec import Event, History, ModelSpec, ParameterLayout, Signal
 
 SQL_COLUMNS = 16
+#: Rows that a task convolves at a time.
+STRETCH = 8192
 
 
 @dataclass(frozen=True)
@@ -196,19 +198,25 @@ def convolve_sql(wide: DataFrame, sources: Mapping[str, str], lags: Mapping[str,
     return zeroed.select("session", "row_id", "trial", "fit", F.array(*x).cast("array<double>").alias("x"))
 
 
-def convolve_arrow(wide: DataFrame, sources: Mapping[str, str], lags: Mapping[str, np.ndarray], bases: Mapping[str, np.ndarray], segmented: bool) -> DataFrame:
-    """The convolution on whole arrays, for each session or each trial."""
+def convolve_arrow(wide: DataFrame, sources: Mapping[str, str], lags: Mapping[str, np.ndarray], bases: Mapping[str, np.ndarray], segmented: bool, stretch: int = STRETCH) -> DataFrame:
+    """The convolution on arrays, for stretches of a session or trial with the rows around them that the lags reach."""
+    reach = [int(x) for name in sources for x in (lags[name].min(), lags[name].max())]
+    size = max(stretch, 4 * max(map(abs, reach), default=0))
+    # a row goes to the stretches of all rows that it is a lag away from
+    stretches = F.sequence(F.expr(f"floor((row_id + {min(0, *reach)}) / {size})"), F.expr(f"floor((row_id + {max(0, *reach)}) / {size})")) if reach else F.array(F.expr(f"floor(row_id / {size})"))
+    dealt = wide.withColumn("_c", F.explode(stretches))
 
     def convolve(table: pa.Table) -> pa.Table:
         table = table.sort_by("row_id")
         row_id = table.column("row_id").to_numpy()
         series = {c: np.nan_to_num(table.column(c).to_numpy(zero_copy_only=False).astype(float), nan=0.0) for c in set(sources.values())}
-        x = np.hstack([lagged(series[column], row_id, lags[name], bases[name]) for name, column in sources.items()]) if sources else np.zeros((len(row_id), 0))
-        return pa.table([table.column(c) for c in ("session", "row_id", "trial", "fit")] + [lists(x)], names=["session", "row_id", "trial", "fit", "x"])
+        own = np.flatnonzero(row_id // size == table.column("_c")[0].as_py())
+        x = np.hstack([lagged(series[column], row_id, lags[name], bases[name])[own] for name, column in sources.items()]) if sources else np.zeros((len(own), 0))
+        return pa.table([table.column(c).take(pa.array(own)) for c in ("session", "row_id", "trial", "fit")] + [lists(x)], names=["session", "row_id", "trial", "fit", "x"])
 
     kinds = dict(wide.dtypes)
     schema = f"session {kinds['session']}, row_id {kinds['row_id']}, trial {kinds['trial']}, fit boolean, x array<double>"
-    return wide.groupBy("session", *["trial"] * segmented).applyInArrow(convolve, schema)
+    return dealt.groupBy("session", *["trial"] * segmented, "_c").applyInArrow(convolve, schema)
 
 
 def moments_sql(rows: DataFrame, targets: DataFrame, p: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 _DT, _DAY, _HALF, _N = "3600e0", "86400e0", "1800e0", 720
 
-_EV = """ev as (select user_id % 5 as session, user_id % 4 as unit_id, event_type as source, event_id as sample_ix,
+_EV = """ev as (select user_id // 30 as session, user_id % 4 as unit_id, event_type as source, event_id as sample_ix,
     (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as time, value from events)"""
-_SESSION = "sess as (select cast(s as bigint) as session from range(5) t(s))"
-_GRID = f"{_SESSION}, grid as (select session, cast(r as bigint) as row_id, r * {_DT} as bin_start, cast(r // 24 as bigint) as trial from sess, range({_N}) t(r))"
-_TRIALS = f"""{_SESSION}, trials as (select session, cast(t as bigint) as trial, t * {_DAY} as start, (t + 1) * {_DAY} as stop, 1e0 - 2e0 * ((t // 5) % 2) as context,
-    0.25e0 * ((t * 7) % 11) as load, cast(t // 5 as bigint) as cv_group, t % 7 <> 3 as included from sess, range(30) r(t))"""
+_SESSION = f"""sess as (select user_id // 30 as session, cast(max(floor((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 / {_DAY})) as bigint) + 1 as days from events group by 1)"""
+_GRID = f"{_SESSION}, grid as (select session, cast(r as bigint) as row_id, r * {_DT} as bin_start, cast(r // 24 as bigint) as trial from sess, unnest(range(days * 24)) t(r))"
+_DAYS = f"""trials as (select session, cast(t as bigint) as trial, t * {_DAY} as start, (t + 1) * {_DAY} as stop, 1e0 - 2e0 * ((t // 5) % 2) as context,
+    0.25e0 * ((t * 7) % 11) as load, cast(t // 5 as bigint) as cv_group, t % 7 <> 3 as included from sess, unnest(range(days)) r(t))"""
+_TRIALS = f"{_SESSION}, {_DAYS}"
 _STIM = f"""{_EV}, {_TRIALS}, stims as (select session, cast(floor(time / {_DAY}) as bigint) as trial, min(time) as stim from ev
     where source = 'purchase' and time < floor(time / {_DAY}) * 86400.0 + 80000.0 group by all),
   strials as (select t.*, coalesce(s.stim, t.start + 43200.0) as stim from trials t left join stims s using (session, trial))"""
@@ -56,6 +57,13 @@ def _design(partition: str) -> str:
     return ", ".join(f"{_R(c)} as x{k}" for k, c in enumerate(columns))
 
 
+def _wide_design() -> str:
+    """Nine raised cosines over twelve lags, centres 11/8 apart, each half a wave of two spacings to either side."""
+    bump = lambda first, j: {first + k: f"(0.5 + 0.5 * cos(pi() * {k - 11 * j / 8!r} / 2.75))" for k in range(12) if abs(k - 11 * j / 8) < 2.75}
+    columns = [_lagged(column, bump(first, j), "session") for column, first in (("purchase", 0), ("zclick", -6)) for j in range(9)]
+    return f"with {_EV}, {_GRID}, {_SERIES} select session, row_id, " + ", ".join(f"{_R(c)} as x{k}" for k, c in enumerate(columns)) + " from series"
+
+
 _TARGET = f"""y_ as (select session, unit_id, row_id, cast(count(*) as double) as y from ({_bins("source = 'purchase'")}) group by all),
   units as (select distinct session, unit_id from y_),
   xs as materialized (select session, row_id, trial, signup + lag(signup, 1, 0.0) over (partition by session order by row_id) as x0, click as x1 from series),
@@ -169,13 +177,13 @@ _GAPS = f"""with {_EV}, {_GRID}, {_HOURLY},
       first_value(value ignore nulls) over (w rows between current row and unbounded following) as v1 from hourly window w as (partition by session, source order by sample_ix))
   select session, source, sample_ix, {_R('case when value is not null then value when v0 is null then v1 when v1 is null then v0 else (v1 - v0) / (i1 - i0) * (sample_ix - i0) + v0 end')} as value from f"""
 
-_POSE = """with pose as (select distinct l_suppkey % 5 as session, l_orderkey * 8 + l_linenumber as frame_ix, l_quantity as x, l_extendedprice as y, 1.0 - l_discount / 4 as likelihood, l_tax as jitter from lineitem),
+_POSE = """with pose as (select distinct l_suppkey // 20 as session, l_orderkey * 8 + l_linenumber as frame_ix, l_quantity as x, l_extendedprice as y, 1.0 - l_discount / 4 as likelihood, l_tax as jitter from lineitem),
   lim as (select session, avg(jitter) + 3.0 * stddev_pop(jitter) as most from pose group by session),
   fr as (select distinct session, frame_ix from pose)
   select session, count(*) as n, round(sum(sqrt(x * x + y * y)), 3) as total, max(frame_ix) as last from pose join lim using (session) join fr using (session, frame_ix)
   where likelihood > 0.98 and jitter <= most group by session"""
 
-_PARTS = """units as (select cast(p_size % 5 as bigint) as session, p_partkey as unit_id, p_size > 25 as default_qc,
+_PARTS = """units as (select p_partkey // 400 as session, p_partkey as unit_id, p_size > 25 as default_qc,
   case when p_partkey % 11 = 0 then 'noise' when p_partkey % 13 <> 0 then 'sua' end as decoder_label,
   case when p_partkey % 17 <> 0 then p_size / 50 end as amplitude_cutoff, p_partkey % 100 / 100 as presence_ratio from part)"""
 _QC = f"{_PARTS}, ok as (select session, unit_id from units where default_qc and decoder_label <> 'noise')"
@@ -258,7 +266,70 @@ def _offset_scores() -> str:
 
 
 
+def _penalty_errors() -> str:
+    """Inner folds deal equal trials out from the last one on; a lasso of two columns is the best of its nine patterns of signs."""
+    sums = ("n", "s0", "s1", "s00", "s01", "s11", "sy", "s0y", "s1y", "syy")
+    a00, a01, a11 = "(s00 - s0 * s0 / n)", "(s01 - s0 * s1 / n)", "(s11 - s1 * s1 / n)"
+    t0, t1 = "(s0y - s0 * sy / n)", "(s1y - s1 * sy / n)"
+    return f"""with {_DATA}, per as materialized (select session, unit_id, (29 - trial) % 5 as g, {_SUMS} from rows_ group by all),
+      train as materialized (select t.session, t.unit_id, t.g, {', '.join(f'sum(o.{c}) as {c}' for c in sums)} from per t join per o on t.session = o.session and t.unit_id = o.unit_id and t.g <> o.g group by all),
+      penal as (select 'ridge' as regularizer, unnest([1e-1, 1e1, 1e3]) as alpha union all select 'lasso', unnest([1e-3, 1e-2, 1e-1])),
+      ridge as (select session, unit_id, g, alpha, ({t0} * ({a11} + alpha) - {t1} * {a01}) / (({a00} + alpha) * ({a11} + alpha) - {a01} * {a01}) as b0,
+        ({t1} * ({a00} + alpha) - {t0} * {a01}) / (({a00} + alpha) * ({a11} + alpha) - {a01} * {a01}) as b1 from train, penal where regularizer = 'ridge'),
+      tried as (select *, case when p = 0 then 0e0 when q = 0 then (t0 - n * alpha * p) / a00 else ((t0 - n * alpha * p) * a11 - (t1 - n * alpha * q) * a01) / (a00 * a11 - a01 * a01) end as b0,
+          case when q = 0 then 0e0 when p = 0 then (t1 - n * alpha * q) / a11 else ((t1 - n * alpha * q) * a00 - (t0 - n * alpha * p) * a01) / (a00 * a11 - a01 * a01) end as b1
+        from (select *, {a00} as a00, {a01} as a01, {a11} as a11, {t0} as t0, {t1} as t1 from train, penal, unnest([-1, 0, 1]) u(p), unnest([-1, 0, 1]) w(q) where regularizer = 'lasso')),
+      lasso as (select session, unit_id, g, alpha, b0, b1 from tried where sign(b0) = p and sign(b1) = q
+        qualify row_number() over (partition by session, unit_id, g, alpha order by (b0 * b0 * a00 + 2 * b0 * b1 * a01 + b1 * b1 * a11 - 2 * b0 * t0 - 2 * b1 * t1) / (2 * n) + alpha * (abs(b0) + abs(b1))) = 1),
+      fits as (select 'ridge' as regularizer, * from ridge union all select 'lasso', * from lasso),
+      scored as (select regularizer, session, unit_id, alpha, g, {_sse_of('b')} / n as e from (select f.regularizer, f.alpha, f.b0, f.b1, (t.sy - f.b0 * t.s0 - f.b1 * t.s1) / t.n as b, p.*
+        from fits f join train t using (session, unit_id, g) join per p using (session, unit_id, g))),
+      means as (select regularizer, session, unit_id, alpha, avg(e) as error from scored group by all)
+      select regularizer, session, unit_id, alpha, {_R('error')} as error, row_number() over (partition by regularizer, session, unit_id order by error, alpha) = 1 as chosen from means"""
+
+
+def _gains_dropout() -> str:
+    """The alternation on each fold's other trials, with a fold's copy of a unit as a unit of its own."""
+    data = _DATA.replace("rows_ as materialized", "all_ as materialized").replace("units as (", "units0 as (").replace("join units u", "join units0 u") + """,
+      rows_ as materialized (select session, unit_id * 100 + g as unit_id, row_id, trial, x0, x1, y from all_, unnest(range(6)) f(g) where trial // 5 <> g),
+      units as (select distinct session, unit_id from rows_)"""
+    tail = f"""select session, unit_id // 100 as unit_id, {_R('1 - sum(e1) / any_value(tss)')} as cv_r2_pooled, {_R('(sum(e0) - sum(e1)) / any_value(tss)')} as delta_r2_pooled
+      from (select a.session, a.unit_id, sum(pow(r.y - a.b - (a.o + a.c * (1e0 - 2e0 * ((r.trial // 5) % 2))) * a.b0 * r.x0 - a.b1 * r.x1, 2)) as e1, sum(pow(r.y - a.b - less.o * a.b0 * r.x0 - a.b1 * r.x1, 2)) as e0
+          from als a join (select a.session, a.unit_id, sum(a.b0 * (s0y - a.b * s0 - a.b1 * s01)) / (sum(a.b0 * a.b0 * s00) + 5e-1) as o
+              from als a join per p on a.session = p.session and a.unit_id = p.unit_id where a.k = 8 group by a.session, a.unit_id) less on less.session = a.session and less.unit_id = a.unit_id
+          join all_ r on r.session = a.session and r.unit_id = a.unit_id // 100 and r.trial // 5 = a.unit_id % 100 where a.k = 8 group by a.session, a.unit_id)
+      join (select session, unit_id as own, {_TSS} as tss from all_ group by all) t using (session) where own = unit_id // 100 group by session, unit_id // 100"""
+    return _alternating(tail, data)
+
+
+def _gain_shifts() -> str:
+    """Kernels of the model without the gain on trials 2 to 27; at each shift both gain entries solved again with them."""
+    sums = ("n", "s0", "s1", "s00", "s01", "s11", "sy", "s0y", "s1y", "syy")
+    error = lambda gain: f"""(syy - 2 * b * sy - 2 * {gain} * u * s0y - 2 * b1 * s1y + n * b * b + 2 * b * {gain} * u * s0 + 2 * b * b1 * s1
+      + {gain} * {gain} * u * u * s00 + 2 * {gain} * u * b1 * s01 + b1 * b1 * s11)"""
+    return f"""with {_DATA}, per as materialized (select session, unit_id, trial, trial // 5 as g, {_SUMS} from rows_ where trial between 2 and 27 group by all),
+      fold as (select session, unit_id, g, {', '.join(f'sum({c}) as {c}' for c in sums)} from per group by all),
+      train as (select t.session, t.unit_id, t.g, {', '.join(f'sum(o.{c}) as {c}' for c in sums)} from fold t join fold o on t.session = o.session and t.unit_id = o.unit_id and t.g <> o.g group by all),
+      solved as ({_ridge('train', 'session, unit_id, g')}),
+      kernel as materialized (select session, unit_id, g, sign(b0) / sqrt(2e0) as u, b1, b from solved),
+      shifts as (select unnest([0, 1, 2, -2, -1]) as s),
+      moved as materialized (select p.*, s, 1e0 - 2e0 * ((((p.trial - s + 30) % 30) // 5) % 2) as v from per p, shifts),
+      system as (select m.session, m.unit_id, k.g, m.s, any_value(k.u) as u, any_value(k.b) as b, any_value(k.b1) as b1, sum(u * u * s00) + 5e-1 as h00, sum(v * u * u * s00) as h01, sum(v * v * u * u * s00) + 5e-1 as h11,
+          sum(u * (s0y - b * s0 - b1 * s01)) as q0, sum(v * u * (s0y - b * s0 - b1 * s01)) as q1
+        from moved m join kernel k on k.session = m.session and k.unit_id = m.unit_id and k.g <> m.g group by m.session, m.unit_id, k.g, m.s),
+      gain as (select *, (h11 * q0 - h01 * q1) / (h00 * h11 - h01 * h01) as o, (h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01) as c, q0 / h00 as alone from system),
+      e as (select m.session, m.unit_id, m.s, sum({error('(o + c * v)')}) as e1, sum({error('alone')}) as e0, sum(syy) - sum(sy) * sum(sy) / sum(n) as tss
+        from moved m join gain k on k.session = m.session and k.unit_id = m.unit_id and k.g = m.g and k.s = m.s group by all),
+      d as (select session, unit_id, s, (e0 - e1) / tss as d from e), o as (select session, unit_id, d as observed from d where s = 0)
+      select session, unit_id, {_R('avg(cast(d >= observed as int))')} as p_value, {_R('any_value(observed)')} as observed, cast(count(*) as double) as n_shifts
+      from d join o using (session, unit_id) group by session, unit_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "wide_design": _wide_design(),
+    "penalty_errors": _penalty_errors(),
+    "gains_dropout": _gains_dropout(),
+    "shift_test": _gain_shifts(),
     "history_predictions": _HISTORY_PREDICTIONS,
     "masked_fit": _MASKED,
     "refit_gains": _alternating(_GAINS_AGAIN),
@@ -287,7 +358,7 @@ ORACLE_SQL: dict[str, str] = {
         select e.session, e.sample_ix from ev e asof left join late t on e.session = t.session and e.time >= t.start where coalesce(t.included, true)""",
     "context_block_index": f"""with {_TRIALS}, c as (select *, coalesce(cast(context <> lag(context) over (partition by session order by trial) as int), 0) as d from trials)
         select session, trial, cast(sum(d) over (partition by session order by trial) as bigint) as block from c""",
-    "trial_gather": f"""with {_GRID}, {_TRIALS.split(', ', 1)[1]} select g.session, g.row_id, t.context, t.load, {_R(f'(g.bin_start + {_HALF}) / {_N} / {_DT}')} as fraction,
+    "trial_gather": f"""with {_GRID}, {_DAYS} select g.session, g.row_id, t.context, t.load, {_R(f'(g.bin_start + {_HALF}) / {_N} / {_DT}')} as fraction,
         case when t.load > 1 then 1 else -1 end as code from grid g join trials t using (session, trial)""",
     "outlier_mask": _outliers(),
     "gap_fill": _GAPS,
@@ -335,6 +406,6 @@ ORACLE_SQL: dict[str, str] = {
     "unit_spikes": f"""with {_ALIGNED} select session, unit_id, row_id, cast(count(*) as double) as y from {_ASOF.format(ev="(select * from ev where source = 'purchase')")} group by all
         union all select session, 99, 0, 0e0 from sess""",
     "model_means": """select o_orderpriority as model, round(avg(o_totalprice / 1e6), 6) as cv_r2, round(avg(o_orderkey % 7), 6) as n_iter from orders group by 1""",
-    "union_difference": f"""with {_EV}, {_SHIFTED.replace(_SESSION + ', ', _SESSION + ', ', 1)}, o as (select session, count(distinct trial) as n_omitted from shifted where not valid group by session)
+    "union_difference": f"""with {_EV}, {_SHIFTED}, o as (select session, count(distinct trial) as n_omitted from shifted where not valid group by session)
         select e.session, count(*) as n_events, any_value(n_omitted) as n_omitted from ev e join o using (session) where source in ('click', 'view') group by e.session""",
 }

@@ -1,8 +1,9 @@
 """Queries over the driver's tables, one or more for each operator.
 
-``events`` stands for recordings: a session is ``user_id % 5``, a unit ``user_id % 4``, a
-trial a day, a bin an hour of January 2024, event sources are the event types, the signal
-is ``value``, and the target counts a unit's purchases.
+``events`` stands for recordings: a session is 30 users, so sessions grow with the table; a
+unit is ``user_id % 4``, a trial a day, a bin an hour of the days that a session's events
+span, event sources are the event types, the signal is ``value``, and the target counts
+a unit's purchases.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tempolin.plans.spec import CVConfig, Dropout, Event, FitConfig, Gain, Histo
 from tempolin.sources import session as sources
 from tempolin.sources import sinks
 
-DT, DAY, N_TIME, N_TRIALS = 3600.0, 86400.0, 720, 30
+DT, DAY, N_TIME = 3600.0, 86400.0, 720
 DIGITS = 8
 
 
@@ -29,23 +30,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, unit_id, source, sample_ix, time, value), time in seconds since the first of January."""
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6
     return _read(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("session"), (F.col("user_id") % 4).alias("unit_id"), F.col("event_type").alias("source"), F.col("event_id").alias("sample_ix"), seconds.alias("time"), "value"
+        F.expr("user_id div 30").alias("session"), (F.col("user_id") % 4).alias("unit_id"), F.col("event_type").alias("source"), F.col("event_id").alias("sample_ix"), seconds.alias("time"), "value"
     )
 
 
-def _sessions(spark: SparkSession, extra: float = 1800.0) -> DataFrame:
-    """Five sessions of 30 days and a bit."""
-    return spark.range(5).select(F.col("id").alias("session"), F.lit(0.0).alias("start"), F.lit(N_TIME * DT + extra).alias("end"))
+def _sessions(spark: SparkSession, sf_dir: str, extra: float = 1800.0) -> DataFrame:
+    """Each session's whole days from the first of January to its last event, and a bit."""
+    days = events(spark, sf_dir).groupBy("session").agg((F.floor(F.max("time") / DAY) + 1).alias("days"))
+    return days.select("session", F.lit(0.0).alias("start"), (F.col("days") * DAY + extra).alias("end"), "days")
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    bins = grid.time_bins(_sessions(spark), DT)
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = grid.time_bins(_sessions(spark, sf_dir), DT)
     return bins.withColumn("trial", F.expr("row_id div 24"))
 
 
-def _trials(spark: SparkSession) -> DataFrame:
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days: bounds, context (+1 and -1 in blocks of five days), group, and whether they are included."""
-    days = spark.range(5).select(F.col("id").alias("session")).crossJoin(spark.range(N_TRIALS).select(F.col("id").alias("trial")))
+    days = _sessions(spark, sf_dir).select("session", F.explode(F.sequence(F.lit(0).cast("long"), F.col("days") - 1)).alias("trial"))
     block = F.expr("trial div 5")
     return days.select(
         "session", "trial", (F.col("trial") * DAY).alias("start"), ((F.col("trial") + 1) * DAY).alias("stop"), (1.0 - 2.0 * (block % 2)).alias("context"),
@@ -57,7 +59,7 @@ def _stimulus_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with a stimulus: the first purchase that leaves room, or noon."""
     chosen = events(spark, sf_dir).where("source = 'purchase'").withColumn("trial", F.floor(F.col("time") / DAY))
     chosen = chosen.where("time < trial * 86400.0 + 80000.0").groupBy("session", "trial").agg(F.min("time").alias("stim"))
-    return _trials(spark).join(chosen, ["session", "trial"], "left").withColumn("stim", F.coalesce("stim", F.col("start") + 43200.0))
+    return _trials(spark, sf_dir).join(chosen, ["session", "trial"], "left").withColumn("stim", F.coalesce("stim", F.col("start") + 43200.0))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -68,33 +70,33 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def time_bins(spark, sf_dir):
-    return grid.time_bins(_sessions(spark), DT)
+    return grid.time_bins(_sessions(spark, sf_dir), DT)
 
 
 def event_histogram(spark, sf_dir):
     rows = grid.regular_rows(events(spark, sf_dir), DT, N_TIME)
-    return grid.bin_counts(rows.select("session", "source", "row_id"), _grid(spark), "source", value="n")
+    return grid.bin_counts(rows.select("session", "source", "row_id"), _grid(spark, sf_dir), "source", value="n")
 
 
 def smoothed_rate(spark, sf_dir):
     chosen = events(spark, sf_dir).where("source = 'click'")
-    out = grid.bin_times(chosen.select("session", "time"), _sessions(spark), DT, smooth_sigma=2 * DT, output="rate")
+    out = grid.bin_times(chosen.select("session", "time"), _sessions(spark, sf_dir), DT, smooth_sigma=2 * DT, output="rate")
     return out.select("session", "row_id", F.round(F.col("value") * DT, DIGITS).alias("per_bin"))
 
 
 def trial_index(spark, sf_dir):
-    return grid.checked_trial_index(_trials(spark).withColumnRenamed("stop", "end"), DT)
+    return grid.checked_trial_index(_trials(spark, sf_dir).withColumnRenamed("stop", "end"), DT)
 
 
 def trial_index_faults(spark, sf_dir):
-    uneven = _trials(spark).select("session", "trial", (F.col("start") + 4000.0 * (F.col("trial") % 3)).alias("start"), (F.col("stop") + 5000.0 * (F.col("trial") % 2)).alias("end"))
+    uneven = _trials(spark, sf_dir).select("session", "trial", (F.col("start") + 4000.0 * (F.col("trial") % 3)).alias("start"), (F.col("stop") + 5000.0 * (F.col("trial") % 2)).alias("end"))
     faults = grid.trial_index_faults(grid.trial_index(uneven, DT), uneven, DT)
     return faults.select("session", "row_id", F.col("n_trials").cast("long").alias("n_trials"))
 
 
 def window_mask(spark, sf_dir):
     chosen = events(spark, sf_dir).where("source = 'purchase' and value > 100")
-    return grid.windows_mask(chosen, _grid(spark), DT, (-1.5 * DT, 2.0 * DT))
+    return grid.windows_mask(chosen, _grid(spark, sf_dir), DT, (-1.5 * DT, 2.0 * DT))
 
 
 def stimulus_grid(spark, sf_dir):
@@ -117,7 +119,7 @@ def trial_window_mask(spark, sf_dir):
 
 
 def trial_ends(spark, sf_dir):
-    late = _trials(spark).withColumn("start", F.col("start") + 60.0 * (F.col("trial") % 4))
+    late = _trials(spark, sf_dir).withColumn("start", F.col("start") + 60.0 * (F.col("trial") % 4))
     return grid.trial_ends(late).select("session", "trial", "end")
 
 
@@ -127,17 +129,17 @@ def trial_events(spark, sf_dir):
 
 
 def included_events(spark, sf_dir):
-    late = _trials(spark).withColumn("start", F.col("start") + 7200.0)
+    late = _trials(spark, sf_dir).withColumn("start", F.col("start") + 7200.0)
     kept = grid.included_events(events(spark, sf_dir).select("session", "sample_ix", "time"), late)
     return kept.select("session", "sample_ix")
 
 
 def context_block_index(spark, sf_dir):
-    return relational.context_blocks(_trials(spark), "context").select("session", "trial", F.col("block").cast("long").alias("block"))
+    return relational.context_blocks(_trials(spark, sf_dir), "context").select("session", "trial", F.col("block").cast("long").alias("block"))
 
 
 def trial_gather(spark, sf_dir):
-    frame = grid.trial_gather(_grid(spark), _trials(spark), ["context", "load"])
+    frame = grid.trial_gather(_grid(spark, sf_dir), _trials(spark, sf_dir), ["context", "load"])
     fraction = grid.time_fraction(F.col("bin_start"), DT, F.lit(0.0), F.lit(N_TIME * DT))
     return frame.select("session", "row_id", "context", "load", F.round(fraction, DIGITS).alias("fraction"), grid.context_code(F.col("load") > 1).alias("code"))
 
@@ -154,7 +156,7 @@ def _hourly(spark, sf_dir):
     """Mean value of each hour, null in hours without events: a signal on the grid."""
     rows = grid.regular_rows(events(spark, sf_dir).where("source <> 'error'"), DT, N_TIME)
     means = rows.groupBy("session", "source", "row_id").agg(F.avg("value").alias("value"))
-    frame = _grid(spark).select("session", "row_id").crossJoin(F.broadcast(events(spark, sf_dir).where("source <> 'error'").select("source").distinct()))
+    frame = _grid(spark, sf_dir).select("session", "row_id").crossJoin(F.broadcast(events(spark, sf_dir).where("source <> 'error'").select("source").distinct()))
     return frame.join(means, ["session", "source", "row_id"], "left").withColumnRenamed("row_id", "sample_ix")
 
 
@@ -164,12 +166,12 @@ def gap_fill(spark, sf_dir):
 
 def interpolated_signal(spark, sf_dir):
     chosen = events(spark, sf_dir).where("source in ('click', 'view')").select("session", "source", "sample_ix", "time", "value")
-    return _rounded(conditioning.interpolate(chosen, _grid(spark), DT), "value")
+    return _rounded(conditioning.interpolate(chosen, _grid(spark, sf_dir), DT), "value")
 
 
 def binned_signal(spark, sf_dir):
     chosen = events(spark, sf_dir).select("session", "source", "sample_ix", "time", "value")
-    return _rounded(conditioning.bin_mean(chosen, _grid(spark), DT), "value")
+    return _rounded(conditioning.bin_mean(chosen, _grid(spark, sf_dir), DT), "value")
 
 
 def binned_signal_aligned(spark, sf_dir):
@@ -179,12 +181,12 @@ def binned_signal_aligned(spark, sf_dir):
 
 def zscored_signal(spark, sf_dir):
     chosen = events(spark, sf_dir).select("session", "source", "sample_ix", "time", "value")
-    return _rounded(conditioning.normalize(conditioning.bin_mean(chosen, _grid(spark), DT), "zscore"), "value")
+    return _rounded(conditioning.normalize(conditioning.bin_mean(chosen, _grid(spark, sf_dir), DT), "zscore"), "value")
 
 
 def centered_signal(spark, sf_dir):
     chosen = events(spark, sf_dir).select("session", "source", "sample_ix", "time", "value")
-    return _rounded(conditioning.normalize(conditioning.bin_mean(chosen, _grid(spark), DT), "center"), "value")
+    return _rounded(conditioning.normalize(conditioning.bin_mean(chosen, _grid(spark, sf_dir), DT), "center"), "value")
 
 
 def residual_signal(spark, sf_dir):
@@ -196,14 +198,14 @@ def residual_signal(spark, sf_dir):
 
 def binned_signal_raw(spark, sf_dir):
     chosen = events(spark, sf_dir).select("session", "source", "sample_ix", "time", "value")
-    return conditioning.bin_mean(chosen, _grid(spark), DT)
+    return conditioning.bin_mean(chosen, _grid(spark, sf_dir), DT)
 
 
 def pose_signal(spark, sf_dir):
     """Line items stand for frames: positions, likelihood and jitter of one feature."""
     lines = _read(spark, sf_dir, "lineitem")
     pose = lines.select(
-        (F.col("l_suppkey") % 5).alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame_ix"), F.col("l_quantity").alias("ear_base_l_x"),
+        F.expr("l_suppkey div 20").alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame_ix"), F.col("l_quantity").alias("ear_base_l_x"),
         F.col("l_extendedprice").alias("ear_base_l_y"), (1.0 - F.col("l_discount") / 4).alias("ear_base_l_likelihood"), F.col("l_tax").alias("ear_base_l_temporal_norm"),
     )
     frames = pose.select("session", "frame_ix", (F.col("frame_ix") * 0.01).alias("timestamps"))
@@ -217,7 +219,7 @@ def pose_signal(spark, sf_dir):
 def _tables(spark, sf_dir):
     ev = events(spark, sf_dir)
     samples = ev.where("source in ('click', 'view')").select("session", "source", "sample_ix", "time", "value")
-    return design.SessionTables(DT, _grid(spark), ev.select("session", "source", "time"), samples, _trials(spark))
+    return design.SessionTables(DT, _grid(spark, sf_dir), ev.select("session", "source", "time"), samples, _trials(spark, sf_dir))
 
 
 def _spec(**more):
@@ -246,6 +248,13 @@ def segmented_design(spark, sf_dir):
     return rows.select("session", "row_id", *[F.round(F.get("x", F.lit(k)), DIGITS).alias(f"x{k}") for k in range(3)])
 
 
+def wide_design(spark, sf_dir):
+    """Eighteen columns: too many for window functions, so stretches of rows are convolved on arrays."""
+    spec = ModelSpec((Event("purchase", (0, 12 * DT), 9), Signal("click", (-6 * DT, 6 * DT), 9, align="bin", normalize="zscore", outlier_zscore=None)), dt=DT)
+    rows = design.compile_design(spec, _tables(spark, sf_dir)).rows
+    return rows.select("session", "row_id", *[F.round(F.get("x", F.lit(k)), DIGITS).alias(f"x{k}") for k in range(18)])
+
+
 def trial_moments(spark, sf_dir):
     compiled = design.compile_design(_plain_spec(), _tables(spark, sf_dir))
     m = design.moments_sql(compiled.rows, _targets(spark, sf_dir), 2)
@@ -277,12 +286,12 @@ def _unpacked(m, *names):
 
 def group_moments(spark, sf_dir):
     """Trial moments added up by trial group."""
-    m = trial_moments(spark, sf_dir).join(_trials(spark).select("session", "trial", "cv_group"), ["session", "trial"])
+    m = trial_moments(spark, sf_dir).join(_trials(spark, sf_dir).select("session", "trial", "cv_group"), ["session", "trial"])
     return m.groupBy("session", "unit_id", "cv_group").agg(F.sum("n").alias("n"), F.round(F.sum("sx01"), 5).alias("sx01"), F.sum("sy").alias("sy"), F.round(F.sum("sxy1"), 5).alias("sxy1"))
 
 
 def history_gap(spark, sf_dir):
-    held = _grid(spark).withColumn("side", F.col("trial") % 5 == 2)
+    held = _grid(spark, sf_dir).withColumn("side", F.col("trial") % 5 == 2)
     return relational.with_history_gap(held, "side", 3).select("session", "row_id", "safe")
 
 
@@ -383,7 +392,7 @@ def selected_penalties(spark, sf_dir):
 def masked_fit(spark, sf_dir):
     """A fit on rows that a mask of the caller selects instead of the design's own."""
     compiled = design.compile_design(_plain_spec(fit_window=(-6 * DT, 6 * DT), fit_events=("error",)), _tables(spark, sf_dir))
-    mask = _grid(spark).where("row_id % 3 <> 1")
+    mask = _grid(spark, sf_dir).where("row_id % 3 <> 1")
     out = fit.fit_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0), mask=mask)
     return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1"), "train_r2"), "intercept", "beta0", "beta1", "train_r2")
 
@@ -402,6 +411,24 @@ def refit_kernels(spark, sf_dir):
     return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1")), "intercept", "beta0", "beta1")
 
 
+def penalty_errors(spark, sf_dir):
+    """Errors of the inner folds by penalty, ridge and lasso, and the penalty that was chosen."""
+    compiled, targets = design.compile_design(_plain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    grids = {"ridge": (1e-1, 1e1, 1e3), "lasso": (1e-3, 1e-2, 1e-1)}
+    fits = [fit.fit_units(compiled, targets, FitConfig(regularizer=name, alphas=alphas)).withColumn("regularizer", F.lit(name)) for name, alphas in grids.items()]
+    told = F.from_json(F.get_json_object("summary", "$.penalties.kernel"), "struct<alphas:array<double>,errors:array<double>,chosen:double>")
+    out = fits[0].unionByName(fits[1]).select("regularizer", "session", "unit_id", told.alias("t"))
+    each = out.select("regularizer", "session", "unit_id", "t.chosen", F.explode(F.arrays_zip("t.alphas", "t.errors")).alias("e"))
+    return each.select("regularizer", "session", "unit_id", F.col("e.alphas").alias("alpha"), F.round("e.errors", DIGITS).alias("error"), (F.col("e.alphas") == F.col("chosen")).alias("chosen"))
+
+
+def gains_dropout(spark, sf_dir):
+    """Held-out score of a model without a gain, with the kernels of the full model held and the other gains solved again."""
+    compiled = design.compile_design(_gain_spec(), _tables(spark, sf_dir))
+    out = fit.evaluate_units(compiled, _targets(spark, sf_dir), _FIXED, CVConfig(), [Dropout.gain("context", refit="gains")])
+    return out.select("session", "unit_id", F.round("cv_r2_pooled", DIGITS).alias("cv_r2_pooled"), _number("$.dropouts.context.delta_r2_pooled").alias("delta_r2_pooled"))
+
+
 def history_predictions(spark, sf_dir):
     """Predictions of a model with the target's own past, for all rows."""
     spec = ModelSpec((History(window=(DT, 4 * DT), n_basis=1), Event("signup", (0, 2 * DT), 1)), dt=DT)
@@ -441,7 +468,7 @@ def offset_scores(spark, sf_dir):
     """Scores of targets whose mean is ten million times their spread: of moments, and of rows."""
     compiled = design.compile_design(_plain_spec(), _tables(spark, sf_dir))
     units = _targets(spark, sf_dir)
-    everywhere = _grid(spark).select("session", "row_id").join(units.select("session", "unit_id").distinct(), "session")
+    everywhere = _grid(spark, sf_dir).select("session", "row_id").join(units.select("session", "unit_id").distinct(), "session")
     lifted = everywhere.join(units, ["session", "unit_id", "row_id"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) + 1e7)
     out = fit.evaluate_units(compiled, lifted, FitConfig(kernel_alpha=2.0), CVConfig(), [])
     return _rounded(out.select("session", "unit_id", F.get("beta", F.lit(0)).alias("beta0"), "train_r2", "cv_r2", "cv_r2_pooled"), "beta0", "train_r2", "cv_r2", "cv_r2_pooled")
@@ -459,18 +486,18 @@ def history_fit(spark, sf_dir):
 
 
 def outer_folds(spark, sf_dir):
-    groups = relational.grouped_folds(_trials(spark), "cv_group").select("session", "trial", F.col("fold").alias("by_group"))
-    even = relational.even_folds(_trials(spark), 7).select("session", "trial", F.col("fold").alias("by_trial"))
+    groups = relational.grouped_folds(_trials(spark, sf_dir), "cv_group").select("session", "trial", F.col("fold").alias("by_group"))
+    even = relational.even_folds(_trials(spark, sf_dir), 7).select("session", "trial", F.col("fold").alias("by_trial"))
     return groups.join(even, ["session", "trial"]).select("session", "trial", F.col("by_group").cast("long").alias("by_group"), F.col("by_trial").cast("long").alias("by_trial"))
 
 
 def edge_shifts(spark, sf_dir):
-    out = relational.edge_shifts(_trials(spark).where("trial >= 1 and trial < 28"), "context")
+    out = relational.edge_shifts(_trials(spark, sf_dir).where("trial >= 1 and trial < 28"), "context")
     return out.select("session", F.col("ordinal").cast("long").alias("ordinal"), F.col("shift").cast("long").alias("shift"), F.col("n_trials").cast("long").alias("n_trials"))
 
 
 def shifted_values(spark, sf_dir):
-    trials = _trials(spark).where("trial >= 1 and trial < 28")
+    trials = _trials(spark, sf_dir).where("trial >= 1 and trial < 28")
     out = relational.shifted_values(trials, relational.edge_shifts(trials, "context"), "context")
     return out.select("session", "trial", F.col("shift").cast("long").alias("shift"), "shifted", "valid")
 
@@ -482,7 +509,7 @@ def _units(spark, sf_dir):
     """Parts stand for units."""
     part = _read(spark, sf_dir, "part")
     return part.select(
-        (F.col("p_size") % 5).cast("long").alias("session"), F.col("p_partkey").alias("unit_id"), (F.col("p_size") > 25).alias("default_qc"),
+        F.expr("p_partkey div 400").alias("session"), F.col("p_partkey").alias("unit_id"), (F.col("p_size") > 25).alias("default_qc"),
         F.when(F.col("p_partkey") % 11 == 0, "noise").when(F.col("p_partkey") % 13 != 0, "sua").alias("decoder_label"),
         F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") / 50).alias("amplitude_cutoff"), (F.col("p_partkey") % 100 / 100).alias("presence_ratio"),
     )
@@ -519,9 +546,9 @@ def unit_spikes(spark, sf_dir):
     """Spike times as a list a unit, binned on the aligned grid; a unit without spikes gets one row of 0."""
     ev = events(spark, sf_dir).where("source = 'purchase'")
     units = ev.groupBy("session", "unit_id").agg(F.sort_array(F.collect_list("time")).alias("spike_times"))
-    silent = spark.range(5).select(F.col("id").alias("session"), F.lit(99).cast("long").alias("unit_id"), F.array().cast("array<double>").alias("spike_times"))
+    silent = _sessions(spark, sf_dir).select("session", F.lit(99).cast("long").alias("unit_id"), F.array().cast("array<double>").alias("spike_times"))
     aligned = _aligned(spark, sf_dir).withColumn("absolute", F.col("bin_start")).withColumn("absolute_next", F.col("next_start"))
-    loaded = sources.LoadedSessions(sources.MemoryStore({"units": units.unionByName(silent)}), design.SessionTables(DT, aligned, None, None, _trials(spark), regular=False), _trials(spark))
+    loaded = sources.LoadedSessions(sources.MemoryStore({"units": units.unionByName(silent)}), design.SessionTables(DT, aligned, None, None, _trials(spark, sf_dir), regular=False), _trials(spark, sf_dir))
     return sources.unit_targets(loaded, units.unionByName(silent).select("session", "unit_id"))
 
 
@@ -538,7 +565,7 @@ def union_difference(spark, sf_dir):
     """Event times of two sources as one bag, and trials that no shift can use."""
     ev = events(spark, sf_dir)
     union = ev.where("source = 'click'").select("session", "time").unionByName(ev.where("source = 'view'").select("session", "time"))
-    trials = _trials(spark).where("trial >= 1 and trial < 28")
+    trials = _trials(spark, sf_dir).where("trial >= 1 and trial < 28")
     valid = relational.shifted_values(trials, relational.edge_shifts(trials, "context"), "context").where("valid").select("session", "trial")
     omitted = trials.select("session", "trial").exceptAll(valid.distinct()).groupBy("session").agg(F.count("*").alias("n_omitted"))
     return union.groupBy("session").agg(F.count("*").alias("n_events")).join(omitted, "session")
@@ -555,8 +582,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         time_bins, event_histogram, smoothed_rate, trial_index, trial_index_faults, window_mask, stimulus_grid, asof_rows, trial_window_mask, trial_ends, trial_events, included_events,
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
-        lagged_design, segmented_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
-        cross_validation, shift_test, baseline_shift_test, selected_penalties, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
+        lagged_design, segmented_design, wide_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
+        cross_validation, shift_test, baseline_shift_test, selected_penalties, penalty_errors, gains_dropout, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
         unit_spikes, model_means, union_difference, session_json,
     )
 }
