@@ -51,15 +51,16 @@ def license_scan_sql(docs: str = "documents", templates=license_scan.TEMPLATES)
     select * from pairs where n_shingles > 0 and 100 * n_found >= {license_scan.CONTAINMENT_PERCENT} * n_shingles"""
 
 
-def quality_sql(docs: str = "documents", columns: str | None = None) -> str:
-    """The rows of op4, or with ``columns`` (of the documents) the kept documents."""
+def quality_sql(docs: str = "documents") -> str:
+    """The rows of op4, with the references of the code as literals."""
     rest = lambda pattern: f"length(regexp_replace(b, '{pattern}', '', 'g'))"
     counts = [f"length(b) - {rest(p.replace(chr(39), chr(39) * 2))}" for p in ("[a-z]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+")]
     counts += [rest("[\\x00-\\x7F]+"), f"length(b) - {rest(_SPACE)}"]
     common = " ".join(
         f"when {_text(language)} then list_transform([{', '.join(map(_text, listed))}], lambda c: len(list_filter(plain, lambda x: x = c)))" for language, listed in quality.COMMON_WORDS.items()
     )
-    languages = ", ".join(map(_text, quality.COMMON_WORDS))
+    listed = lambda xs: "[" + ", ".join(f"{x}e0" for x in xs) + "]"
+    references = ", ".join(f"({_text(language)}, {listed(classes)}, {listed(words)})" for language, (classes, words) in quality.REFERENCES.items())
     distance = lambda p, q: f"""case when list_sum({p}) > 0 and list_sum({q}) > 0 then round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i:
             (case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2(2 * {p}[i] / list_sum({p}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end)
             + (case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2(2 * {q}[i] / list_sum({q}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end))) / 2, 0)), 9) end"""
@@ -73,21 +74,14 @@ def quality_sql(docs: str = "documents", columns: str | None = None) -> str:
     counted as (select rid, [{', '.join(counts)}] as c, case lang {common} end as m, len(plain) as n_plain from doc),
     hist as materialized (select rid, list_transform(list_append(c, (select length(b) from doc d where d.rid = counted.rid) - list_sum(c)), lambda x: cast(x as double)) as c,
             list_transform(list_append(m, n_plain - list_sum(m)), lambda x: cast(x as double)) as m from counted),
-    long_ as (select doc.lang, c, m from doc join hist using (rid) where len(w) >= {quality.MIN_WORDS} and lang in ({languages})),
-    ref as (select lang, (select list(s order by i) from (select i, sum(c[i]) as s from long_ l, unnest(range(1, 8)) as t(i) where l.lang = o.lang group by i)) as rc,
-            (select list(s order by i) from (select i, sum(m[i]) as s from long_ l, unnest(range(1, 14)) as t(i) where l.lang = o.lang group by i)) as rm
-        from (select distinct lang from long_) o),
+    ref as (select * from (values {references}) v(lang, rc, rm)),
     judged as (select doc.*, coalesce(r.n, 0) as rep,
             len(w) < 10 or 100 * coalesce(r.n, 0) > 20 * len(w) as bad,
             case when len(w) >= {quality.MIN_WORDS} then coalesce({distance('c', 'rc')}, 0) > {quality.MAX_CLASS_DISTANCE} or coalesce({distance('m', 'rm')}, 0) > {quality.MAX_WORD_DISTANCE} else false end as far
         from doc join hist using (rid) left join repeated r using (rid) left join ref on ref.lang = doc.lang)
-    """ + (
-        f"select {columns} from judged where not bad and not far"
-        if columns
-        else f"""select doc_id, cast(len(w) as bigint) as n_words, cast({rest(_SPACE)} as bigint) as word_chars,
+    select doc_id, cast(len(w) as bigint) as n_words, cast({rest(_SPACE)} as bigint) as word_chars,
         cast(length(b) - {rest(quality.SYMBOLS)} as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
         cast(rep as bigint) as n_repeat_words, bad as base_failed, not bad and not far as kept from judged"""
-    )
 
 
 def mixing_sql(percent: int, weights: Mapping[str, Mapping[str, int]], epochs: int, seed: int, docs: str = "documents") -> str:
