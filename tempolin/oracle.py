@@ -325,7 +325,50 @@ def _gain_shifts() -> str:
       from d join o using (session, unit_id) group by session, unit_id"""
 
 
+# a recording: the bins of trials, around their stimuli, with licks (clicks of included trials) and running speed (values of views)
+_RECORDED = f"""{_ALIGNED}, licks as (select e.session, e.time from (select * from ev where source = 'click') e asof left join trials t on e.session = t.session and e.time >= t.start where coalesce(t.included, true)),
+  lick as (select session, row_id, count(*) as n from {_ASOF.format(ev='licks')} group by all),
+  speed as (select session, row_id, avg(value) as v from {_ASOF.format(ev="(select * from ev where source = 'view')")} group by all),
+  near as (select a.session, a.row_id, a.row_id - (p.o - p.a) as k from aligned a join placed p using (session, trial) where p.included),
+  series as materialized (select a.session, a.row_id, a.trial, cast(coalesce(l.n, 0) as double) as lick, coalesce(s.v, 0e0) as x1, coalesce(n.k >= -6 and n.k < 6, false) as fit
+    from aligned a left join lick l using (session, row_id) left join speed s using (session, row_id) left join near n using (session, row_id)),
+  xs as materialized (select session, row_id, trial, fit, lick + lag(lick, 1, 0e0) over (partition by session, trial order by row_id) as x0, x1 from series)"""
+
+
+def _session_events() -> str:
+    stimuli, outcomes = ("is_aud_target", "is_aud_nontarget", "is_vis_target", "is_vis_nontarget"), ("is_hit", "is_miss", "is_correct_reject", "is_false_alarm")
+    flagged = [f"select session, '{s}' as source, stim as time from strials where included and trial % {m} = {k % m}" for m, names in ((4, stimuli), (3, outcomes)) for k, s in enumerate(names)]
+    return f"""with {_RECORDED}, found as ({' union all '.join(flagged)} union all select session, 'licks', time from licks)
+      select session, source, count(*) as n, {_R('min(time)')} as first, {_R('max(time)')} as last from found group by session, source"""
+
+
+def _model_comparison() -> str:
+    """Ridge on the rows to fit, with and without the second column, held out by runs of five days."""
+    sums = ("n", "s0", "s1", "s00", "s01", "s11", "sy", "s0y", "s1y", "syy")
+    parts = []
+    for name, second in (("both", True), ("licks alone", False)):
+        parts.append(f"""select '{name}' as model, session, unit_id, any_value(r) as train_r2, avg(case when tss > 1e-9 then 1 - e / tss end) as cv_r2,
+            case when bool_and(tss > 1e-9) then min(case when tss > 1e-9 then 1 - e / tss end) else 'nan'::double end as worst_fold_r2, cast(count(*) as int) as n_cv_folds
+          from (select t.session, t.unit_id, t.g, any_value(w.r) as r, sum(pow(y - f.b - f.b0 * x0 - f.b1 * x1, 2)) as e, {_TSS} as tss
+            from rows_ t join ({_ridge('train', 'session, unit_id, g', second=second)}) f using (session, unit_id, g)
+            join (select a.session, a.unit_id, 1 - sum(pow(y - b - b0 * x0 - b1 * x1, 2)) / {_TSS} as r from rows_ a join ({_ridge('whole', 'session, unit_id', second=second)}) using (session, unit_id) group by all) w using (session, unit_id)
+            group by t.session, t.unit_id, t.g) group by session, unit_id""")
+    return f"""with {_RECORDED}, y_ as (select session, unit_id, row_id, cast(count(*) as double) as y from {_ASOF.format(ev="(select * from ev where source = 'purchase')")} group by all),
+      units as (select distinct session, unit_id from ev where source = 'purchase' qualify dense_rank() over (partition by session order by unit_id) <= 2),
+      rows_ as materialized (select x.session, u.unit_id, x.trial // 5 as g, x.x0, x.x1, coalesce(y.y, 0e0) as y from xs x join units u using (session) left join y_ y using (session, unit_id, row_id) where x.fit),
+      per as materialized (select session, unit_id, g, {_SUMS} from rows_ group by all), whole as (select session, unit_id, {', '.join(f'sum({c}) as {c}' for c in sums)} from per group by all),
+      train as materialized (select t.session, t.unit_id, t.g, {', '.join(f'sum(o.{c}) as {c}' for c in sums)} from per t join per o on t.session = o.session and t.unit_id = o.unit_id and t.g <> o.g group by all),
+      compared as ({' union all '.join(parts)})
+      select model, session, unit_id, {_R('train_r2')} as train_r2, {_R('cv_r2')} as cv_r2, {_R('worst_fold_r2')} as worst_fold_r2, n_cv_folds from compared"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "session_design": f"with {_RECORDED} select session, row_id, trial, fit, {_R('x0')} as x0, {_R('x1')} as x1 from xs",
+    "stimulus_mask": f"with {_RECORDED} select session, row_id from near where k >= -2 and k < 5",
+    "session_events": _session_events(),
+    "model_comparison": _model_comparison(),
+    "written_results": f"""with {_FIT} select f.session, f.unit_id, 'plain' as model, {_DT} as dt, {_R(f'1 - {_SSE} / {_TSS}')} as train_r2, {_R('b')} as intercept, 1 as n_iter, true as converged
+        from fits f join rows_ r using (session, unit_id) group by f.session, f.unit_id, b, b0, b1""",
     "wide_design": _wide_design(),
     "penalty_errors": _penalty_errors(),
     "gains_dropout": _gains_dropout(),

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempolin.operators import conditioning, design, fit, grid, relational
+from tempolin.operators import conditioning, design, fit, grid, relational, scratch
+from tempolin.plans import library
 from tempolin.plans.spec import CVConfig, Dropout, Event, FitConfig, Gain, History, ModelSpec, Signal
 from tempolin.sources import session as sources
 from tempolin.sources import sinks
@@ -552,6 +553,68 @@ def unit_spikes(spark, sf_dir):
     return sources.unit_targets(loaded, units.unionByName(silent).select("session", "unit_id"))
 
 
+# --- recorded sessions ------------------------------------------------------------------
+
+
+def _store(spark, sf_dir):
+    """Events as the tables of a recording: clicks are licks, values of views the running speed, purchases spikes."""
+    trials, ev = _stimulus_trials(spark, sf_dir), events(spark, sf_dir)
+    flags = [(F.col("trial") % 4 == k).alias(s) for k, s in enumerate(library.STIMULI)] + [(F.col("trial") % 3 == k % 3).alias(o) for k, o in enumerate(library.OUTCOMES)]
+    units = ev.where("source = 'purchase'").groupBy("session", "unit_id").agg(F.sort_array(F.collect_list("time")).alias("spike_times"))
+    return sources.MemoryStore({
+        sources.TRIALS: trials.select(
+            "session", F.col("start").alias("start_time"), F.col("stop").alias("stop_time"), F.col("stim").alias("stim_start_time"), (~F.col("included")).alias("is_instruction"),
+            (F.col("context") > 0).alias("is_vis_rewarded"), *flags,
+        ),
+        sources.POINT_TABLES["licks"]: ev.where("source = 'click'").select("session", F.col("time").alias("timestamps")),
+        sources.RUNNING: ev.where("source = 'view'").select("session", F.col("time").alias("timestamps"), F.col("value").alias("data")),
+        "units": units.select("*", F.lit(True).alias("default_qc"), F.lit("sua").alias("decoder_label")),
+    })
+
+
+def _session_spec(name="both", *less):
+    licks, running = Event("licks", (0, 2 * DT), 1), Signal("running_speed", (0, 0), 1, align="bin", outlier_zscore=None)
+    return ModelSpec(tuple(p for p in (licks, running) if p.name not in less), (), name, dt=DT, fit_window=(-6 * DT, 6 * DT), fit_events=library.STIMULI)
+
+
+def session_design(spark, sf_dir):
+    """A store loaded and prepared: stimulus-aligned bins, events of included trials, kernels inside trials, rows to fit."""
+    model = _session_spec()
+    rows = sources.prepare(sources.load_sessions(_store(spark, sf_dir), model), model).rows
+    return rows.select("session", "row_id", "trial", "fit", *[F.round(F.get("x", F.lit(k)), DIGITS).alias(f"x{k}") for k in range(2)])
+
+
+def stimulus_mask(spark, sf_dir):
+    """Bins around the stimuli of included trials."""
+    return sources.stimulus_mask(sources.load_sessions(_store(spark, sf_dir), _session_spec()), (-2 * DT, 5 * DT))
+
+
+def session_events(spark, sf_dir):
+    """Events of every source by session: stimuli and outcomes of included trials, and licks in them."""
+    spec = ModelSpec(tuple(Event(s, (0, DT)) for s in (*library.STIMULI, *library.OUTCOMES, "licks")), dt=DT)
+    found = sources.load_sessions(_store(spark, sf_dir), spec).tables.events
+    return _rounded(found.groupBy("session", "source").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last")), "first", "last")
+
+
+def model_comparison(spark, sf_dir):
+    """Two models on the same units of all sessions, each unit a row."""
+    from tempolin.batch import compare_models
+
+    table = compare_models(_store(spark, sf_dir), [_session_spec(), _session_spec("licks alone", "running_speed")], fit=FitConfig(kernel_alpha=2.0), cv=CVConfig(), unit_limit=2)
+    return _rounded(table.select("model", "session", "unit_id", "train_r2", "cv_r2", "worst_fold_r2", "n_cv_folds"), "train_r2", "cv_r2", "worst_fold_r2")
+
+
+def written_results(spark, sf_dir):
+    """Results written as JSON documents, a session each, and read back."""
+    compiled = design.compile_design(_plain_spec(), _tables(spark, sf_dir))
+    folder = scratch.fresh_folder(spark, "results")
+    sinks.write_results(fit.fit_units(compiled, _targets(spark, sf_dir), FitConfig(kernel_alpha=2.0)), folder, {"model": "plain", "dt": DT})
+    units = "map<string, struct<train_r2: double, intercept: double, n_iter: int, converged: boolean>>"
+    read = spark.read.text(f"{folder}/{sinks.RESULTS}").select(F.from_json("value", f"session_id string, model string, dt double, units {units}").alias("d"))
+    each = read.select("d.session_id", "d.model", "d.dt", F.explode("d.units").alias("unit_id", "u"))
+    return _rounded(each.select(F.col("session_id").cast("long").alias("session"), F.col("unit_id").cast("long").alias("unit_id"), "model", "dt", "u.train_r2", "u.intercept", "u.n_iter", "u.converged"), "train_r2", "intercept")
+
+
 def model_means(spark, sf_dir):
     """Means by group, best first: orders stand for comparison rows."""
     from tempolin.batch import mean_by_model
@@ -584,6 +647,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
         lagged_design, segmented_design, wide_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
         cross_validation, shift_test, baseline_shift_test, selected_penalties, penalty_errors, gains_dropout, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
-        unit_spikes, model_means, union_difference, session_json,
+        unit_spikes, session_design, stimulus_mask, session_events, model_comparison, written_results, model_means, union_difference, session_json,
     )
 }

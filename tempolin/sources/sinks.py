@@ -28,7 +28,9 @@ def write_results(results: DataFrame, path: str, shared: Mapping[str, object]) -
 
     A session's document replaces the one that is there; those of other sessions stay.
     """
-    document = F.concat(F.regexp_replace(F.lit(json.dumps(shared)), r"\}$", ""), F.lit(', "session_id": "'), F.col("session").cast("string"), F.lit('", "units": '), F.col("units"), F.lit("}"))
+    named = F.regexp_extract(F.to_json(F.struct(F.col("session").cast("string").alias("session_id"))), r"(?s)^\{(.*)\}$", 1)
+    before = json.dumps(shared)[:-1] + (", " if shared else "")
+    document = F.concat(F.lit(before), named, F.lit(', "units": '), F.col("units"), F.lit("}"))
     session_documents(results).select("session", document.alias("value")).write.partitionBy("session").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(
         f"{path}/{RESULTS}"
     )
@@ -40,7 +42,9 @@ def written_sessions(spark: SparkSession, path: str) -> DataFrame:
 
     try:
         return spark.read.schema("value string, session string").text(f"{path}/{RESULTS}").select("session").distinct()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "session string")
 
 
