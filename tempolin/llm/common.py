@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,40 +21,45 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(_CHECKPOINT, None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"{_CHECKPOINT} names no folder that the executors share")
         named = tempfile.mkdtemp(prefix="tempolin-")
         spark.conf.set(_CHECKPOINT, named)
     return named.rstrip("/")
 
 
-#: Scratch paths that this driver has named, for :func:`clean`.
-_made: list[str] = []
+class _Made(threading.local):
+    """Scratch paths that a thread of the driver has named and not deleted: queries in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path inside the shared folder."""
-    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.paths.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
+
 
+def mark() -> frozenset[str]:
+    """The scratch paths that this thread has now, for :func:`clean`."""
+    return frozenset(_made.paths)
 
-def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the scratch tables and files of this driver, or those made after the first ``since``.
+
+def clean(spark: SparkSession, since: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables and files that this thread made, but for those of ``since``.
 
     Results that read them are lazy, so call this when they have been written; ``keep`` is
     a table of :func:`cut` that stays.
     """
-    kept = [] if keep is None else [keep._scratch]
-    while len(_made) > since:
-        path = _made.pop()
-        if path not in kept:
-            _delete(spark, path)
-    _made.extend(kept)
-
-
-def mark() -> int:
-    """How many scratch paths there are now, for :func:`clean`."""
-    return len(_made)
+    stay = since if keep is None else since | {keep._scratch}
+    for path in [p for p in _made.paths if p not in stay]:
+        _made.paths.remove(path)
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -64,8 +70,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(table: DataFrame) -> None:
     """Delete a table that :func:`cut` gave, once nothing reads it any more."""
     path = table._scratch
-    if path in _made:
-        _made.remove(path)
+    if path in _made.paths:
+        _made.paths.remove(path)
         _delete(table.sparkSession, path)
 
 
@@ -95,11 +101,14 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str
 
     Keys of more than ``total / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so their rows
     of ``one`` are broadcast and the rows that hold them stay where they are.  All other
-    rows are shuffled, and no key has many of those.  ``how`` is inner or left; null keys
-    meet nothing.
+    rows are shuffled, and no key has many of those.  Keys are counted first, and where
+    none is hot this is a plain join.  ``how`` is inner or left; null keys meet nothing.
     """
     counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(F.col(key).alias("_hot")))
+    found = counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(key).collect()
+    if not found:
+        return rows.join(one, key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, f"_hot {dict(rows.dtypes)[key]}"))
     some = rows.join(hot, F.col(key) == F.col("_hot"), "left_semi")
     others = rows.join(hot, F.col(key) == F.col("_hot"), "left_anti")
     known = F.broadcast(one.join(hot, F.col(key) == F.col("_hot"), "left_semi"))
