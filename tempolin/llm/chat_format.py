@@ -275,10 +275,13 @@ class _Digest:
     """What is read back of one conversation, part by part."""
 
     def __init__(self, conv: int | None):
-        self.conv, self.n_turns, self.chars, self.loss_chars = conv, 0, 0, 0
+        self.conv, self.part, self.n_turns, self.chars, self.loss_chars = conv, -1, 0, 0, 0
         self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, data: bytes, mask: list[dict]) -> None:
+    def add(self, conv: int | None, part: int, data: bytes, mask: list[dict]) -> None:
+        if (conv, part) != (self.conv, self.part + 1):
+            raise ValueError("the parts of a conversation come one after the other: read a stored table with ordered=False")
+        self.part = part
         for role, text in read_turns(data):
             self.n_turns += 1
             for piece in (role, b"\n", text, b"\n"):
@@ -304,14 +307,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is not None and not part:
                 rows.append(now.row())
             now = _Digest(conv) if now is None or not part else now
-            now.add(data, mask)
+            now.add(conv, part, data, mask)
         yield told(rows)
     if now is not None:
         yield told([now.row()])
 
 
-def digest_formatted(formatted: DataFrame) -> DataFrame:
-    """Read formatted conversations back and sum them up; the parts of each come one after the other."""
-    return formatted.select("conv_id", "part", "formatted", "mask").mapInArrow(
-        _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+def digest_formatted(formatted: DataFrame, ordered: bool = True) -> DataFrame:
+    """Read formatted conversations back and sum them up.
+
+    :func:`format_conversations` gives the parts of each one after the other; a table that was
+    written and read again may not, and is put in order with ``ordered=False``.
+    """
+    rows = formatted.select("conv_id", "part", "formatted", "mask")
+    if not ordered:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "part")
+    return rows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
