@@ -615,6 +615,30 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.score_toxicity(none, toxicity.train(none, labels)).collect() == []
 
 
+def naive_severity(text, weights, thresholds):
+    """Expected severity, and the probabilities of each grade or more, from the text alone."""
+    import math
+    import re
+
+    data = (text or "").encode()
+    found = set(re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data)))
+    begun = {b"^" + w.decode(errors="replace")[:n].encode() for w in found for n in (4, 5, 6, 7) if len(w.decode(errors="replace")) > n}
+    score = math.fsum(weights.get(f, 0.0) for f in found | begun)
+    chance = [1 / (1 + math.exp(min(60, max(-60, t - score)))) for t in thresholds]
+    return sum(chance), chance
+
+
+def test_toxicity_is_the_naive_score(spark, odd):
+    """Ties, repeats, very long and empty texts, several languages: the operator against sums over the text."""
+    weights = {b"same": 1.25, b"text": -0.5, "^naïv".encode(): 2.0, b"abcd": 3.0, b"^abcd": 0.5, b"one": 4.0, b"caf\xc3\xa9": -1.0, "été".encode(): 1.0, "Été".encode(): 0.5}
+    model = toxicity.OrdinalModel(dict(weights), (0.5, 3.5))
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    for r in toxicity.score_toxicity(odd, model).collect():
+        severity, chance = naive_severity(texts[r.doc_id], weights, (0.5, 3.5))
+        assert abs(r.severity - severity) < 1e-5
+        assert r.grade == sum(c >= 0.5 for c in chance) and r.toxic == (r.grade > 0)
+
+
 def test_ordinal_fit_orders_grades():
     rng = random.Random(0)
     docs, grades = [], []
@@ -631,6 +655,55 @@ def test_ordinal_fit_orders_grades():
     assert means[0] < 0.3 and means[0] < means[1] < means[2] and means[2] > 1.4
 
 
+def test_threads_keep_their_scratch(spark):
+    """A thread that cleans up deletes what it made, and nothing of another."""
+    import os
+    import threading
+
+    from tempolin.llm import common
+
+    common.clean(spark)
+    mine = common.cut(spark.range(3), "mine")
+    seen = {}
+
+    def other():
+        theirs = common.cut(spark.range(4), "theirs")
+        kept = common.mark()
+        common.cut(spark.range(5), "more")
+        common.clean(spark, kept)
+        seen["theirs"] = theirs.count()
+        common.clean(spark)
+        seen["gone"] = not os.path.exists(theirs._scratch.removeprefix("file:"))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert seen == {"theirs": 4, "gone": True} and mine.count() == 3
+    common.clean(spark)
+    assert not os.path.exists(mine._scratch.removeprefix("file:"))
+
+
+def test_parts_of_a_stored_conversation(spark, monkeypatch):
+    """A table of parts in any order is put in order, or refused."""
+    rows = [(7, None, "user", "x" * 40), (7, 1, "assistant", "y" * 50), (7, 2, "user", "z"), (8, 0, "assistant", "w")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat_format.format_conversations(turns)
+    expected = sorted(map(tuple, chat_format.digest_formatted(whole).collect()))
+    cut = []
+    for r in whole.collect():
+        first = chat_format.read_turns(bytes(r.formatted))
+        if len(first) == 1:
+            cut.append((r.conv_id, 0, bytes(r.formatted), [tuple(m) for m in r.mask]))
+            continue
+        end = bytes(r.formatted).index(chat_format._TAIL) + len(chat_format._TAIL)
+        cut.append((r.conv_id, 1, bytes(r.formatted)[end:], [(m.start - end, m.end - end) for m in r.mask if m.start >= end]))
+        cut.append((r.conv_id, 0, bytes(r.formatted)[:end], [tuple(m) for m in r.mask if m.start < end]))
+    stored = spark.createDataFrame(cut, "conv_id long, part int, formatted binary, mask array<struct<start: long, end: long>>").coalesce(1)
+    assert sorted(map(tuple, chat_format.digest_formatted(stored, ordered=False).collect())) == expected
+    with pytest.raises(Exception, match="one after the other"):
+        chat_format.digest_formatted(stored).collect()
+
+
 def test_scratch_is_cleaned(spark, odd):
     import os
 
@@ -638,7 +711,7 @@ def test_scratch_is_cleaned(spark, odd):
 
     common.clean(spark)
     sharding.shard_rows(odd).collect()
-    made = [p.removeprefix("file:") for p in common._made]
+    made = [p.removeprefix("file:") for p in common._made.paths]
     assert made and all(os.path.isdir(p) for p in made)
     common.clean(spark)
     assert not any(os.path.exists(p) for p in made)

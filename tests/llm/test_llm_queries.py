@@ -7,7 +7,7 @@ from conftest import compare
 
 from tempolin.llm.queries import LIMIT_TOKENS, ORACLE_SQL, QUERIES, tokenizer_path
 
-NUMBERS = range(1, 11)
+NUMBERS = range(1, 14)
 
 
 def test_one_query_a_number():
@@ -73,8 +73,12 @@ def test_toxicity_on_labels_that_were_not_fitted(spark):
         pytest.skip("no test tables here")
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
-    scored = toxicity.score_toxicity(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'en'")
+    scored = toxicity.score_toxicity(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
     met = scored.join(labels.where("doc_id % 2 = 1").select("doc_id", labels["toxic"].alias("label")), "doc_id").collect()
-    wrong = sum(bool(r.label) != r.toxic for r in met)
-    assert len(met) > 500 and wrong / len(met) < 0.02
     assert all(0 <= r.severity <= 2 for r in met)
+    for lang in ("en", "fr", "de", "es"):
+        toxic, clean = ([r for r in met if r.lang == lang and bool(r.label) == x] for x in (True, False))
+        caught, alarmed = sum(r.toxic for r in toxic), sum(r.toxic for r in clean)
+        print(lang, caught, len(toxic), alarmed, len(clean))
+        assert len(toxic) >= 15 and len(clean) > 80
+        assert caught >= 0.9 * len(toxic) and alarmed <= 0.02 * len(clean), (lang, caught, len(toxic), alarmed, len(clean))
