@@ -14,12 +14,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import replace
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempolin.functions.bilinear import Design, FitState, Iteration, Moments, Problem
@@ -303,8 +301,8 @@ def predict(compiled: CompiledDesign, fits: DataFrame, targets: DataFrame | None
     """(session, unit_id, row_id, trial, fit, prediction) of every row, selected or not.
 
     A projection of the design: each predictor's columns times its kernel, times its gain
-    in the row's trial, plus the intercept.  The target's own history is read from
-    ``targets``: its values at each lag, in an order by rows, times the kernel.
+    in the row's trial, plus the intercept.  The columns of the target's own history come from
+    ``targets``, as for a fit: nothing is ordered.
     """
     if compiled.history and targets is None:
         raise ValueError("predictions with the target's history need the targets")
@@ -314,22 +312,19 @@ def predict(compiled: CompiledDesign, fits: DataFrame, targets: DataFrame | None
     parameters = fits.select("session", "unit_id", "intercept", "beta", "gain")
     rows = compiled.rows.join(values, ["session", "trial"]).join(parameters, "session")
     if compiled.history:
-        known = targets.select("session", "unit_id", "row_id", F.col("y").cast("double").alias("_y"))
-        rows = rows.join(known, ["session", "unit_id", "row_id"], "left").withColumn("_y", F.coalesce("_y", F.lit(0.0)))
-    ordered = Window.partitionBy("session", "unit_id", *["trial"] * compiled.segmented).orderBy("row_id")
+        own = own_rows(compiled, targets.withColumn("y", F.col("y").cast("double"))).select("session", "unit_id", "row_id", F.col("h").alias("_h"))
+        rows = rows.join(own, ["session", "unit_id", "row_id"], "left")
+    dot = lambda column, at, where: F.aggregate(
+        F.zip_with(F.slice(column, at, where.stop - where.start), F.slice("beta", where.start + 1, where.stop - where.start), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b
+    )
+    past = 1
     total, begin = F.col("intercept"), 1  # the design's columns, the target's own left out, come in the order of the model
     for p in design.spec.predictors:
         where = design.layout.beta_slices[p.name]
-        length = where.stop - where.start
         if p.name in compiled.history:
-            terms = []
-            for lag, row in zip(design.lags[p.name].tolist(), design.bases[p.name].tolist()):
-                weight = reduce(add, (F.get("beta", F.lit(where.start + k)) * w for k, w in enumerate(row)))
-                terms.append(F.lag("_y", lag, 0.0).over(ordered) * weight)
-            drive = reduce(add, terms)
+            drive, past = F.coalesce(dot("_h", past, where), F.lit(0.0)), past + where.stop - where.start
         else:
-            drive = F.aggregate(F.zip_with(F.slice("x", begin, length), F.slice("beta", where.start + 1, length), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-            begin += length
+            drive, begin = dot("x", begin, where), begin + where.stop - where.start
         if p.gains:
             weight = F.get("gain", F.lit(design.layout.gain_offsets[p.name]))
             for g in p.gains:

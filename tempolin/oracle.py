@@ -266,6 +266,17 @@ def _offset_scores() -> str:
 
 
 
+def _lasso(source: str, keys: str) -> str:
+    """Two-column lasso with a free intercept and penalty ``alpha``, a column: the best of the nine patterns of signs."""
+    a00, a01, a11 = "(s00 - s0 * s0 / n)", "(s01 - s0 * s1 / n)", "(s11 - s1 * s1 / n)"
+    t0, t1 = "(s0y - s0 * sy / n)", "(s1y - s1 * sy / n)"
+    return f"""select {keys}, b0, b1, (sy - b0 * s0 - b1 * s1) / n as b from (
+        select *, case when p = 0 then 0e0 when q = 0 then (t0 - n * alpha * p) / a00 else ((t0 - n * alpha * p) * a11 - (t1 - n * alpha * q) * a01) / (a00 * a11 - a01 * a01) end as b0,
+          case when q = 0 then 0e0 when p = 0 then (t1 - n * alpha * q) / a11 else ((t1 - n * alpha * q) * a00 - (t0 - n * alpha * p) * a01) / (a00 * a11 - a01 * a01) end as b1
+        from (select *, {a00} as a00, {a01} as a01, {a11} as a11, {t0} as t0, {t1} as t1 from {source}, unnest([-1, 0, 1]) u(p), unnest([-1, 0, 1]) w(q))) where sign(b0) = p and sign(b1) = q
+      qualify row_number() over (partition by {keys} order by (b0 * b0 * a00 + 2 * b0 * b1 * a01 + b1 * b1 * a11 - 2 * b0 * t0 - 2 * b1 * t1) / (2 * n) + alpha * (abs(b0) + abs(b1))) = 1"""
+
+
 def _penalty_errors() -> str:
     """Inner folds deal equal trials out from the last one on; a lasso of two columns is the best of its nine patterns of signs."""
     sums = ("n", "s0", "s1", "s00", "s01", "s11", "sy", "s0y", "s1y", "syy")
@@ -276,11 +287,7 @@ def _penalty_errors() -> str:
       penal as (select 'ridge' as regularizer, unnest([1e-1, 1e1, 1e3]) as alpha union all select 'lasso', unnest([1e-3, 1e-2, 1e-1])),
       ridge as (select session, unit_id, g, alpha, ({t0} * ({a11} + alpha) - {t1} * {a01}) / (({a00} + alpha) * ({a11} + alpha) - {a01} * {a01}) as b0,
         ({t1} * ({a00} + alpha) - {t0} * {a01}) / (({a00} + alpha) * ({a11} + alpha) - {a01} * {a01}) as b1 from train, penal where regularizer = 'ridge'),
-      tried as (select *, case when p = 0 then 0e0 when q = 0 then (t0 - n * alpha * p) / a00 else ((t0 - n * alpha * p) * a11 - (t1 - n * alpha * q) * a01) / (a00 * a11 - a01 * a01) end as b0,
-          case when q = 0 then 0e0 when p = 0 then (t1 - n * alpha * q) / a11 else ((t1 - n * alpha * q) * a00 - (t0 - n * alpha * p) * a01) / (a00 * a11 - a01 * a01) end as b1
-        from (select *, {a00} as a00, {a01} as a01, {a11} as a11, {t0} as t0, {t1} as t1 from train, penal, unnest([-1, 0, 1]) u(p), unnest([-1, 0, 1]) w(q) where regularizer = 'lasso')),
-      lasso as (select session, unit_id, g, alpha, b0, b1 from tried where sign(b0) = p and sign(b1) = q
-        qualify row_number() over (partition by session, unit_id, g, alpha order by (b0 * b0 * a00 + 2 * b0 * b1 * a01 + b1 * b1 * a11 - 2 * b0 * t0 - 2 * b1 * t1) / (2 * n) + alpha * (abs(b0) + abs(b1))) = 1),
+      lasso as (select session, unit_id, g, alpha, b0, b1 from ({_lasso("(select * from train, penal where regularizer = 'lasso')", 'session, unit_id, g, alpha')})),
       fits as (select 'ridge' as regularizer, * from ridge union all select 'lasso', * from lasso),
       scored as (select regularizer, session, unit_id, alpha, g, {_sse_of('b')} / n as e from (select f.regularizer, f.alpha, f.b0, f.b1, (t.sy - f.b0 * t.s0 - f.b1 * t.s1) / t.n as b, p.*
         from fits f join train t using (session, unit_id, g) join per p using (session, unit_id, g))),
@@ -377,6 +384,7 @@ ORACLE_SQL: dict[str, str] = {
     "masked_fit": _MASKED,
     "refit_gains": _alternating(_GAINS_AGAIN),
     "refit_kernels": _alternating(_KERNELS_AGAIN),
+    "lasso_refit": _alternating(f"select session, unit_id, {_R('b')} as intercept, {_R('b0')} as beta0, {_R('b1')} as beta1 from ({_lasso(f'(select *, 1e-2 as alpha from {_WEIGHTED})', 'session, unit_id')})"),
     "history_refit_gains": _alternating(_GAINS_AGAIN, _PAST_DATA, 3),
     "history_refit_kernels": _alternating(_KERNELS_AGAIN, _PAST_DATA, 3),
     "segmented_history": _SEGMENTED_HISTORY,

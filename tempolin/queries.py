@@ -438,6 +438,13 @@ def history_predictions(spark, sf_dir):
     return made.select("session", "unit_id", "row_id", F.round("prediction", DIGITS).alias("prediction"))
 
 
+def lasso_refit(spark, sf_dir):
+    """Kernels solved again under an absolute penalty, with the gains of an alternating fit held."""
+    compiled, targets = design.compile_design(_gain_spec(), _tables(spark, sf_dir)), _targets(spark, sf_dir)
+    out = fit.refit_kernels(compiled, targets, fit.fit_units(compiled, targets, _FIXED), FitConfig(regularizer="lasso", kernel_alpha=0.01, gain_alpha=1.0))
+    return _rounded(out.select("session", "unit_id", "intercept", F.get("beta", F.lit(0)).alias("beta0"), F.get("beta", F.lit(1)).alias("beta1")), "intercept", "beta0", "beta1")
+
+
 def _history_gain_spec():
     """The target's own past, scaled by a gain, beside an event."""
     return ModelSpec((History(window=(DT, 4 * DT), n_basis=1, gains=("context",)), Event("signup", (0, 2 * DT), 1)), (Gain("context"),), dt=DT)
@@ -646,7 +653,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         time_bins, event_histogram, smoothed_rate, trial_index, trial_index_faults, window_mask, stimulus_grid, asof_rows, trial_window_mask, trial_ends, trial_events, included_events,
         context_block_index, trial_gather, outlier_mask, gap_fill, interpolated_signal, binned_signal, binned_signal_aligned, zscored_signal, centered_signal, residual_signal, pose_signal,
         lagged_design, segmented_design, wide_design, trial_moments, trial_moments_arrow, group_moments, history_gap, kernel_ridge, alternating_fit, predictions, row_scores, kernel_table, gain_values,
-        cross_validation, shift_test, baseline_shift_test, selected_penalties, penalty_errors, gains_dropout, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
+        cross_validation, shift_test, baseline_shift_test, selected_penalties, penalty_errors, gains_dropout, history_fit, history_predictions, masked_fit, refit_gains, refit_kernels, lasso_refit, history_refit_gains, history_refit_kernels, segmented_history, offset_scores, outer_folds, edge_shifts, shifted_values, qc_column, qc_filter, limited_units, pending_sessions, session_catalog,
         unit_spikes, session_design, stimulus_mask, session_events, model_comparison, written_results, model_means, union_difference, session_json,
     )
 }
