@@ -20,6 +20,18 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert mine == other
 
 
+@pytest.mark.parametrize("name", ["op3_license_scan", "op4_quality_rules", "op11_filter_audit", "op13_lm_scoring"])
+def test_query_matches_sql_on_more_rows(spark, sf_dir, name):
+    """Verdicts near a limit differ on few rows: these are held against SQL on the next larger tables too."""
+    import os
+
+    larger = f"{os.path.dirname(sf_dir)}/sf0.01"
+    if not os.path.isdir(larger):
+        pytest.skip("no larger test tables here")
+    mine, other = compare(spark, larger, QUERIES[name], ORACLE_SQL[name])
+    assert mine == other
+
+
 @pytest.fixture(scope="module")
 def documents(spark, sf_dir):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
