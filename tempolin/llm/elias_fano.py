@@ -28,6 +28,30 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits[:, :width].ravel(), bitorder="little")
 
 
+def _fixed(data: np.ndarray, k: int, count: int, width: int) -> np.ndarray:
+    """``count`` numbers of ``width`` bits of chunk ``k``, which is a whole number of bytes."""
+    wide = np.zeros((count, 64), dtype=np.uint8)
+    at = k * CHUNK * width // 8
+    wide[:, :width] = np.unpackbits(data[at : at + -(-count * width // 8)], bitorder="little")[: count * width].reshape(count, width)
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def encode_fixed(values: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of unsigned numbers in any order, each in the bits that the largest takes."""
+    width = int(np.max(values, initial=0)).bit_length()
+    low = [_bits(values[k : k + CHUNK], width) for k in range(0, len(values), CHUNK)]
+    return {"head": np.array([len(values), width], dtype=np.uint64), "low": np.concatenate([np.zeros(0, dtype=np.uint8), *low])}
+
+
+def fixed_at(arrays: Mapping[str, np.ndarray], prefix: str, index: np.ndarray) -> np.ndarray:
+    """Numbers of :func:`encode_fixed` at ascending places."""
+    n, width = (int(x) for x in arrays[f"{prefix}.head"])
+    out = np.empty(len(index), dtype=np.uint64)
+    for k, some in _runs(np.asarray(index) // CHUNK):
+        out[some] = _fixed(arrays[f"{prefix}.low"], k, min(CHUNK, n - k * CHUNK), width)[index[some] - k * CHUNK]
+    return out
+
+
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     """The arrays of a non-decreasing sequence of unsigned numbers."""
     values = np.asarray(values, dtype=np.uint64)
@@ -62,13 +86,7 @@ class EliasFano:
         end = int(self.mark[k + 1]) if k + 1 < len(self.mark) else len(self.high) * 8
         marks = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :])[:count]
         out = (marks + begin - k * CHUNK - np.arange(count)).astype(np.uint64) << np.uint64(self.width)
-        if self.width:
-            at = k * CHUNK * self.width // 8  # a chunk is a whole number of bytes
-            bits = np.unpackbits(self.low[at : at + -(-count * self.width // 8)], bitorder="little")[: count * self.width].reshape(count, self.width)
-            wide = np.zeros((count, 64), dtype=np.uint8)
-            wide[:, : self.width] = bits
-            out |= np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
-        return out
+        return out | _fixed(self.low, k, count, self.width)
 
     def at(self, index: np.ndarray) -> np.ndarray:
         """The values at ascending places."""

@@ -11,7 +11,7 @@ A text's first token is scored by level 1, each other one in the context of the
 before it.  Level 1 keeps, in the order of 64-bit hashes, the words with their counts.
 Level 2 keeps contexts, monotone pointers to their successors, and the successors as
 context-relative numbers, all as Elias-Fano sequences, with log10 p(w | v) in steps of
-2^-11.  A level is cut into shards of about ``SHARD_TOKENS`` tokens, each a file in the
+2^-7.  A level is cut into shards of about ``SHARD_TOKENS`` tokens, each a file in the
 shared folder that is memory-mapped where it is asked.  A pair is looked up by a
 successor search between its context's pointers; where it is missing, what the
 context leaves over, m / (c(v) + m), times p(w) counts.
@@ -45,19 +45,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, scratch_path, trimmed
-from .elias_fano import encode, map_arrays, nested, sequence, write_arrays
+from .elias_fano import encode, encode_fixed, fixed_at, map_arrays, nested, sequence, write_arrays
 from .word_scan import LOWER, column_bytes, hash_words, ranges, same_bytes, word_places
 
 PRIOR = 0.1
 #: Weight of level 1 against the counts of a context: by held-out texts, where words are many and each pair is rare.
 STRENGTH = 1024.0
 #: log10 of a probability in these steps.
-STEP = 2.0**-11
+STEP = 2.0**-7
 _MISSING = 0xFFFF
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 #: Tokens of the corpus for each shard of a level.
-SHARD_TOKENS = 2 << 20
+SHARD_TOKENS = 1 << 20
 
 _codec = pa.Codec("zstd", compression_level=1)
 
@@ -241,12 +241,14 @@ class _Read:
         out[0] = not self.lead
         return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(different pairs of word numbers as one number, pair of each token that has a context, training counts)."""
-        size = len(self.words[1])
+    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(left and right word of each different pair, pair of each token that has a context, training counts), pairs in the order of the ids."""
+        size, order = len(ids), np.argsort(ids, kind="stable")
+        rank = np.empty(size, dtype=np.int64)
+        rank[order] = np.arange(size)
         at = np.flatnonzero(~self.first)
-        key, inverse = np.unique(self.tokens[at - 1] * size + self.tokens[at], return_inverse=True)
-        return key, inverse, np.bincount(inverse[self.learned[at]], minlength=len(key))
+        key, inverse = np.unique(rank[self.tokens[at - 1]] * size + rank[self.tokens[at]], return_inverse=True)
+        return order[key // size], order[key % size], inverse, np.bincount(inverse[self.learned[at]], minlength=len(key))
 
 
 # --- the shards ----------------------------------------------------------------------
@@ -391,16 +393,14 @@ def _known(block: _Read, told: dict[int, tuple], n_shards: int) -> tuple[np.ndar
     return ids, counts
 
 
-def _pair_order(block: _Read, ids: np.ndarray, counts: np.ndarray, key: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each pair, and the pairs by shard and context; pairs with an unknown word are asked nowhere."""
-    size = len(ids)
-    left, right = key // size, key % size
+def _pair_order(ids: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard of each pair, pairs by shard, whether their context is dealt out); pairs with an unknown word are asked nowhere."""
     # a context of many tokens is dealt out by its successors
     spread = (1 + counts[left] // model.shard_tokens).astype(np.uint64)
     place = _mixed(ids[left]) + (_mixed(ids[right]) % spread) * np.uint64(0x9E3779B97F4A7C15)
     shard = (_mixed(place) % np.uint64(model.n_shards)).astype(np.int64)
     order = np.argsort(shard.astype(np.uint16 if model.n_shards < 1 << 16 else np.int64), kind="stable")
-    return shard, order[(ids[left[order]] > 0) & (ids[right[order]] > 0)]
+    return shard, order[(ids[left[order]] > 0) & (ids[right[order]] > 0)], spread > 1
 
 
 def _told(table: pa.Table, kind: int) -> dict[int, tuple]:
@@ -415,15 +415,16 @@ def _ask_pairs(model: LanguageModel):
         (row,) = blocks.to_pylist()
         block = _Read.of(row)
         ids, counts = _known(block, _told(answers, 1), model.n_shards)
-        key, _, learned = block.pairs()
-        shard, order = _pair_order(block, ids, counts, key, model)
-        left, right = key // len(ids), key % len(ids)
+        left, right, _, learned = block.pairs(ids)
+        shard, order, dealt = _pair_order(ids, counts, left, right, model)
         out = []
         for s, at in _by_shard(shard, order):
-            begins = np.flatnonzero(np.append(True, ids[left[at]][1:] != ids[left[at]][:-1]))
+            begins = np.flatnonzero(np.append(True, left[at][1:] != left[at][:-1]))
             contexts = left[at][begins]
+            # a shard that sees a whole context counts it itself
+            of_left = np.where(dealt[at][begins], counts[contexts], 0)
             out.append((
-                s, row["block"], pack(ids[contexts]), pack(np.diff(np.append(begins, len(at))).astype(np.uint64)), pack(counts[contexts].astype(np.uint64)),
+                s, row["block"], pack(np.diff(ids[contexts], prepend=np.uint64(0))), pack(np.diff(np.append(begins, len(at))).astype(np.uint64)), pack(of_left.astype(np.uint64)),
                 pack(ids[right[at]]), pack(np.concatenate([learned[at], counts[right[at]]]).astype(np.uint64)),
             ))
         return pa.Table.from_batches([_batch(list(zip(*out)) or [[]] * 7, _ASKED)])
@@ -432,7 +433,7 @@ def _ask_pairs(model: LanguageModel):
 
 
 def build_pairs(path: str, left: np.ndarray, right: np.ndarray, counts: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, model: LanguageModel) -> None:
-    """Write a shard of level 2 from partial counts of pairs and the counts of their words."""
+    """Write a shard of level 2 from partial counts of pairs and the counts of their words; a context's count is 0 where it is the sum of its pairs'."""
     some = counts > 0
     left, right, counts, of_left, of_right = (x[some] for x in (left, right, counts, of_left, of_right))
     contexts, l = np.unique(left, return_inverse=True)
@@ -440,17 +441,18 @@ def build_pairs(path: str, left: np.ndarray, right: np.ndarray, counts: np.ndarr
     key, one, inverse = np.unique(l * max(len(words), 1) + r, return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(key))
     lower = 10.0 ** model.log_unigram(of_right[one])
-    log = np.log10((total + model.strength * lower) / (of_left[one] + model.strength))
+    context = np.maximum(np.bincount(l[one], weights=total, minlength=len(contexts)), np.bincount(l[one], weights=of_left[one], minlength=len(contexts)) / np.maximum(np.bincount(l[one], minlength=len(contexts)), 1))
+    log = np.log10((total + model.strength * lower) / (context[l[one]] + model.strength))
     pointers = np.searchsorted(l[one], np.arange(len(contexts) + 1)).astype(np.uint64)
     write_arrays(path, {
         **nested("context", encode(contexts)), **nested("word", encode(words)), **nested("pointer", encode(pointers)), **nested("successor", encode(key.astype(np.uint64))),
-        "code": np.minimum(np.rint(-log / STEP), _MISSING - 1).astype(np.uint16),
+        **nested("code", encode_fixed(np.minimum(np.rint(-log / STEP), _MISSING - 1).astype(np.uint64))),
     })
 
 
 def find_pairs(level: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The code of each pair, given in any order, or ``_MISSING``."""
-    contexts, words, pointers, successors, code = (*(sequence(level, k) for k in ("context", "word", "pointer", "successor")), level["code"])
+    contexts, words, pointers, successors = (sequence(level, k) for k in ("context", "word", "pointer", "successor"))
     out = np.full(len(left), _MISSING, dtype=np.uint16)
 
     def places(in_: object, values: np.ndarray) -> np.ndarray:
@@ -467,7 +469,7 @@ def find_pairs(level: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray
     at, value = successors.successor(target.astype(np.uint64))
     begin, end = pointers.at(node[known]), pointers.at(node[known] + 1)
     hit = (at >= begin) & (at < end) & (value == target)
-    out[known[hit]] = code[at[hit]]
+    out[known[hit]] = fixed_at(level, "code", at[hit])
     return out
 
 
@@ -477,7 +479,7 @@ def _pairs_of_shard(model: LanguageModel, learn: bool):
         read = [[unpack(x) for x in table.column(c).to_pylist()] for c in "abcde"]
         sizes = [int(n.sum()) for n in read[1]]
         repeats = np.concatenate(read[1]).astype(np.int64)
-        left = np.repeat(np.concatenate(read[0]), repeats)
+        left = np.repeat(np.concatenate([np.cumsum(x) for x in read[0]]), repeats)
         of_left = np.repeat(np.concatenate(read[2]), repeats)
         right = np.concatenate(read[3])
         file = _level_path(model.path, 2, shard)
@@ -503,13 +505,12 @@ def _score_block(model: LanguageModel):
         (row,) = blocks.to_pylist()
         block = _Read.of(row)
         ids, counts = _known(block, _told(answers, 1), model.n_shards)
-        key, inverse, _ = block.pairs()
-        shard, order = _pair_order(block, ids, counts, key, model)
-        code, told = np.full(len(key), _MISSING, dtype=np.int64), _told(answers, 2)
+        left, right, inverse, _ = block.pairs(ids)
+        shard, order, _ = _pair_order(ids, counts, left, right, model)
+        code, told = np.full(len(left), _MISSING, dtype=np.int64), _told(answers, 2)
         for s, at in _by_shard(shard, order):
             code[at] = unpack(told[s][0]).astype(np.int64)
         base = model.log_unigram(counts)
-        left, right = key // len(ids), key % len(ids)
         log = np.where(code == _MISSING, model.log_left(counts[left]) + base[right], -code * STEP)
         per_token = base[block.tokens]
         per_token[~block.first] = log[inverse]
