@@ -12,9 +12,12 @@ Below, parts would be too small to tell sets apart, and keys are the prefix of e
 in one order of all shingles, rare ones first; the order comes from a sketch of counts
 over all documents, whose size follows the number of shingles up to a bound.  Any order is
 exact.  Beyond the bound several shingles share a counter and counters are rounded, but
-they never stop, so shingles that are common still come last.  A key in common joins
-classes to the least one there; the connected components of that are the groups that can
-hold links at all.
+they never stop, so shingles that are common still come last.  Parts in common join
+classes to the least one there.  Prefixes are so long that sets which link share ``SHARED``
+keys: pairs are counted over keys of few classes, and a key of more than ``PAIRED``
+joins all to the least one; so a single shingle in common, which a crowded sketch lets through
+in very many texts, does not chain them up.  The connected components of all that are the
+groups that can hold links at all.
 
 Within a group, signature trees: sets sorted by size and signature form leaves, nodes
 hold OR-combined bitmaps of tokens and the range of sizes, and a traversal of two trees
@@ -55,8 +58,12 @@ BLOCK_SHINGLES = 4_000_000
 PARTS_ABOVE = 88
 #: Bits of the sketch's index: counters of two bits up to 32 MB, beyond that rounded ones of a byte in 64 MB.
 PACKED_BITS, SKETCH_BITS = 27, 26
+#: Keys of prefixes that two sets which link have in common at least.
+SHARED = 3
+#: Classes that a key has at most for its pairs to be counted; those of one that has more are all joined.
+PAIRED = 32
 _CHUNK = 1 << 16
-#: Buckets of hashes in the coarse filter of texts: a broadcast of at most 8 MB of numbers.
+#: Buckets of hashes in the coarse filter of texts, each with 64 parts: a broadcast of at most 8 MB of numbers.
 BUCKETS = 1 << 19
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FANOUT = 16
@@ -198,10 +205,22 @@ def _added(a: np.ndarray, b: np.ndarray, packed: bool) -> np.ndarray:
     return out
 
 
+def _small(threshold: int) -> int:
+    """Most elements of a set that links with one of which fewer than ``SHARED`` need be shared."""
+    return (SHARED - 1) * 100 // threshold * 100 // threshold
+
+
 def prefix_keys(hashes: np.ndarray, threshold: int, sketch: Sketch) -> np.ndarray:
-    """The rarest shingles of a set, by a sketch; two sets that link have one in common."""
-    length = len(hashes) - (-(-threshold * len(hashes) // 100)) + 1
-    return hashes[np.lexsort((hashes, sketch.counts(hashes)))[:length]]
+    """The rarest shingles of a set, by a sketch; two sets that link have ``SHARED`` keys in common.
+
+    Of what they share, the first ones in the order are in the prefixes of both.  Sets too small
+    to share so many shingles have each of theirs as so many keys, and so do all that can link with them.
+    """
+    length = len(hashes) - (-(-threshold * len(hashes) // 100)) + SHARED
+    keys = hashes[np.lexsort((hashes, sketch.counts(hashes)))[:length]]
+    if len(hashes) > _small(threshold):
+        return keys
+    return np.concatenate([keys, *[_mix(keys + np.uint64(k)) for k in range(1, SHARED)]])
 
 
 def _sketched(size: int, bits: int, packed: bool):
@@ -466,6 +485,17 @@ def link_components(docs: DataFrame, shingle: int = 3, threshold: int = 90, id_c
     return out.select("doc_id", "text_hash", "node", "root", "n_shingles", component.alias("component_id"))
 
 
+#: Pairs of classes that share ``SHARED`` keys, or one that has too many classes for pairs: each of those meets the least one.
+_PAIRS = f"""
+    select x, met.y as y from (
+        select node as x, explode(case when n > {PAIRED} then array(named_struct('y', least, 'n', {SHARED})) else transform(others, o -> named_struct('y', o, 'n', 1)) end) as met from (
+            select *, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as least,
+                collect_list(node) over (partition by key order by node rows between {PAIRED - 1} preceding and 1 preceding) as others from (
+                select *, count(*) over (partition by key) as n from (
+                    select *, lag(node) over (partition by key order by node) as same from {{view}}) where same is null or same <> node)
+            where n > 1)) where x <> met.y group by x, met.y having sum(met.n) >= {SHARED}"""
+
+
 def _candidates(body: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(a, b): numbers of classes that share a key, each joined to the least one of the key."""
     spark = body.sparkSession
@@ -476,9 +506,13 @@ def _candidates(body: DataFrame, rows: DataFrame, classes: DataFrame, shingle: i
     keys = body.select("body").mapInArrow(trimmed(_keys(shingle, threshold, sketch)), "key long, node binary")
     # sorted by key and node, the first node of a key is its least: no group is ever held
     keys.createOrReplaceTempView(view := f"keys_{abs(hash(id(keys)))}")
-    least = spark.sql(f"select node as x, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as y from {view}")
+    if sketch is None:
+        found = spark.sql(f"select node as x, first_value(node) over (partition by key order by node rows between unbounded preceding and current row) as y from {view}")
+        links = found.where("x <> y").distinct()
+    else:
+        links = spark.sql(_PAIRS.format(view=view))
     spark.catalog.dropTempView(view)
-    links = cut(least.where("x <> y").distinct(), "join-links")
+    links = cut(links, "join-links")
     # the least one of very many classes is met by broadcast
     a, b = (classes.select(F.col("node").alias(name), F.col("id").alias(new)) for name, new in (("x", "a"), ("y", "b")))
     return spread_join(links.join(a, "x"), b, "y", links.count()).select("a", "b")
@@ -516,10 +550,13 @@ def bucketed(rows: DataFrame, key: str, others: DataFrame, other_key: str, how:
     """``rows`` whose key falls (``left_semi``) or doesn't fall (``left_anti``) in a bucket with a key of ``others``.
 
     A coarse filter without a shuffle: what is broadcast has at most ``BUCKETS`` rows,
-    however many keys there are.
+    however many keys there are.  Each row has a bit for each of the 64 parts of its bucket,
+    so a few million keys still leave nearly all parts empty.
     """
-    taken = others.select(F.pmod(F.col(other_key), F.lit(BUCKETS)).alias("_taken")).distinct()
-    return rows.join(F.broadcast(taken), F.pmod(F.col(key), F.lit(BUCKETS)) == F.col("_taken"), how)
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned({c}, 58) as int))")
+    taken = others.select(bucket(other_key).alias("_taken"), bit(other_key).alias("_bit")).groupBy("_taken").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(taken), (bucket(key) == F.col("_taken")) & (F.col("_bits").bitwiseAND(bit(key)) != 0), how)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

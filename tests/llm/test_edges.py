@@ -728,3 +728,41 @@ def test_sketch_counts_up_to_its_limit(packed):
     expected = np.minimum(np.minimum(np.arange(len(hashes)) // 60 + 1, 5), 3 if packed else 255)
     assert (whole.counts(hashes) >= expected).all() and (whole.counts(hashes) == expected).mean() > 0.95
     assert jaccard_join.Sketch.plan(0) == (16, True) and jaccard_join.Sketch.plan(10**8)[1] and not jaccard_join.Sketch.plan(10**10)[1]
+
+
+def test_near_duplicates_that_share_single_shingles_are_no_candidates(spark, monkeypatch):
+    """A sketch that tells nothing, as one of very many shingles does: documents in a chain of shared phrases stay apart."""
+    monkeypatch.setattr(jaccard_join.Sketch, "plan", classmethod(lambda cls, total: (2, True)))
+    links, real = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda found: links.append(found.count()) or real(found))
+    phrase = lambda k: " ".join(f"p{k}x{j}" for j in range(5))
+    texts = [" ".join([phrase(k), *(f"w{k}x{j}" for j in range(12)), phrase(k + 1)]) for k in range(200)]
+    texts.append(texts[7] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard_join.keep_one(docs, 5, 80).collect()}
+    assert kept == set(range(200)) and links[0] == 1
+
+
+def test_prefixes_of_linked_sets_share_enough_keys():
+    rng = np.random.default_rng(5)
+    sketch = jaccard_join.Sketch(16, True)
+    for t in (50, 67, 80, 87):
+        for size in (1, 2, 3, 4, 5, 9, 40, 200):
+            for _ in range(20):
+                common = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+                most = size * (100 - t) // t
+                extra = int(rng.integers(0, most + 1))
+                left, right = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n, dtype=np.uint64)])) for n in (extra, most - extra))
+                shared = np.intersect1d(jaccard_join.prefix_keys(left, t, sketch), jaccard_join.prefix_keys(right, t, sketch))
+                assert len(shared) >= jaccard_join.SHARED
+
+
+def test_coarse_filter_of_texts_stays_fine_where_all_buckets_have_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard_join, "BUCKETS", 1)
+    rows = spark.range(6400).select(F.xxhash64("id").alias("h"))
+    taken = rows.limit(2).select(F.col("h").alias("k"))
+    near = jaccard_join.bucketed(rows, "h", taken, "k", "left_semi").count()
+    assert 2 <= near < 400
+    assert jaccard_join.bucketed(rows, "h", taken, "k", "left_anti").count() == 6400 - near
