@@ -132,3 +132,12 @@ def test_compile_checks(spark):
         compile_design(ModelSpec((History(window=(0, 3), n_basis=2),), dt=1), tables)
     rows = compile_design(ModelSpec((Event("e", (0, 2), 2, "identity"),), dt=1), tables).rows.collect()
     assert len(rows) == 8 and all(r.x == [0.0, 0.0] and r.fit for r in rows)
+
+
+def test_bins_are_not_broadcast(spark):
+    """Bins are many more than the trials they come of, so they must not go through the driver."""
+    trials = spark.createDataFrame([(0, k, 10.0 * k, 10.0 * k + 10, 10.0 * k + 3) for k in range(5)], "session long, trial long, start double, end double, stim double")
+    times = spark.createDataFrame([(0, 0.5 * k) for k in range(100)], "session long, time double")
+    met = grid.aligned_rows(times, grid.stimulus_grid(trials, 0.5), 0.5)
+    assert met.count() == 100
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
