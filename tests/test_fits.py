@@ -170,3 +170,17 @@ def test_shift_at_zero_is_the_unshifted_refit():
     ).to_dict(design)["dropouts"]["context"]["permutation"]
     assert told["observed_delta_r2_pooled"] == told["delta_r2_pooled_per_shift"][0]
     assert max(told["delta_r2_pooled_per_shift"]) == told["observed_delta_r2_pooled"]
+
+
+def test_penalties_are_looked_for_on_sums_that_are_added_up_once_a_fold(monkeypatch):
+    from tempolin.functions.bilinear import Design, Moments, Problem
+    from tempolin.plans.spec import FitConfig, ModelSpec, ParameterLayout, Signal
+
+    spec = ModelSpec((Signal("a", (0, 0), 1),), dt=1.0)
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(10, 8, 1)), rng.normal(size=(10, 8))
+    moments = Moments(np.arange(10), np.full(10, 8.0), x.sum(1), np.einsum("tip,tiq->tpq", x, x), y.sum(1), np.einsum("tip,ti->tp", x, y), (y * y).sum(1))
+    calls, real = [], Problem.kernel_system
+    monkeypatch.setattr(Problem, "kernel_system", lambda self, *a: calls.append(1) or real(self, *a))
+    Problem(Design(spec, ParameterLayout.of(spec, {"a": 1}), {"a": np.ones((1, 1))}), moments, {}, FitConfig()).fit()
+    assert len(calls) == 6  # five folds and the whole, not one for each of 25 penalties
