@@ -141,3 +141,13 @@ def test_bins_are_not_broadcast(spark):
     met = grid.aligned_rows(times, grid.stimulus_grid(trials, 0.5), 0.5)
     assert met.count() == 100
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_of_trials_are_merged_in_all_partitions(spark):
+    """Merging takes long for few bytes, so partitions are not put together by size."""
+    from tempolin.operators import design
+
+    rows = spark.createDataFrame([(s, t, True, [1.0, float(t)]) for s in range(8) for t in range(4)], "session long, trial long, fit boolean, x array<double>")
+    sums = design.design_moments(rows)
+    assert sums.count() == 32
+    assert "REPARTITION_BY_NUM" in sums._jdf.queryExecution().executedPlan().toString()
