@@ -50,6 +50,16 @@ def test_moments_give_the_alternation_on_rows():
     assert np.allclose(state.beta, beta, atol=1e-10) and np.allclose(state.gain, gain, atol=1e-10) and abs(state.intercept - b) < 1e-10
 
 
+def test_no_tolerance_runs_all_rounds_where_coefficients_rest_at_zero():
+    design, x, y, trial, gains = problem(n_trials=8)
+    x, y, trial = np.tile(x[:48], (2, 1)), np.tile(y[:48], 2), np.repeat(np.arange(8), 12)
+    gains = {g: np.repeat([1.0, -1.0], 4) for g in gains}  # the same rows under both gains
+    state = Problem(design, moments(x, y, trial), gains, FitConfig(kernel_alpha=20.0, gain_alpha=5.0, tol=0, max_iter=8)).fit()
+    beta, gain, b = dense(design, x, y, trial, gains, 20.0, 5.0, 8)
+    assert np.abs(state.gain[1:]).max() < 1e-12
+    assert np.abs(state.beta - beta).max() < 1e-12 and np.abs(state.gain - gain).max() < 1e-12 and abs(state.intercept - b) < 1e-12
+
+
 def test_known_parameters_are_recovered():
     design, x, y, trial, gains = problem(n_trials=60, per=30)
     state = Problem(design, moments(x, y, trial), gains, FitConfig()).fit()
