@@ -33,7 +33,7 @@ def month(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["shift_test", "offset_scores"])
+@pytest.mark.parametrize("name", ["shift_test", "offset_scores", "penalty_errors"])
 def test_no_exploded_rows_are_broadcast(spark, month, name):
     made = QUERIES[name](spark, month)
     rows = made.collect()
