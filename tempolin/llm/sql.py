@@ -52,7 +52,7 @@ def license_scan_sql(docs: str = "documents", templates=license_scan.TEMPLATES)
 
 
 def quality_sql(docs: str = "documents") -> str:
-    """The rows of op4, with the references of the code as literals."""
+    """The rows of op4: documents that the references of the code, as literals, keep are pooled, and all are judged by that."""
     rest = lambda pattern: f"length(regexp_replace(b, '{pattern}', '', 'g'))"
     counts = [f"length(b) - {rest(p.replace(chr(39), chr(39) * 2))}" for p in ("[a-z]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+")]
     counts += [rest("[\\x00-\\x7F]+"), f"length(b) - {rest(_SPACE)}"]
@@ -64,6 +64,9 @@ def quality_sql(docs: str = "documents") -> str:
     distance = lambda p, q: f"""case when list_sum({p}) > 0 and list_sum({q}) > 0 then round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i:
             (case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2(2 * {p}[i] / list_sum({p}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end)
             + (case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2(2 * {q}[i] / list_sum({q}) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) else 0 end))) / 2, 0)), 9) end"""
+    bad = "(len(w) < 10 or 100 * coalesce(r.n, 0) > 20 * len(w))"
+    far = f"(coalesce({distance('c', 'rc')}, 0) > {quality.MAX_CLASS_DISTANCE} or coalesce({distance('m', 'rm')}, 0) > {quality.MAX_WORD_DISTANCE})"
+    pool = lambda a, n: f"(select list(s order by i) from (select i, sum(case when list_sum({a}) > 0 then floor({a}[i] * 1e6 / list_sum({a})) else 0 end) as s from close_ k, unnest(range(1, {n + 1})) as t(i) where k.lang = o.lang group by i))"
     return f"""
     with doc as materialized (select row_number() over () as rid, *, coalesce(text, '') as b, {_words('text')} as w,
             list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda x: x <> '') as plain,
@@ -74,10 +77,12 @@ def quality_sql(docs: str = "documents") -> str:
     counted as (select rid, [{', '.join(counts)}] as c, case lang {common} end as m, len(plain) as n_plain from doc),
     hist as materialized (select rid, list_transform(list_append(c, (select length(b) from doc d where d.rid = counted.rid) - list_sum(c)), lambda x: cast(x as double)) as c,
             list_transform(list_append(m, n_plain - list_sum(m)), lambda x: cast(x as double)) as m from counted),
-    ref as (select * from (values {references}) v(lang, rc, rm)),
-    judged as (select doc.*, coalesce(r.n, 0) as rep,
-            len(w) < 10 or 100 * coalesce(r.n, 0) > 20 * len(w) as bad,
-            case when len(w) >= {quality.MIN_WORDS} then coalesce({distance('c', 'rc')}, 0) > {quality.MAX_CLASS_DISTANCE} or coalesce({distance('m', 'rm')}, 0) > {quality.MAX_WORD_DISTANCE} else false end as far
+    fixed as (select * from (values {references}) v(lang, rc, rm)),
+    close_ as materialized (select distinct doc.lang, c, m from doc join hist using (rid) left join repeated r using (rid) join fixed on fixed.lang = doc.lang
+        where len(w) >= {quality.MIN_WORDS} and not {bad} and not {far}),
+    pooled as (select lang, {pool('c', 7)} as pc, {pool('m', 13)} as pm from (select distinct lang from close_) o),
+    ref as (select fixed.lang, coalesce(pc, rc) as rc, coalesce(pm, rm) as rm from fixed left join pooled using (lang)),
+    judged as (select doc.*, coalesce(r.n, 0) as rep, {bad} as bad, case when len(w) >= {quality.MIN_WORDS} then {far} else false end as far
         from doc join hist using (rid) left join repeated r using (rid) left join ref on ref.lang = doc.lang)
     select doc_id, cast(len(w) as bigint) as n_words, cast({rest(_SPACE)} as bigint) as word_chars,
         cast(length(b) - {rest(quality.SYMBOLS)} as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
